@@ -23,7 +23,8 @@ REMEMBERED = 500_000
 
 @dataclass(frozen=True)
 class Settings:
-    """unit_words: longest stretch of an item that is indexed as one unit; blocks:
+    """unit_words: longest stretch of an item that is indexed as one unit;
+    least_words: shortest question that is a unit apart from its answer; blocks:
     parts of the index that have maxima of their own, each with as many units as
     that takes; floor: share of a unit's own score that a passage must reach;
     shingle: words of a shingle; overlap: share of an item's question shingles, and
@@ -34,6 +35,7 @@ class Settings:
     k1: float = 1.2
     b: float = 0.75
     unit_words: int = 64
+    least_words: int = 12
     blocks: int = 512
     floor: float = 0.4
     shingle: int = 5
@@ -68,9 +70,11 @@ class Index:
             if not question:
                 question, answer = answer, []
             numbers = [[self.vocabulary.setdefault(term, len(self.vocabulary)) for term in part] for part in (question, answer)]
-            for part in numbers:
-                for start in range(0, len(part), settings.unit_words):
-                    units.append((len(self.items), part[start : start + settings.unit_words]))
+            # The whole item, and a question that is long enough to be told from common words by itself.
+            for part in [numbers[0] + numbers[1]] + [numbers[0]] * (bool(answer) and len(question) >= settings.least_words):
+                pieces = -(-len(part) // settings.unit_words)
+                for piece in range(pieces):
+                    units.append((len(self.items), part[len(part) * piece // pieces : len(part) * (piece + 1) // pieces]))
             self.items.append((item_id, self.shingles(numbers[0]), self.shingles(numbers[1])))
         n_terms = len(self.vocabulary)
         df = Counter(term for _, unit in units for term in set(unit))
@@ -103,10 +107,13 @@ class Index:
         n = self.settings.shingle
         return {tuple(numbers[at : at + n]) for at in range(max(1, len(numbers) - n + 1))} if numbers else set()
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        """Term numbers of a text's words; words of punctuation alone are left out."""
-        known = self._known
-        words = (text or "").lower().encode("utf-8", "replace").split()
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers of the texts' words, and the text that each is of; words of punctuation alone are left out."""
+        known, words, counts = self._known, [], []
+        for text in texts:
+            before = len(words)
+            words += (text or "").lower().encode("utf-8", "replace").split()
+            counts.append(len(words) - before)
         out = list(map(known.get, words))
         if None in out:
             if len(known) >= REMEMBERED:
@@ -115,8 +122,9 @@ class Index:
                 if number is None:
                     term = words[at].strip(_STRIP)
                     out[at] = known[words[at]] = self.vocabulary.get(term, self.unknown) if term else -1
-        found = np.array(out, dtype=np.int64)
-        return found[found >= 0]
+        numbers, of_text = np.array(out, dtype=np.int64), np.repeat(np.arange(len(texts)), counts)
+        kept = numbers >= 0
+        return (numbers, of_text) if kept.all() else (numbers[kept], of_text[kept])
 
     def wand(self, terms: np.ndarray) -> Iterator[tuple[int, float]]:
         """Units whose BM25 score by these distinct terms reaches their threshold.
@@ -136,49 +144,79 @@ class Index:
                 if value >= self.threshold[unit]:
                     yield unit, value
 
-    def search(self, text: str | None) -> Iterator[tuple[int, float, float, float]]:
-        """(item place, best score over its threshold, question overlap, overlap of all) of items that the text holds.
+    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
+        """(text, item place, best score, question overlap, overlap of all) of items that the texts hold.
 
         Passages are windows of twice ``unit_words`` that start every
         ``unit_words``, so each stretch of ``unit_words`` lies whole in one.
         """
         s = self.settings
-        numbers = self.numbers(text)
-        if not self.items or not len(numbers):
+        if not self.items:
             return
-        inside = np.flatnonzero(numbers < self.unknown)
-        if not len(inside):
+        numbers, of_text = self.numbers(texts)
+        if not len(numbers):
             return
-        # Distinct terms of each half window; their block maxima bound every passage's score.
-        half = inside // s.unit_words
-        pairs = np.unique(half * (self.unknown + 1) + numbers[inside])
-        half, term = pairs // (self.unknown + 1), pairs % (self.unknown + 1)
-        starts = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        bound = np.zeros((int(half[-1]) + 2, self.block_max.shape[1]), dtype=np.float32)
-        bound[half[starts]] = np.add.reduceat(self.block_max[term], starts, axis=0)
-        reach = (bound[:-1] + bound[1:] >= self.block_floor).any(axis=1)
-        found: dict[int, list] = {}
-        for passage in np.flatnonzero(reach).tolist():
-            start = passage * s.unit_words
-            window = numbers[start : start + 2 * s.unit_words]
+        # Half windows are numbered through all texts, with one left free after each text.
+        starts = np.searchsorted(of_text, np.arange(len(texts) + 1))
+        halves = -(-np.diff(starts) // s.unit_words) + 1
+        first_half = np.cumsum(halves) - halves
+        half = first_half[of_text] + (np.arange(len(numbers)) - starts[of_text]) // s.unit_words
+        reach = np.flatnonzero(self._reach(half, numbers, int(halves.sum())))
+        text_of = np.searchsorted(first_half, reach, side="right") - 1
+        found: dict[tuple[int, int], list] = {}
+        for text, passage in zip(text_of.tolist(), reach.tolist()):
+            start = int(starts[text]) + (passage - int(first_half[text])) * s.unit_words
+            end = int(starts[text + 1])
+            window = numbers[start : min(end, start + 2 * s.unit_words)]
             terms = np.unique(window)
             shingles = None
             for unit, value in self.wand(terms[:-1] if terms[-1] == self.unknown else terms):
                 if shingles is None:
-                    reach_on = numbers[start : start + 2 * s.unit_words + s.shingle - 1].tolist()
-                    shingles = {tuple(reach_on[at : at + s.shingle]) for at in range(len(reach_on))}
+                    run = numbers[start : min(end, start + 2 * s.unit_words + s.shingle - 1)].tolist()
+                    shingles = {tuple(run[at : at + s.shingle]) for at in range(len(run))}
                 item = self.item_of[unit]
                 _, question, answer = self.items[item]
-                hit = found.setdefault(item, [0.0, set(), set()])
+                hit = found.setdefault((text, item), [0.0, set(), set()])
                 hit[0] = max(hit[0], value / self.threshold[unit] * s.floor)
                 for part, held in ((question, hit[1]), (answer, hit[2])):
                     held |= {x for x in part if x in shingles} if len(next(iter(part), ())) == s.shingle else {x for x in part if _runs(window, x)}
-        for item, (value, asked, answered) in sorted(found.items()):
+        for (text, item), (value, asked, answered) in sorted(found.items()):
             _, question, answer = self.items[item]
             of_question = len(asked) / len(question)
             of_all = (len(asked) + len(answered)) / (len(question) + len(answer))
             if of_question >= s.overlap and of_all >= s.overlap:
-                yield item, value, of_question, of_all
+                yield text, item, value, of_question, of_all
+
+    def _reach(self, half: np.ndarray, numbers: np.ndarray, n_halves: int) -> np.ndarray:
+        """Whether the block maxima of a passage's distinct terms add up to the threshold of any block.
+
+        Distinct terms are taken within each half window; the sum of two halves bounds the
+        passage they make.
+        """
+        inside = numbers < self.unknown
+        pairs = np.sort(half[inside] * (self.unknown + 1) + numbers[inside])
+        if not len(pairs):
+            return np.zeros(n_halves, dtype=bool)
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+        of_half, term = pairs // (self.unknown + 1), pairs % (self.unknown + 1)
+        starts = np.flatnonzero(np.r_[True, of_half[1:] != of_half[:-1]])
+        edges = np.append(starts, len(term))
+        out = np.zeros(n_halves, dtype=bool)
+        last_half, last = -2, None
+        step = 64  # half windows at a time: the gathered rows stay in the processor's cache
+        for low in range(0, len(starts), step):
+            high = min(low + step, len(starts))
+            begin = edges[low]
+            bound = np.add.reduceat(self.block_max[term[begin : edges[high]]], starts[low:high] - begin, axis=0)
+            own = of_half[starts[low:high]]
+            # A half alone, with the one after it, and with the one before it.
+            out[own] |= (bound >= self.block_floor).any(axis=1)
+            follows = np.flatnonzero(own[1:] == own[:-1] + 1)
+            out[own[follows]] |= (bound[follows] + bound[follows + 1] >= self.block_floor).any(axis=1)
+            if last_half + 1 == own[0]:
+                out[last_half] |= bool((last + bound[0] >= self.block_floor).any())
+            last_half, last = int(own[-1]), bound[-1]
+        return out
 
 
 def _runs(window: np.ndarray, part: tuple) -> bool:
@@ -189,6 +227,19 @@ def _runs(window: np.ndarray, part: tuple) -> bool:
     return bool(len(at))
 
 
+def _parts(texts: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, list[str | None]]]:
+    """(place of the first, texts) of runs of texts of about that size."""
+    some, size, at = [], 0, 0
+    for place, text in enumerate(texts):
+        some.append(text.as_py())
+        size += len(some[-1] or "")
+        if size >= most_bytes:
+            yield at, some
+            some, size, at = [], 0, place + 1
+    if some:
+        yield at, some
+
+
 _SCHEMA = "doc_id long, item_id long, score double, question_overlap double, overlap double"
 
 
@@ -222,7 +273,11 @@ def search(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             local = shared.value
             for batch in batches:
-                rows = [(key, local.items[item][0], *rest) for key, text in zip(batch.column(0).to_pylist(), batch.column(1)) for item, *rest in local.search(text.as_py())]
+                keys, texts = batch.column(0).to_pylist(), batch.column(1)
+                rows = []
+                for part in _parts(texts):
+                    at, some = part
+                    rows += [(keys[at + text], local.items[item][0], *rest) for text, item, *rest in local.search(some)]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3)], names=["doc_id", "item_id", "score", "question_overlap", "overlap"])
 
@@ -244,7 +299,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
 
 def _holds_none(shared):
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([next(shared.value.search(text.as_py()), None) is None for text in texts], pa.bool_())
+        clean = np.ones(len(texts), dtype=bool)
+        for at, some in _parts(texts):
+            clean[[at + text for text, *_ in shared.value.search(some)]] = False
+        return pa.array(clean)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "boolean")

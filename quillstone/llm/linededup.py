@@ -27,45 +27,44 @@ class Settings:
     keep_first: bool = True
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text with their place from 0; null text has none."""
-    return F.transform(F.split(text, "\n"), lambda line, at: F.struct(at.alias("at"), line.alias("line")))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, at, line: the lines of each text with their place from 0, trimmed; null text has none."""
+    cut = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("at", "line"))
+    return cut.select("doc_id", "at", F.btrim("line", F.lit(" \t\r\x0b\f")).alias("line"))
 
 
 def tokens_of(line: Column) -> Column:
-    """Tokens between ASCII white space; any that holds a digit counts as a variable field."""
-    words = F.filter(F.split(line, r"[ \t\x0b\f\r]+"), lambda word: word != "")
-    return F.transform(words, lambda word: F.when(word.rlike("[0-9]"), F.lit(FIELD)).otherwise(word))
+    """Tokens between single spaces; any that holds a digit counts as a variable field."""
+    return F.transform(F.split(line, " "), lambda word: F.when(word.rlike("[0-9]"), F.lit(FIELD)).otherwise(word))
 
 
 def leaf_of(line: Column, depth: int) -> Column:
     """The leaf that a line falls to: token count, then its leading tokens. Null for blank lines.
 
-    Only the leading tokens are cut out; the count comes from the white space left.
+    Made of byte counts and a prefix, so that long lines are not cut into tokens for it.
     """
-    squeezed = F.regexp_replace(F.trim(F.translate(line, "\t\x0b\f\r", "    ")), " +", " ")
-    count = F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1
-    leading = F.regexp_replace(F.substring_index(squeezed, " ", depth), r"[^ ]*[0-9][^ ]*", FIELD)
-    return F.when(squeezed != "", F.xxhash64(count, leading))
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    leading = F.substring_index(line, " ", depth)
+    masked = F.when(leading.rlike("[0-9]"), F.regexp_replace(leading, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(leading)
+    return F.when(line != "", F.xxhash64(spaces, masked))
 
 
 def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, at, template) of the lines that go; ``at`` counts a text's lines from 0.
 
-    1. Each document's distinct leaves are counted. A leaf that fewer than min_docs
+    1. Documents are counted by leaf. A leaf that fewer than min_docs
        documents reach can hold no recurring template, so its lines go no further:
-       of most text, only two integers per line are shuffled.
+       of most text, only an integer and the id of each line are shuffled.
     2. In the leaves that are left, a token is constant at its position if min_docs
        distinct documents have it there; other positions become variable fields. A
        line that keeps at least ``similarity`` of its tokens has a template.
     3. Templates that min_docs documents share are dropped.
     """
-    leaf = lambda x: leaf_of(x["line"], settings.depth)
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    own = slim.select(F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), leaf))).alias("leaf")).where("leaf IS NOT NULL")
+    lines = lines_of(docs).withColumn("leaf", leaf_of(F.col("line"), settings.depth)).where(F.col("line") != "")
+    # Pairs of one document meet in its task, before the exchange.
+    own = lines.select("leaf", "doc_id").distinct()
     common = materialize(own.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_docs).select("leaf"), "leaves")
 
-    lines = slim.select("doc_id", F.explode(lines_of(F.col("text"))).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.line").alias("line"), leaf(F.col("x")).alias("leaf"))
     # A line's masked tokens, as one string: its shape.
     shaped = lines.join(common, "leaf").select("doc_id", "at", "leaf", F.array_join(tokens_of(F.col("line")), " ").alias("shape"))
     shaped = materialize(shaped.withColumn("key", F.xxhash64("leaf", "shape")), "shapes")
@@ -92,7 +91,8 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 def _drop(docs: DataFrame, settings: Settings) -> DataFrame:
     """All columns of docs and __gone, the places of the lines that go, or null."""
     gone = materialize(dropped_lines(docs, settings).groupBy("doc_id").agg(F.collect_set("at").alias("__gone")), "gone")
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), "__gone")
+    # The places grow with the input, so they are not broadcast, however few a small input has.
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), "__gone").hint("merge")
     # A null id never equals another: such rows lose no line.
     return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left").drop("__gone_id")
 

@@ -86,17 +86,22 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
     if not n_pos or not n_neg:
         share = (n_pos + 0.5) / (len(y) + 1)
         return Model(np.zeros(size, dtype=np.float32), float(np.log(share / (1 - share))))
-    rows = [features(text, settings) for text in texts]
-    flat = np.concatenate(rows)
-    lengths = np.array([len(row) for row in rows])
-    df = np.bincount(flat, minlength=size).astype(np.float64)
-    df_pos = np.bincount(flat, weights=np.repeat(y, lengths), minlength=size)
+    # Texts are cut twice, so that only the n-grams that stay are ever held for all of them.
+    df, df_pos = np.zeros(size), np.zeros(size)
+    for text, label in zip(texts, labels):
+        row = features(text, settings)
+        df[row] += 1
+        if label:
+            df_pos[row] += 1
     used = np.flatnonzero(df >= min(settings.min_docs, max(1, len(y) // 2)))
     evidence = likelihood_ratio(df_pos[used], df[used] - df_pos[used], n_pos, n_neg)
     used = np.sort(used[np.lexsort((used, -evidence))[: settings.keep]])
     place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    rows = [place[row][place[row] >= 0] for row in rows]
+    rows = []
+    for text in texts:
+        row = place[features(text, settings)]
+        rows.append(row[row >= 0])
     lengths = np.array([len(row) for row in rows])
     flat = np.concatenate(rows)
     row_of = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
