@@ -13,16 +13,12 @@ from .common import ascii_lower, materialize, table
 #: Bits of one filter at most: it travels in the plan as an array of longs. Larger lists take the join instead.
 MOST_BITS = 1 << 23
 
-# The rules of the contract, and the listed hosts of unwanted pages.
+# The rules of the contract, and the names and zones of sites with unwanted pages.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-BLOCKED_HOSTS = (
-    "cheap-pills.example.net",
-    "free-bets.example.net",
-    "spam-farm.example.org",
-    "adult-x.example.com",
-    "casino-win.example.net",
-    "ads-track.example.com",
-)
+BLOCKED_SITES = ("cheap-pills", "free-bets", "spam-farm", "adult-x", "casino-win", "ads-track")
+BLOCKED_ZONES = ("example.com", "example.net", "example.org")
+#: The listed hosts: such a site keeps its name when it moves to another zone.
+BLOCKED_HOSTS = tuple(f"{site}.{zone}" for site in BLOCKED_SITES for zone in BLOCKED_ZONES)
 
 
 def host_of(url: Column) -> Column:
