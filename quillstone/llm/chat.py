@@ -20,7 +20,8 @@ MARKER_NAMES = {
     "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "gpt", "model", "response"),
 }
 #: What may stand around a speaker's name at the start of a line; group 1 is the name, the rest of the line is speech.
-MARKER = r"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?(" + "|".join(name for names in MARKER_NAMES.values() for name in sorted(names, key=len, reverse=True)) + r")(?:\|>|\]:?|:\*\*|\*\*:?|\s*:)\s*"
+#: After <|im_start|>, the end of the line ends the name.
+MARKER = r"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?(" + "|".join(name for names in MARKER_NAMES.values() for name in sorted(names, key=len, reverse=True)) + r")(?:\|>|\]:?|:\*\*|\*\*:?|\s*:|(?<=<\|im_start\|>[a-z]{1,16})\s*$)\s*"
 
 
 @dataclass(frozen=True)

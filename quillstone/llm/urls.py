@@ -123,13 +123,29 @@ def _listed(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(key) for key in keys])).alias("key")) if keys else spark.range(0).select(F.lit("").alias("key"))
 
 
-def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS) -> DataFrame:
+def _by_join(hosts: DataFrame, parts: DataFrame, lengths: list[int], rules: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``hosts`` with rule and is_blocked, for lists beyond what a filter may hold.
+
+    Distinct pairs of host and path prefix meet the lists; pages only meet the verdicts of their pair.
+    """
+    keyed = parts.select("host", "prefix", F.explode(candidate_keys(F.col("host"), F.col("prefix"), lengths)).alias("key"))
+    longest = F.max(F.struct(F.length("key").alias("n"), "key", "blocks"))
+    ruled = keyed.join(rules, "key").groupBy("host", "prefix").agg(longest.alias("longest"))
+    suffixes = parts.select("host").distinct().select("host", F.explode(host_suffixes(F.col("host"))).alias("key"))
+    listed = suffixes.join(blocked, "key", "left_semi").select("host", F.lit(True).alias("is_listed")).distinct()
+    judged = parts.join(ruled, ["host", "prefix"], "left").join(listed, "host", "left")
+    verdicts = judged.select("host", "prefix", F.col("longest.key").alias("rule"), F.coalesce("longest.blocks", "is_listed", F.lit(False)).alias("is_blocked"))
+    return hosts.join(materialize(verdicts, "verdicts"), ["host", "prefix"])
+
+
+def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, *, most_bits: int = MOST_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict for every page.
 
     The keys of all pages (host suffixes with path prefixes of the rules' lengths) are
     the universe. One cascade holds the rules' keys, one those that block, one the
     blocked hosts; each page's own keys are then looked up without a join. The longest
-    rule wins; without a rule, a page is blocked if its host or a parent is listed.
+    rule wins; without a rule, a page is blocked if its host or a parent is listed. Lists
+    that would take filters of more than ``most_bits`` are joined instead.
 
     A null url, or one without ://, has empty host and path and is allowed. Rows that
     repeat a page_id are judged each; other columns are not read. An empty table gives no rows.
@@ -137,24 +153,28 @@ def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS) -> DataFra
     spark = pages.sparkSession
     lengths = sorted({len(path) for _, path, _ in rules})
     hosts = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    hosts = hosts.withColumn("prefix", F.substring("path", 1, max(lengths, default=0)))
     # Distinct pairs first: a hot host's pages fold into a few keys before any exchange of keys.
-    parts = hosts.select("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).distinct()
-    rule_keys = parts.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    host_keys = parts.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key"))
-    rule_universe, host_universe = rule_keys.distinct(), host_keys.distinct()
+    parts = hosts.select("host", "prefix").distinct()
+    rule_universe = parts.select(F.explode(candidate_keys(F.col("host"), F.col("prefix"), lengths)).alias("key")).distinct()
+    host_universe = parts.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key")).distinct()
     named = [host + path for host, path, _ in rules]
     blocking = [host + path for host, path, verdict in rules if verdict == "block"]
-    cascades = [build(universe, _listed(spark, keys)) for universe, keys in ((rule_universe, named), (rule_universe, blocking), (host_universe, list(blocked_hosts)))]
-    if any(cascade is None for cascade in cascades):
-        raise ValueError("a list needs a filter of more than MOST_BITS")
-    is_rule, is_block, is_listed = cascades
-
-    keys = F.filter(candidate_keys(F.col("host"), F.col("path"), lengths), is_rule.holds)
-    longest = F.array_max(F.transform(keys, lambda key: F.struct(F.length(key).alias("n"), key.alias("key"))))["key"]
-    ruled = hosts.withColumn("rule", longest)
-    listed = F.exists(host_suffixes(F.col("host")), is_listed.holds)
-    blocked = F.when(F.col("rule").isNotNull(), is_block.holds(F.col("rule"))).otherwise(listed)
-    return ruled.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"))
+    cascades = []
+    for universe, keys in ((rule_universe, named), (rule_universe, blocking), (host_universe, list(blocked_hosts))):
+        cascades.append(build(universe, _listed(spark, keys), most_bits=most_bits))
+        if cascades[-1] is None:
+            verdicts = spark.createDataFrame([(host + path, verdict == "block") for host, path, verdict in rules], "key string, blocks boolean")
+            ruled = _by_join(hosts, parts, lengths, verdicts, _listed(spark, list(blocked_hosts)))
+            break
+    else:
+        is_rule, is_block, is_listed = cascades
+        keys = F.filter(candidate_keys(F.col("host"), F.col("path"), lengths), is_rule.holds)
+        longest = F.array_max(F.transform(keys, lambda key: F.struct(F.length(key).alias("n"), key.alias("key"))))["key"]
+        ruled = hosts.withColumn("rule", longest)
+        listed = F.exists(host_suffixes(F.col("host")), is_listed.holds)
+        ruled = ruled.withColumn("is_blocked", F.when(F.col("rule").isNotNull(), is_block.holds(F.col("rule"))).otherwise(listed))
+    return ruled.select("page_id", "host", "path", "rule", F.when(F.col("is_blocked"), "block").otherwise("allow").alias("verdict"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,7 +350,7 @@ def test_line_dedup(spark):
 
 
 def test_variable_fields_are_generalised(spark):
-    texts = {i: f"Posted on {i} May by user{i}\nUnique line number {chr(97 + i)} of this text here" for i in range(12)}
+    texts = {i: f"Posted on {i} May by the editor user{i}\nUnique line number {chr(97 + i)} of this text here" for i in range(12)}
     texts |= {20 + i: f"Log in to {name} to read more of this story today" for i, name in enumerate("abcdefghijkl")}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.clean(df).collect()}
