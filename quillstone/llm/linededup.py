@@ -91,8 +91,9 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 def _drop(docs: DataFrame, settings: Settings) -> DataFrame:
     """All columns of docs and __gone, the places of the lines that go, or null."""
     gone = materialize(dropped_lines(docs, settings).groupBy("doc_id").agg(F.collect_set("at").alias("__gone")), "gone")
-    # The places grow with the input, so they are not broadcast, however few a small input has.
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), "__gone").hint("merge")
+    # The places grow with the input, so they are not broadcast, however few a small input has. A hash of one
+    # partition's places spares a sort of whole texts.
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), "__gone").hint("shuffle_hash")
     # A null id never equals another: such rows lose no line.
     return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left").drop("__gone_id")
 
