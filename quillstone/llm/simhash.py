@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -172,20 +172,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, threshold: int = 2) -> D
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key() -> list[Column]:
+    """What orders the rows of a group: doc_id, null ids last, then a hash of the text."""
+    return [F.col("doc_id").isNull().alias("__no_id"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash")]
+
+
+def one_of_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each row key in ``keep``."""
+    names = [f"`{name}`" for name in docs.columns]
+    stay = docs.select(*names, *row_key()).join(keep, ["__no_id", "__id", "__hash"], "left_semi")
+    alone = Window.partitionBy("__no_id", "__id", "__hash").orderBy("__hash")
+    return stay.withColumn("__copy", F.row_number().over(alone)).where("__copy = 1").select(*names)
+
+
 def deduplicate(docs: DataFrame, *, words: int = 3, threshold: int = 2) -> DataFrame:
     """``docs`` with one row of each component, all columns.
 
     The row with the smallest doc_id stays, null ids last; of rows that share it, the
     first by a hash of the text; of rows equal in both, any one.
     """
-    key = [F.col("doc_id").isNull().alias("__no_id"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash")]
-    prints = materialize(fingerprints(docs.select(F.struct(*key).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("row"), "fp"), "fingerprints")
+    prints = materialize(fingerprints(docs.select(F.struct(*row_key()).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("row"), "fp"), "fingerprints")
     rooted = materialize(_rooted(prints.select("fp", F.col("row.__id").alias("doc_id")), threshold).select("fp", "root"), "components")
     keep = prints.join(rooted, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
-    names = [f"`{name}`" for name in docs.columns]
-    stay = docs.select(*names, *key).join(keep, ["__no_id", "__id", "__hash"], "left_semi")
-    alone = Window.partitionBy("__no_id", "__id", "__hash").orderBy("__hash")
-    return stay.withColumn("__copy", F.row_number().over(alone)).where("__copy = 1").select(*names)
+    return one_of_each(docs, keep)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
