@@ -18,13 +18,15 @@ class Settings:
     """depth: leading tokens that lead to a leaf, below the token count; min_docs:
     documents in which a template recurs to be dropped; similarity: share of a
     template's tokens that are constant at least; keep_first: whether the document
-    with the smallest doc_id keeps its lines.
+    with the smallest doc_id keeps its lines; common: share of a leaf's documents that
+    hold a token, below which it is a field in the templates of large leaves.
     """
 
     depth: int = 3
     min_docs: int = 10
     similarity: float = 0.7
     keep_first: bool = True
+    common: float = 0.01
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,6 +51,26 @@ def leaf_of(line: Column, depth: int) -> Column:
     return F.when(line != "", F.xxhash64(spaces, masked))
 
 
+def _templates(pairs: DataFrame, shapes: DataFrame, least: DataFrame, settings: Settings) -> DataFrame:
+    """(key, template) of the shapes that keep enough constant tokens, in the leaves that ``least`` lists.
+
+    ``pairs`` has leaf, key, doc_id, each once; ``shapes`` has leaf, key, shape, docs; a token is
+    constant if ``least`` distinct documents of the leaf hold it at its place.
+    """
+    place = F.posexplode(F.split("shape", " ")).alias("place", "token")
+    placed = shapes.join(least, "leaf").select("leaf", "key", "docs", "least", place)
+    # A document with several shapes in a leaf has been counted once for each.
+    several = pairs.join(least, "leaf").groupBy("leaf", "doc_id").agg(F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
+    again = several.select("leaf", "doc_id", F.explode("keys").alias("key")).join(shapes.select("key", "shape"), "key").select("leaf", "doc_id", place)
+    extra = again.groupBy("leaf", "place", "token", "doc_id").agg((1 - F.count("*")).alias("docs")).where("docs < 0")
+    counted = placed.select("leaf", "place", "token", "docs").unionByName(extra.select("leaf", "place", "token", "docs"))
+    constant = counted.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")).join(least, "leaf").where("docs >= least")
+    held = placed.select("leaf", "key", "place", "token").join(constant.select("leaf", "place", "token", F.lit(True).alias("constant")), ["leaf", "place", "token"], "left")
+    template = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))), lambda x: x["token"]), " ")
+    share = F.count("constant") / F.count("*")
+    return held.groupBy("leaf", "key").agg(template.alias("template"), share.alias("share")).where(F.col("share") >= settings.similarity).select("key", "template")
+
+
 def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, at, template) of the lines that go; ``at`` counts a text's lines from 0.
 
@@ -57,29 +79,32 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
        of most text, only an integer and the id of each line are shuffled.
     2. In the leaves that are left, a token is constant at its position if min_docs
        distinct documents have it there; other positions become variable fields. A
-       line that keeps at least ``similarity`` of its tokens has a template.
+       line that keeps at least ``similarity`` of its tokens has a template. In a leaf so
+       large that the values of a field pass min_docs too, lines have a second template, whose
+       constants are held by the share ``common`` of the leaf's documents.
     3. Templates that min_docs documents share are dropped.
     """
     lines = lines_of(docs).withColumn("leaf", leaf_of(F.col("line"), settings.depth)).where(F.col("line") != "")
     # Pairs of one document meet in its task, before the exchange.
     own = lines.select("leaf", "doc_id").distinct()
-    common = materialize(own.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_docs).select("leaf"), "leaves")
+    leaves = materialize(own.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_docs), "leaves")
 
     # A line's masked tokens, as one string: its shape.
-    shaped = lines.join(common, "leaf").select("doc_id", "at", "leaf", F.array_join(tokens_of(F.col("line")), " ").alias("shape"))
+    shaped = lines.join(leaves.select("leaf"), "leaf").select("doc_id", "at", "leaf", F.array_join(tokens_of(F.col("line")), " ").alias("shape"))
     shaped = materialize(shaped.withColumn("key", F.xxhash64("leaf", "shape")), "shapes")
 
     # Copies of a line fold into one shape with its documents, before any token is looked at.
+    pairs = shaped.select("leaf", "key", "doc_id").distinct()
     shapes = materialize(shaped.select("leaf", "key", "shape", "doc_id").distinct().groupBy("leaf", "key", "shape").agg(F.count("*").alias("docs")), "folded")
-    placed = shapes.select("leaf", "key", "docs", F.posexplode(F.split("shape", " ")).alias("place", "token"))
-    constant = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")).where((F.col("docs") >= settings.min_docs) & (F.col("token") != FIELD))
-    held = placed.select("leaf", "key", "place", "token").join(constant.select("leaf", "place", "token", F.lit(True).alias("constant")), ["leaf", "place", "token"], "left")
-    template = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))), lambda x: x["token"]), " ")
-    share = F.count("constant") / F.count("*")
-    templates = held.groupBy("leaf", "key").agg(template.alias("template"), share.alias("share")).where(F.col("share") >= settings.similarity)
-    named = materialize(templates.select("key", "template"), "templates")
-
-    matched = materialize(shaped.select("doc_id", "at", "key").join(named, "key").select("doc_id", "at", "template"), "matched")
+    every = leaves.select("leaf", F.lit(settings.min_docs).cast("double").alias("least"))
+    large = leaves.select("leaf", (F.col("n") * settings.common).alias("least")).where(F.col("least") > settings.min_docs)
+    named = _templates(pairs, shapes, every, settings)
+    if not large.isEmpty():
+        named = named.unionByName(_templates(pairs, shapes, large, settings)).distinct()
+    named = materialize(named, "templates")
+
+    matched = shaped.select("doc_id", "at", "key").join(named, "key").select("doc_id", "at", "template")
+    matched = materialize(matched, "matched")
     recurring = matched.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")).where(F.col("docs") >= settings.min_docs)
     recurring = materialize(recurring, "recurring")
     gone = matched.join(recurring, "template")

@@ -3,8 +3,10 @@
 from collections import defaultdict
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 
-from quillstone.llm import nearcopies
+from quillstone.llm import linededup, nearcopies
 
 
 def near_pairs(texts, similarity=0.8):
@@ -54,3 +56,20 @@ def test_groups_close_over_members_no_leader_reaches(spark):
     below = {100: " ".join(f"x{i}" for i in range(100)), 101: " ".join(f"x{i}" for i in range(14, 114))}
     df = spark.createDataFrame(list((chain | below).items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in nearcopies.deduplicate(df).collect()) == [0, 100, 101]
+
+
+@pytest.mark.parametrize("size", [1000, 40_000])
+def test_fields_stay_fields_at_every_size(spark, size):
+    """20 categories by 2000 authors: each author is in some 20 of 40,000 documents, which makes no constant."""
+    line = F.concat(F.lit("Posted in category "), F.translate((F.col("id") % 20).cast("string"), "0123456789", "abcdefghij"), F.lit(" by "), F.translate(F.pmod(F.xxhash64("id"), F.lit(2000)).cast("string"), "0123456789", "abcdefghij"), F.lit(" for all of our readers"))
+    docs = spark.range(size).select(F.col("id").alias("doc_id"), line.alias("text"))
+    left = linededup.clean(docs.withColumn("n_chars", F.lit(0).cast("long"))).where("text != ''").count()
+    assert left == 20  # the first document of each category
+
+
+def test_constancy_counts_distinct_documents(spark):
+    """Six documents hold a word on two lines each: it is in six documents, not in twelve, and so a field."""
+    texts = {i: f"see the note {chr(97 + i)}x word\nsee the note {chr(97 + i)}y word" for i in range(6)} | {10 + i: f"see the note {chr(97 + i)}z other" for i in range(3)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.clean(df, linededup.Settings(min_docs=9, similarity=0.6)).collect()}
+    assert got == {k: text if k == 0 else "" for k, text in texts.items()}
