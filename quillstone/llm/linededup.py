@@ -83,6 +83,9 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
        large that the values of a field pass min_docs too, lines have a second template, whose
        constants are held by the share ``common`` of the leaf's documents.
     3. Templates that min_docs documents share are dropped.
+    4. Lines whose masked shape has no template, for it has too many fields, but which min_docs
+       documents hold are judged once more among the lines of that shape, with
+       digits unmasked: a field that is the same in min_docs documents counts as constant.
     """
     lines = lines_of(docs).withColumn("leaf", leaf_of(F.col("line"), settings.depth)).where(F.col("line") != "")
     # Pairs of one document meet in its task, before the exchange.
@@ -90,7 +93,7 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     leaves = materialize(own.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_docs), "leaves")
 
     # A line's masked tokens, as one string: its shape.
-    shaped = lines.join(leaves.select("leaf"), "leaf").select("doc_id", "at", "leaf", F.array_join(tokens_of(F.col("line")), " ").alias("shape"))
+    shaped = lines.join(leaves.select("leaf"), "leaf").select("doc_id", "at", "leaf", F.array_join(tokens_of(F.col("line")), " ").alias("shape"), "line")
     shaped = materialize(shaped.withColumn("key", F.xxhash64("leaf", "shape")), "shapes")
 
     # Copies of a line fold into one shape with its documents, before any token is looked at.
@@ -104,6 +107,13 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     named = materialize(named, "templates")
 
     matched = shaped.select("doc_id", "at", "key").join(named, "key").select("doc_id", "at", "template")
+    masked = shapes.where(F.col("docs") >= settings.min_docs).join(named, "key", "left_anti").select(F.col("key").alias("leaf"))
+    raw = shaped.select("doc_id", "at", "key", "line").withColumnRenamed("key", "leaf").join(masked, "leaf").withColumn("key", F.xxhash64("leaf", "line"))
+    raw = materialize(raw.withColumnRenamed("line", "shape"), "raw")
+    copies = raw.select("leaf", "key", "doc_id").distinct()
+    folded = materialize(raw.select("leaf", "key", "shape", "doc_id").distinct().groupBy("leaf", "key", "shape").agg(F.count("*").alias("docs")), "folded")
+    unmasked = _templates(copies, folded, masked.withColumn("least", F.lit(settings.min_docs).cast("double")), settings)
+    matched = matched.unionByName(raw.select("doc_id", "at", "key").join(unmasked, "key").select("doc_id", "at", "template"))
     matched = materialize(matched, "matched")
     recurring = matched.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")).where(F.col("docs") >= settings.min_docs)
     recurring = materialize(recurring, "recurring")
