@@ -17,6 +17,7 @@ from .common import table
 
 _STRIP = b".,;:!?\"'()[]{}<>*_`~|"
 _SPLIT_AT = re.compile(r"(?<=\?)\s+|\n+")
+_ASKS = re.compile(r"[^\n]*?\?(?:\s|$)")
 #: Raw words whose term numbers are remembered before the memory starts anew.
 REMEMBERED = 500_000
 
@@ -28,7 +29,10 @@ class Settings:
     parts of the index that have maxima of their own, each with as many units as
     that takes; floor: share of a unit's own score that a passage must reach;
     shingle: words of a shingle; overlap: share of an item's question shingles, and
-    of all its shingles, that a document must hold; index_bytes: text of test items
+    of all its shingles, that a document must hold; whole: share of all its shingles
+    that is enough whatever it holds of the question; a first line is a question by
+    itself only with a question mark and ``least_words``, else the item is verified
+    by all its shingles alone; index_bytes: text of test items
     in one index, which is broadcast; larger sets take several.
     """
 
@@ -40,6 +44,7 @@ class Settings:
     floor: float = 0.4
     shingle: int = 5
     overlap: float = 0.5
+    whole: float = 0.8
     index_bytes: int = 1_000_000
 
 
@@ -61,6 +66,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], settings: Settings):
         self.settings = settings
         self.items = []  # (item id, shingles of the question, shingles of the answer), as hash-free tuples of term numbers
+        self.asks: list[bool] = []  # whether an item's question is judged apart from its answer
         self.vocabulary: dict[bytes, int] = {}
         units: list[tuple[int, list[int]]] = []
         for item_id, text in items:
@@ -69,6 +75,7 @@ class Index:
                 continue
             if not question:
                 question, answer = answer, []
+            asks = not answer or len(question) >= settings.least_words and _ASKS.match((text or "").strip())
             numbers = [[self.vocabulary.setdefault(term, len(self.vocabulary)) for term in part] for part in (question, answer)]
             # The whole item, and a question that is long enough to be told from common words by itself.
             for part in [numbers[0] + numbers[1]] + [numbers[0]] * (bool(answer) and len(question) >= settings.least_words):
@@ -76,6 +83,7 @@ class Index:
                 for piece in range(pieces):
                     units.append((len(self.items), part[len(part) * piece // pieces : len(part) * (piece + 1) // pieces]))
             self.items.append((item_id, self.shingles(numbers[0]), self.shingles(numbers[1])))
+            self.asks.append(bool(asks))
         n_terms = len(self.vocabulary)
         df = Counter(term for _, unit in units for term in set(unit))
         idf = {term: math.log(1 + (len(units) - n + 0.5) / (n + 0.5)) for term, n in df.items()}
@@ -184,7 +192,7 @@ class Index:
             _, question, answer = self.items[item]
             of_question = len(asked) / len(question)
             of_all = (len(asked) + len(answered)) / (len(question) + len(answer))
-            if of_question >= s.overlap and of_all >= s.overlap:
+            if of_all >= s.whole or of_all >= s.overlap and (of_question >= s.overlap or not self.asks[item]):
                 yield text, item, value, of_question, of_all
 
     def _reach(self, half: np.ndarray, numbers: np.ndarray, n_halves: int) -> np.ndarray:
@@ -258,7 +266,8 @@ def search(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
 
     Every passage of every document queries the index; hits over the threshold
     are verified by the share of the item's word shingles that the document's
-    matching passages hold (``question_overlap``, and ``overlap`` with the answer);
+    matching passages hold (``question_overlap``, and ``overlap`` with the answer; see
+    ``Settings`` for when the question is asked for by itself);
     ``score`` is the best BM25 score as a share of the unit's own. The index of the
     test items is broadcast, ``index_bytes`` of their text at a time; the documents are
     scanned once for each. No shuffle. Null texts, and items without words, match nothing.

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import linededup, nearcopies
+from quillstone.llm import decontamination, linededup, nearcopies
 
 
 def near_pairs(texts, similarity=0.8):
@@ -82,3 +82,14 @@ def test_copies_made_of_numbers_go(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.clean(df).collect()}
     assert got == {i: text if i == 0 else text.split("\n")[-1] for i, text in texts.items()}
+
+
+def test_passages_without_their_first_line_are_found(spark):
+    """A short first line is no question; a long question may be missing if nearly all the rest is there."""
+    body = " ".join(f"w{i}" for i in range(120))
+    asked = "which of these many words would a reader of this long question choose first?"
+    bench = spark.createDataFrame([(1, f"A heading\n{body}"), (2, asked + " " + body.replace("w", "v")), (3, asked.replace("e", "i") + " " + " ".join(f"u{i}" for i in range(20)))], "item_id long, text string")
+    texts = {1: body, 2: f"A changed heading\n{body}", 3: body.replace("w", "v"), 4: " ".join(f"u{i}" for i in range(20)), 5: " ".join(f"w{i}" for i in range(30))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.search(docs, bench).collect()} == {(1, 1), (2, 1), (3, 2)}
+    assert [r.doc_id for r in decontamination.decontaminate(docs, bench).collect()] == [4, 5]
