@@ -1,4 +1,4 @@
-"""Chat formatting: a hidden Markov model recovers who speaks, then turns are rendered."""
+"""Chat formatting: a hidden Markov model recovers who speaks from markers and line features, then turns are rendered."""
 
 from __future__ import annotations
 
@@ -21,30 +21,44 @@ MARKER_NAMES = {
 }
 #: What may stand around a speaker's name at the start of a line; group 1 is the name, the rest of the line is speech.
 #: After <|im_start|>, the end of the line ends the name.
-MARKER = r"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?(" + "|".join(name for names in MARKER_NAMES.values() for name in sorted(names, key=len, reverse=True)) + r")(?:\|>|\]:?|:\*\*|\*\*:?|\s*:|(?<=<\|im_start\|>[a-z]{1,16})\s*$)\s*"
+MARKER = r"(?i)^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?(" + "|".join(name for names in MARKER_NAMES.values() for name in sorted(names, key=len, reverse=True)) + r")(?:\|>|\]:?|:\*\*|\*\*:?|\s*:|(?<=<\|im_start\|>[a-z]{1,16})\s*$) ?"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """trust: probability that a marker names the true speaker; stay: that a line
-    which starts no turn has the speaker of the line before; smooth: added to each count;
-    block: turns of a conversation that one step decodes.
+    """stay: that a line which starts no turn has the speaker of the line before; split: that a
+    marker inside a turn opens another speaker's; trust, strength: what is held of markers before any is
+    counted, that they name the true speaker, as strong as that many markers seen; smooth: added to
+    each other count; block: turns of a conversation that one step decodes.
     """
 
-    trust: float = 0.98
     stay: float = 0.97
+    split: float = 0.5
+    trust: float = 0.98
+    strength: float = 100.0
     smooth: float = 1.0
     block: int = 256
 
 
 def transcript(conversations: DataFrame, marked: bool = True) -> DataFrame:
-    """conv_id, turn, text: turns as raw transcript text, each after a marker of its role if that is known."""
+    """``conversations`` as raw transcript turns: conv_id, turn, text. Where ``marked``, a marker of the role stands before a turn whose role is known."""
     role = F.lower(F.trim(F.col("role").cast("string")))
     marker = F.when(role.isin(*ROLES), F.concat(F.initcap(role), F.lit(": "))).otherwise(F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return conversations.select("conv_id", "turn", (F.concat(marker, text) if marked else text).alias("text"))
 
 
+def held_out(column: str = "conv_id") -> Column:
+    """crc32 of the id as text, modulo 3, is 1: such conversations are not learnt from."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def given_role() -> Column:
+    """The number of the role that a conversation table states, from 0; null if it states none."""
+    place = F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.trim(F.col("role").cast("string"))))
+    return F.when(place > 0, place - 1).cast("int")
+
+
 def _marker_role(name: Column) -> Column:
     out = F.lit(0)
     for number, role in enumerate(ROLES, 1):
@@ -52,75 +66,103 @@ def _marker_role(name: Column) -> Column:
     return out
 
 
-#: Values of the line feature: length band (3) x question (2) x list or code (2).
-FEATURES = 12
+# Line features, each a small number: the line's length in powers of two, with whether it asks and whether it is a list item or
+# code; and, on the first line of a turn, the turn's length in powers of the square root of two and its number of lines.
+LINE, LENGTH, LINES = 14 * 4, 42, 10
+
 
+def _power(n: Column, steps: int, most: int) -> Column:
+    return F.least(F.floor(F.log2(n + 1) * steps), F.lit(most)).cast("int")
 
-def lines(texts: DataFrame, block: int) -> DataFrame:
-    """One row per line: conv_id, block, turn, tie, at, line, marker (0: none), starts, feature.
 
-    ``tie`` orders turns of one number; blank lines stay with the turn they are in.
+def lines(texts: DataFrame, block: int, *carried: str) -> DataFrame:
+    """One row per line: conv_id, block, turn, tie, at, line, speech, marker (0: none) and the features; ``carried`` columns come along.
+
+    ``tie`` orders turns of one number; blank lines stay with the turn they are in. ``block`` counts
+    blocks of turns; turns without a number lie before the others, in blocks by their hash.
     """
-    raw = texts.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
-    raw = raw.withColumn("tie", F.xxhash64("text")).withColumn("block", F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(-1)))
-    cut = raw.select("conv_id", "block", "turn", "tie", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    raw = texts.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), *carried)
+    raw = raw.withColumn("tie", F.xxhash64("text"))
+    of_hash = F.shiftright("tie", 52) - (1 << 62)
+    raw = raw.withColumns({"block": F.coalesce(F.floor(F.col("turn") / block), of_hash).cast("long"), "length": _power(F.length("text"), 2, LENGTH - 1), "cut": F.split("text", "\n")})
+    cut = raw.select("conv_id", "block", "turn", "tie", *carried, "length", F.least(F.size("cut"), F.lit(LINES)).alias("n"), F.posexplode("cut").alias("at", "line"))
     marker = _marker_role(F.regexp_extract("line", MARKER, 1))
-    speech = F.when(marker > 0, F.regexp_replace("line", MARKER, "")).otherwise(F.col("line"))
-    cut = cut.select("*", marker.alias("marker"), speech.alias("speech"))
-    band = F.when(F.length("speech") < 80, 0).when(F.length("speech") < 300, 1).otherwise(2)
-    asks = F.rtrim("speech").endswith("?").cast("int")
-    listed = F.col("speech").rlike(r"^\s*(?:[-*+] |\d+[.)] |```|    \S)").cast("int")
-    return cut.select("conv_id", "block", "turn", "tie", "at", F.col("speech").alias("line"), "marker", ((F.col("at") == 0) | (F.col("marker") > 0)).alias("starts"), (band * 4 + asks * 2 + listed).cast("int").alias("feature"))
+    speech = F.when(F.col("marker") > 0, F.regexp_replace("line", MARKER, ""))
+    said = F.coalesce("speech", "line")
+    asks = F.rtrim(said).endswith("?").cast("int")
+    listed = said.rlike(r"^\s*(?:[-*+] |\d+[.)] |```|    \S)").cast("int")
+    first = lambda c: F.when(F.col("at") == 0, F.col(c)).otherwise(-1).cast("int")
+    cut = cut.withColumn("marker", marker).withColumn("speech", speech)
+    of_line = _power(F.length(said), 1, 13) * 4 + asks * 2 + listed
+    return cut.select("conv_id", "block", "turn", "tie", *carried, "at", "line", "speech", "marker", of_line.cast("int").alias("of_line"), first("length").alias("length"), first("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities: start and change of speaker at a new turn, same for other lines, features and markers by role."""
+    """Log probabilities by role: of the first turn, of the next line's role at a new turn, at a marker inside a turn and at other lines; of features; of markers at a turn's start and inside."""
 
     start: np.ndarray
     change: np.ndarray
+    split: np.ndarray
     same: np.ndarray
-    feature: np.ndarray
-    marker: np.ndarray
+    of_line: np.ndarray
+    length: np.ndarray
+    n: np.ndarray
+    first_marker: np.ndarray
+    inner_marker: np.ndarray
 
 
 def fit(conversations: DataFrame, settings: Settings = Settings()) -> Model:
-    """Counts over all turns whose role is known; only tables of states come to the driver."""
-    n = len(ROLES)
-    number = F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.trim(F.col("role").cast("string")))).cast("int")
-    known = conversations.select("conv_id", "turn", "text", (number - 1).alias("state"))
-    order = Window.partitionBy("conv_id").orderBy("turn", F.xxhash64("text"))
-    pairs = known.select("state", F.lag("state").over(order).alias("before"), F.row_number().over(order).alias("place"))
-    start, change = np.full(n, settings.smooth), np.full((n, n), settings.smooth)
-    for row in pairs.groupBy("state", "before", (F.col("place") == 1).alias("first")).count().collect():
-        if row.state is not None and row.state >= 0:
-            if row.first:
-                start[row.state] += row["count"]
-            elif row.before is not None and row.before >= 0:
-                change[row.before, row.state] += row["count"]
-    feature = np.full((n, FEATURES), settings.smooth)
-    cut = lines(known.select(F.struct("state").alias("conv_id"), "turn", "text"), settings.block)
-    for row in cut.groupBy(F.col("conv_id.state").alias("state"), "feature").count().collect():
-        if row.state is not None and row.state >= 0:
-            feature[row.state, row.feature] += row["count"]
-    same = np.full((n, n), (1 - settings.stay) / (n - 1))
+    """Counts over all turns whose role is known; only tables of roles and features come to the driver."""
+    return fit_lines(lines(conversations.select("conv_id", "turn", "text", given_role().alias("given")), settings.block, "given"), settings)
+
+
+def fit_lines(cut: DataFrame, settings: Settings) -> Model:
+    """The model of a line table that carries ``given``, the roles to learn from."""
+    k = len(ROLES)
+    smooth = lambda *shape: np.full(shape, settings.smooth)
+    order = Window.partitionBy("conv_id").orderBy("block", "turn", "tie")
+    turns = cut.where("at = 0").select("given", F.lag("given").over(order).alias("before"), (F.row_number().over(order) == 1).alias("first"))
+    start, change = smooth(k), smooth(k, k)
+    for row in turns.where("given IS NOT NULL").groupBy("given", "before", "first").count().collect():
+        if row.first:
+            start[row.given] += row["count"]
+        elif row.before is not None:
+            change[row.before, row.given] += row["count"]
+    of_line, length, n = smooth(k, LINE), smooth(k, LENGTH), smooth(k, LINES + 1)
+    prior = np.full((k, k), (1 - settings.trust) / (k - 1))
+    np.fill_diagonal(prior, settings.trust)
+    markers = [settings.strength * prior, settings.strength * prior]
+    counts = cut.where("given IS NOT NULL").groupBy("given", "of_line", "length", "n", "marker").count()
+    for row in counts.collect():  # at most LINE * LENGTH * LINES combinations, however many lines there are
+        of_line[row.given, row.of_line] += row["count"]
+        if row.n >= 0:
+            length[row.given, row.length] += row["count"]
+            n[row.given, row.n] += row["count"]
+        if row.marker:
+            markers[row.n < 0][row.given, row.marker - 1] += row["count"]
+    shares = lambda table: table / table.sum(axis=-1, keepdims=True)
+    same = np.full((k, k), (1 - settings.stay) / (k - 1))
     np.fill_diagonal(same, settings.stay)
-    marker = np.full((n, n + 1), (1 - settings.trust) / (n - 1))
-    marker[:, 0] = 1.0
-    for state in range(n):
-        marker[state, state + 1] = settings.trust
-    shares = lambda table: np.log(table / table.sum(axis=-1, keepdims=True))
-    return Model(shares(start), shares(change), np.log(same), shares(feature), np.log(marker))
+    split = settings.split * shares(change) + (1 - settings.split) * np.eye(k)
+    # A last column of zeros stands for what a line does not have: an index of -1.
+    no = lambda table: np.hstack([np.log(shares(table)), np.zeros((k, 1))])
+    return Model(np.log(shares(start)), np.log(shares(change)), np.log(split), np.log(same), no(of_line), no(length), no(n), no(markers[0]), no(markers[1]))
 
 
 def _emissions(model: Model, rows: pd.DataFrame) -> np.ndarray:
-    return model.feature[:, rows["feature"].to_numpy()].T + model.marker[:, rows["marker"].to_numpy()].T
+    marker, first = rows["marker"].to_numpy() - 1, rows["at"].to_numpy() == 0
+    named = np.where(first, model.first_marker[:, marker], model.inner_marker[:, marker])
+    return (model.of_line[:, rows["of_line"].to_numpy()] + model.length[:, rows["length"].to_numpy()] + model.n[:, rows["n"].to_numpy()] + named).T
 
 
-def _steps(model: Model, rows: pd.DataFrame) -> np.ndarray:
-    """(lines, from, to): transition and emission of each line."""
-    starts = rows["starts"].to_numpy()
-    return np.where(starts[:, None, None], model.change, model.same) + _emissions(model, rows)[:, None, :]
+def _steps(model: Model, rows: pd.DataFrame, starts: bool) -> np.ndarray:
+    """(lines, from, to): transition and emission of each line; ``starts`` where the first line is the conversation's first."""
+    first, marked = rows["at"].to_numpy() == 0, rows["marker"].to_numpy() > 0
+    moves = np.where(first[:, None, None], model.change, np.where(marked[:, None, None], model.split, model.same))
+    if starts:
+        moves[0] = model.start[None, :]
+    return moves + _emissions(model, rows)[:, None, :]
 
 
 def _product(steps: np.ndarray) -> np.ndarray:
@@ -148,113 +190,139 @@ def viterbi(steps: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndar
     return states
 
 
-def _first_step(model: Model, steps: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
-    """Start of a conversation: its first line has start probabilities, whatever came before."""
-    steps = steps.copy()
-    steps[0] = model.start[None, :] + _emissions(model, rows.iloc[:1])[0][None, :]
-    return steps
-
-
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys, over the borders of batches."""
+    """Runs of equal keys, over the borders of batches; nulls are equal."""
     held: list[pd.DataFrame] = []
+    last = None
     for frame in frames:
         if not len(frame):
             continue
-        ids = frame[keys].astype(object).where(frame[keys].notna(), None)
-        cuts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy() & ~((ids.isna()) & (ids.shift().isna())).all(axis=1).to_numpy())
-        cuts = cuts[cuts > 0]
-        if held and list(held[-1][keys].astype(object).where(held[-1][keys].notna(), None).iloc[-1]) != list(ids.iloc[0]):
-            yield pd.concat(held)
-            held = []
-        edges = [0, *cuts.tolist(), len(frame)]
-        for low, high in zip(edges, edges[1:]):
-            if low and held:
+        cuts = np.zeros(len(frame), dtype=bool)
+        for key in keys:
+            before = frame[key].shift()
+            cuts |= ((frame[key] != before) & ~(frame[key].isna() & before.isna())).to_numpy()
+        ends = [tuple(None if pd.isna(value) else value for value in frame[keys].iloc[at]) for at in (0, -1)]
+        cuts[0] = bool(held) and ends[0] != last
+        last = ends[1]
+        edges = [0, *np.flatnonzero(cuts).tolist(), len(frame)]
+        for place, (low, high) in enumerate(zip(edges, edges[1:])):
+            if place and held:
                 yield pd.concat(held) if len(held) > 1 else held[0]
                 held = []
-            held.append(frame.iloc[low:high])
+            if low < high:
+                held.append(frame.iloc[low:high])
     if held:
-        yield pd.concat(held)
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _rendered(rows: pd.DataFrame, states: np.ndarray) -> Iterator[tuple]:
+    """(place of the first line, part, role, lines, text) of each part: a run of one role within a turn.
+
+    A marker is taken off where it opens a part whose role it names; any other stays in the text.
+    """
+    ats, markers, said, raw = (rows[name].tolist() for name in ("at", "marker", "speech", "line"))
+    part, begin = 0, 0
+    for at in range(1, len(states) + 1):
+        if at < len(states) and ats[at] and states[at] == states[at - 1]:
+            continue
+        state = int(states[begin])
+        head = said[begin] if markers[begin] == state + 1 else raw[begin]
+        yield begin, part, ROLES[state], at - begin, f"<|im_start|>{ROLES[state]}\n" + "\n".join([head, *raw[begin + 1 : at]]) + "<|im_end|>"
+        part = part + 1 if at < len(states) and ats[at] else 0
+        begin = at
 
 
 def format_chats(conversations: DataFrame, model: Model, settings: Settings = Settings(), *, marked: bool = True) -> DataFrame:
     """conv_id, turn, part, role, n_lines, rendered: the turns of each conversation as the model reads them.
 
+    Where ``marked``, a known role is written before its turn as a marker; else the role column is not read.
+    A marker inside a turn's text may open a new part. Null text is an empty turn; null turns come
+    first; turns that repeat a number are ordered by a hash of their text; rows with a
+    null conv_id form one conversation. An empty table gives no rows. Other columns are not read. Very long texts are read whole.
+    """
+    return decode(materialize(lines(transcript(conversations, marked), settings.block), "lines"), model)
+
+
+def decode(cut: DataFrame, model: Model, *carried: str) -> DataFrame:
+    """The parts of a line table, with its ``carried`` columns.
+
     Viterbi runs over all lines of a conversation, in blocks of turns: a block's
     best scores between its border states are a small matrix, and such matrices
     multiply, so each block is decoded alone once the scores before and after it
     are known. No task holds a whole conversation. Where several paths are equally
     good, the first state is taken.
-
-    A marker inside a turn's text opens a new part. Null text is an empty turn; null turns come
-    first; turns that repeat a number are ordered by a hash of their text; rows with a
-    null conv_id form one conversation. Other columns are not read.
     """
-    cut = lines(transcript(conversations, marked), settings.block)
+    key_type = dict(cut.dtypes)["conv_id"]
+    several = cut.groupBy("conv_id").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block")).where("first_block < last_block")
+    features = ["conv_id", "block", "turn", "tie", "at", "marker", "of_line", "length", "n"]
     order = ["conv_id", "block", "turn", "tie", "at"]
-    key_type = dict(conversations.dtypes)["conv_id"]
-    firsts = cut.groupBy("conv_id").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"))
-    several = firsts.where("first_block < last_block")
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(frames, ["conv_id", "block"]):
-            steps = _steps(model, rows)
-            if rows["block"].iloc[0] == rows["first_block"].iloc[0]:
-                steps = _first_step(model, steps, rows)
-            yield pd.DataFrame({"conv_id": rows["conv_id"].iloc[:1].array, "block": rows["block"].iloc[:1].array, "matrix": [_product(steps).ravel()]})
+            product = _product(_steps(model, rows, bool(rows["is_first"].iloc[0])))
+            yield pd.DataFrame({"conv_id": rows["conv_id"].iloc[:1].array, "block": rows["block"].iloc[:1].array, "matrix": [product.ravel()]})
 
-    same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
-    long_ones = cut.alias("l").join(several.alias("s"), same("l", "s")).select("l.*", "s.first_block")
+    # Only the features of conversations of several blocks take this way.
+    same = F.col("l.conv_id").eqNullSafe(F.col("s.conv_id"))
+    long_ones = cut.select(*features).alias("l").join(several.alias("s"), same).select("l.*", (F.col("l.block") == F.col("s.first_block")).alias("is_first"))
     parts = long_ones.repartition("conv_id", "block").sortWithinPartitions(*order).mapInPandas(matrices, f"conv_id {key_type}, block long, matrix array<double>")
 
     def borders(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
-        n = len(ROLES)
-        each = [np.asarray(m).reshape(n, n) for m in rows["matrix"]]
-        before, after = [np.zeros(n)], [np.zeros(n)]
+        k = len(ROLES)
+        each = [np.asarray(m).reshape(k, k) for m in rows["matrix"]]
+        before, after = [np.zeros(k)], [np.zeros(k)]
         for matrix in each[:-1]:
             before.append((before[-1][:, None] + matrix).max(axis=0))
         for matrix in reversed(each[1:]):
             after.append((matrix + after[-1][None, :]).max(axis=1))
-        return pd.DataFrame({"conv_id": rows["conv_id"].array, "block": rows["block"].array, "before": before, "after": after[::-1]})
+        return pd.DataFrame({"conv_id": rows["conv_id"].array, "block": rows["block"].array, "before": before, "after": after[::-1], "is_first": [True] + [False] * (len(each) - 1)})
 
-    # A row of nine numbers for each block of turns.
-    bounds = materialize(parts.groupBy("conv_id").applyInPandas(borders, f"conv_id {key_type}, block long, before array<double>, after array<double>"), "borders")
+    # A row of a few numbers for each block of turns, which travels before the block's lines.
+    bounds = materialize(parts.groupBy("conv_id").applyInPandas(borders, f"conv_id {key_type}, block long, before array<double>, after array<double>, is_first boolean"), "borders")
+    wanted = [*features[:5], *carried, "line", "speech", "marker", "of_line", "length", "n"]
+    # The null turns and ties of such a row sort first; a place of -1 tells it.
+    both = cut.select(*wanted).unionByName(bounds.withColumn("at", F.lit(-1)), allowMissingColumns=True)
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zero = np.zeros(len(ROLES))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
+        zero = np.zeros(len(ROLES))
         for rows in _groups(frames, ["conv_id", "block"]):
-            steps = _steps(model, rows)
-            before, after = rows["before"].iloc[0], rows["after"].iloc[0]
-            if rows["is_first"].iloc[0]:
-                steps = _first_step(model, steps, rows)
-            states = viterbi(steps, zero if before is None else np.asarray(before), zero if after is None else np.asarray(after))
-            conv, turns, ties, ats, starts, texts = (rows[name].tolist() for name in ("conv_id", "turn", "tie", "at", "starts", "line"))
-            part, begin = 0, 0
-            for at in range(1, len(states) + 1):
-                ended = at == len(states) or ats[at] == 0 or starts[at] or states[at] != states[at - 1]
-                if ended:
-                    role = ROLES[states[begin]]
-                    out.append((conv[begin], turns[begin], part, role, at - begin, f"<|im_start|>{role}\n" + "\n".join(texts[begin:at]) + "<|im_end|>"))
-                    part = 0 if at == len(states) or ats[at] == 0 else part + 1
-                    begin = at
+            before, after, first = zero, zero, True
+            if rows["at"].iloc[0] == -1:
+                before, after, first = np.asarray(rows["before"].iloc[0]), np.asarray(rows["after"].iloc[0]), bool(rows["is_first"].iloc[0])
+                rows = rows.iloc[1:]
+            numbers = rows[["at", "marker", "of_line", "length", "n"]].astype("int64")
+            states = viterbi(_steps(model, numbers, first), before, after)
+            keys = list(zip(*(rows[name].tolist() for name in ("conv_id", "turn", *carried))))
+            out += [(*keys[begin], *rest) for begin, *rest in _rendered(rows.assign(at=numbers["at"], marker=numbers["marker"]), states)]
             if len(out) > 5000:
-                yield _frame(out)
+                yield frame(out)
                 out = []
         if out:
-            yield _frame(out)
+            yield frame(out)
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(out, columns=["conv_id", "turn", *carried, "part", "role", "n_lines", "rendered"])
+        return found.astype({"turn": "Int64"} | {name: "Int64" for name in carried})
 
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["conv_id", "turn", "part", "role", "n_lines", "rendered"])
-        return frame.astype({"turn": "Int64"})
+    schema = f"conv_id {key_type}, turn long, " + "".join(f"{name} int, " for name in carried) + "part long, role string, n_lines long, rendered string"
+    return both.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("at") != -1, "turn", "tie", "at").mapInPandas(run, schema)
 
-    bounded = cut.alias("l").join(firsts.alias("f"), same("l", "f")).select("l.*", (F.col("l.block") == F.col("f.first_block")).alias("is_first"))
-    bounded = bounded.alias("l").join(bounds.alias("b"), same("l", "b") & (F.col("l.block") == F.col("b.block")), "left").select("l.*", "b.before", "b.after")
-    schema = f"conv_id {key_type}, turn long, part long, role string, n_lines long, rendered string"
-    return bounded.repartition("conv_id", "block").sortWithinPartitions(*order).mapInPandas(decode, schema)
+
+def recover(conversations: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The turns of conversations as read from their texts alone: the columns of ``format_chats``, given_role and held_out.
+
+    The model learns from the stated roles of the conversations that are not held out; no role is an input of the
+    reading. given_role is the stated role, to compare with. The lines are cut once, for both.
+    """
+    source = conversations.select("conv_id", "turn", F.col("text").cast("string").alias("text"), given_role().alias("given"))
+    cut = materialize(lines(source, settings.block, "given"), "lines")
+    model = fit_lines(cut.where(~held_out()), settings)
+    parts = decode(cut, model, "given")
+    names = F.array(*map(F.lit, ROLES))
+    return parts.select("conv_id", "turn", "part", "role", "n_lines", "rendered", F.get(names, F.col("given")).alias("given_role"), held_out().alias("held_out"))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    return format_chats(conversations, fit(conversations))
+    return recover(table(spark, sf_dir, "conversations"))

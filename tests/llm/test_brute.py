@@ -538,3 +538,76 @@ def test_map_versions(spark, tmp_path):
     sharding.write_map(spark, path, 0, first)
     sharding.write_map(spark, path, 1, first[::-1])
     assert sharding.read_map(spark, path) == (1, first[::-1]) and sharding.read_map(spark, path, 0) == (0, first)
+
+
+# ---- what the second review found left out
+
+
+def test_roles_are_recovered_from_texts_alone(spark):
+    """Held-out accuracy by role of the query itself, which reads no role."""
+    got = QUERIES["op8_chat_formatting"](spark, "/root/testdata/sf0.1").where("held_out").select("given_role", "role").collect()
+    for role in chat.ROLES:
+        own = [r.role == role for r in got if r.given_role == role]
+        assert len(own) > 50 and np.mean(own) >= 0.9
+    assert len(got) > 1000
+
+
+def test_roles_are_no_input(spark):
+    """With every role of the held-out conversations changed, their turns are read alike."""
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    read = lambda c: sorted((r.conv_id, r.turn, r.part, r.role, r.rendered) for r in chat.recover(c).where("held_out").collect())
+    assert read(conv) == read(conv.withColumn("role", F.when(chat.held_out(), "system").otherwise(F.col("role"))))
+
+
+def test_markers_that_name_no_new_speaker_stay_in_the_text(spark):
+    train = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    text = "The result:\nAnswer: 42\nA: first option"
+    conv = spark.createDataFrame([(1, 0, "user", "How many?"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(conv, chat.fit(train)).orderBy("turn", "part").collect()
+    assert [(r.role, r.rendered) for r in got] == [("user", "<|im_start|>user\nHow many?<|im_end|>"), ("assistant", f"<|im_start|>assistant\n{text}<|im_end|>")]
+
+
+def test_marker_emissions_are_learnt(spark):
+    """Where markers lie, they are seen to: turns of the user that start with 'A:' teach that it names no assistant."""
+    rows = [(i, t, ["user", "assistant"][t % 2], ["A: pick this", "so it is"][t % 2]) for i in range(400) for t in range(2)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(conv)
+    trusting = chat.fit(conv.limit(0))
+    assert np.exp(model.first_marker[1, 2]) > 0.7 and np.exp(trusting.first_marker[1, 2]) < 0.05
+    got = chat.format_chats(conv, model, marked=False).collect()
+    assert all(r.role == "user" and "A: pick" in r.rendered for r in got if r.turn == 0)
+
+
+def plain_roles(turns, model):
+    """Roles by trying every assignment of a short conversation of one-line turns."""
+    best = None
+    for states in itertools.product(range(3), repeat=len(turns)):
+        score, before = 0.0, None
+        for (of_line, length, n), state in zip(turns, states):
+            score += (model.start[state] if before is None else model.change[before, state]) + model.of_line[state, of_line] + model.length[state, length] + model.n[state, n]
+            before = state
+        if best is None or score > best[0] + 1e-9:
+            best = (score, states)
+    return best
+
+
+def test_chat_query_is_the_best_path(spark):
+    """The query's roles of short conversations of single lines, against all paths."""
+    conv = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    short = conv.groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.instr("text", "\n")).alias("cut")).where("n <= 5 AND cut = 0").select("conv_id")
+    source = conv.select("conv_id", "turn", "text", chat.given_role().alias("given"))
+    model = chat.fit_lines(chat.lines(source, 256, "given").where(~chat.held_out()), chat.Settings())
+    features = defaultdict(list)
+    for r in chat.lines(source, 256, "given").join(short, "conv_id").orderBy("conv_id", "turn").collect():
+        features[r.conv_id].append((r.of_line, r.length, r.n))
+    got = defaultdict(list)
+    for r in QUERIES["op8_chat_formatting"](spark, "/root/testdata/sf0.1").join(short, "conv_id").orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append(chat.ROLES.index(r.role))
+    assert len(features) > 20
+    for conv_id, turns in features.items():
+        score, _ = plain_roles(turns, model)
+        own, before = 0.0, None
+        for (of_line, length, n), state in zip(turns, got[conv_id]):
+            own += (model.start[state] if before is None else model.change[before, state]) + model.of_line[state, of_line] + model.length[state, length] + model.n[state, n]
+            before = state
+        assert own == pytest.approx(score)
