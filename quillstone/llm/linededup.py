@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import boxed, materialize, table, unboxed
 
 #: Stands for a variable field.
 FIELD = "<*>"
@@ -124,18 +124,25 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 
 
 def _drop(docs: DataFrame, settings: Settings) -> DataFrame:
-    """All columns of docs and __gone, the places of the lines that go, or null."""
-    gone = materialize(dropped_lines(docs, settings).groupBy("doc_id").agg(F.collect_set("at").alias("__gone")), "gone")
+    """row, all columns of docs; gone, the lines that go as bits of longs, or null; and how many they are."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63))
+    words = dropped_lines(docs, settings).groupBy("doc_id", F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    held = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of_word"), F.max("word").alias("top"), F.sum(F.bit_count("bits")).alias("n_gone"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda word: F.coalesce(F.col("of_word")[word], F.lit(0).cast("long")))
+    gone = materialize(held.select(F.col("doc_id").alias("gone_id"), dense.alias("gone"), "n_gone"), "gone")
     # The places grow with the input, so they are not broadcast, however few a small input has. A hash of one
     # partition's places spares a sort of whole texts.
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), "__gone").hint("shuffle_hash")
-    # A null id never equals another: such rows lose no line.
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left").drop("__gone_id")
+    rows = boxed(docs).withColumn("id", F.col("row")["doc_id"])
+    found = rows.where("id IS NOT NULL").join(gone.hint("shuffle_hash"), F.col("id") == F.col("gone_id"), "left").select("row", "gone", "n_gone")
+    # Rows with a null id lose no line; they need no partner, so they are not gathered in one task to seek one.
+    return found.unionByName(rows.where("id IS NULL").select("row", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(None).cast("long").alias("n_gone")))
 
 
 def _left(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(F.col("__gone"), at))
-    return F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    """The text without the lines that ``gone`` marks, in time linear in its lines."""
+    marked = lambda at: F.getbit(F.get("gone", F.shiftright(at, 6)), at.bitwiseAND(63)) == 1
+    kept = F.filter(F.split(text, "\n"), lambda line, at: ~F.coalesce(marked(at), F.lit(False)))
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -143,21 +150,22 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     A document that has lost every line stays with an empty text. Null text stays null. Rows that
     share a doc_id count as one document and lose the lines that any of them loses at
-    that place; rows with a null id count as one document and lose none.
+    that place; rows with a null id count as one document and lose none. An empty table gives no rows.
+    Columns of any other name are carried along.
     """
-    text = _left(F.col("text"))
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return _drop(docs, settings).select(*[new[name].alias(name) if name in new else F.col(f"`{name}`") for name in docs.columns])
+    text = _left(F.col("row")["text"])
+    return unboxed(_drop(docs, settings), docs.columns, text=text, n_chars=F.length(text).cast("long"))
 
 
 def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left, for every document. See ``clean`` for special cases."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("row")["text"]
     return _drop(slim, settings).select(
-        "doc_id",
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        _left(F.col("text")).alias("text"),
+        F.col("row")["doc_id"].alias("doc_id"),
+        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_dropped"),
+        _left(text).alias("text"),
     )
 
 

@@ -91,3 +91,49 @@ def test_odd_conversations(spark):
     assert sum(r.n_lines for r in out if r.conv_id == 2) == 3001
     assert [r.role for r in sorted((r for r in out if r.conv_id == 3), key=lambda r: r.part)] == ["system", "user"]
     assert chat.format_chats(conv.limit(0), chat.fit(conv.limit(0))).count() == 0
+
+
+OWN_NAMES = ("row", "id", "gone", "gone_id", "n_gone", "word", "bits", "of_word", "__id", "__hash", "__no_id", "__copy", "__gone", "__gone_id", "__quality", "__text", "doc", "root", "fp", "bands", "leader", "a", "b", "leaf", "line", "at", "p")
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_bear_columns_with_the_operators_names(spark, name):
+    rows = [(i, "One line of plain words that goes on for a while, as clean prose does, and that says more than twenty words in all of it.\nline") for i in (1, 2, None)]
+    docs = spark.createDataFrame([(*row, *("own" for _ in OWN_NAMES)) for row in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in OWN_NAMES))
+    out = STAGES[name](spark, docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == {"near_dedup": 1, "decontaminate": 0}.get(name, 3) and all(r[c] == "own" for r in got for c in OWN_NAMES)
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from quillstone.llm import common
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+    Context.master = "local[2]"
+    assert common.shared_dir(Session()) == common.LOCAL_CHECKPOINTS
+
+
+def test_scratch_deletes_what_was_written(spark):
+    import os
+
+    from quillstone.llm import common
+
+    with common.scratch(spark):
+        (path,) = {os.path.dirname(f) for f in common.materialize(spark.range(3), "some").inputFiles()}
+        assert os.path.isdir(path.removeprefix("file:").replace("///", "/"))
+    assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))
