@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, table
 
-#: Bits of one filter at most: it travels in the plan as an array of longs. Larger lists take the join instead.
-MOST_BITS = 1 << 23
+#: Bits of the filters of one pass: they travel in the plan. A list that needs more is judged in several passes.
+MOST_BITS = 1 << 25
+#: Words of a filter that come to the driver in one string.
+CHUNK = 1 << 10
 
 # The rules of the contract, and the names and zones of sites with unwanted pages.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -44,28 +47,26 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(host_suffixes(host), lambda suffix: F.transform(kept, lambda prefix: F.concat(suffix, prefix))))
 
 
-def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
-    """Double hashing, other for each level; bits is a power of two."""
+def _positions(key: Column, level: int, bits: int, hashes: int) -> Column:
+    """The places of a key's bits, by double hashing that differs from level to level."""
     first = F.xxhash64(F.lit(level), key).bitwiseAND(F.lit(0x7FFFFFFF))
     second = F.hash(F.lit(level), key).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").bitwiseOR(F.lit(1).cast("long"))
-    return [(first + second * F.lit(at).cast("long")).bitwiseAND(F.lit(bits - 1).cast("long")) for at in range(hashes)]
+    return F.array(*[(first + second * F.lit(at).cast("long")) % F.lit(bits).cast("long") for at in range(hashes)])
 
 
 @dataclass(frozen=True)
 class Level:
+    """A Bloom filter; ``words`` are its bits as longs in a string, which Spark folds into one literal."""
+
     number: int
     bits: int
     hashes: int
-    words: tuple[int, ...]
+    words: str
 
     def might_hold(self, key: Column) -> Column:
-        words = F.array(*[F.lit(word).cast("long") for word in self.words])
-        found = None
-        for at in _positions(key, self.number, self.bits, self.hashes):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            hit = F.getbit(word, at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
-            found = hit if found is None else found & hit
-        return found
+        words = F.split(F.lit(self.words), ",").cast("array<bigint>")
+        is_set = lambda at: F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+        return F.forall(_positions(key, self.number, self.bits, self.hashes), is_set)
 
 
 @dataclass(frozen=True)
@@ -74,68 +75,102 @@ class Cascade:
 
     A key is listed if the first level that lacks it is an odd one (counted from 0):
     even levels hold listed keys, odd levels hold the keys that slipped through the
-    level before.
+    level before. ``rest`` is the verdict on keys that every level holds.
     """
 
     levels: tuple[Level, ...]
+    rest: bool
 
     def holds(self, key: Column) -> Column:
-        verdict = F.lit(len(self.levels) % 2 == 1)
+        verdict = F.lit(self.rest)
         for level in reversed(self.levels):
             verdict = F.when(level.might_hold(key), verdict).otherwise(F.lit(level.number % 2 == 1))
         return verdict
 
 
-def build(universe: DataFrame, listed: DataFrame, *, bits_per_key: int = 10, hashes: int = 4, most_bits: int = MOST_BITS) -> Cascade | None:
-    """A cascade for the keys of ``listed`` over ``universe`` (both with a string column key); None if a level would pass ``most_bits``.
+def _hashes(rate: float) -> int:
+    return max(1, math.ceil(-math.log2(rate)))
+
+
+def _bits(keys: int, hashes: int) -> int:
+    """Bits at which a filter of that many keys lets 2**-hashes of others through."""
+    return 64 * max(1, math.ceil(keys * hashes / math.log(2) / 64))
+
+
+def _by_cascade(values: dict[int, Column]) -> Column:
+    out = F
+    for number, value in values.items():
+        out = out.when(F.col("cascade") == number, value)
+    return out
+
+
+def _first_rate(listed: int, others: int) -> float:
+    """As many others slip through the first level as keys are listed, so what follows does not grow with the universe."""
+    return min(0.5, listed / others) if others else 0.5
+
+
+def cascades(keys: DataFrame, *, rate: float = 1 / 16) -> dict[int, Cascade]:
+    """The cascades of ``keys`` (cascade int, key, is_listed; each key once a cascade), all built level by level together.
 
-    What is collected is the filters' words, whose number is bounded by most_bits. Each level is
-    as large as the keys it holds need; the rows left shrink from level to level by the
-    filters' rate of false positives, so a few levels end it.
+    The first level is sized by the listed keys and by their share of the universe, later ones by the keys that are
+    left, of which a share ``rate`` slips through: filters grow with the list, and with the logarithm of the universe. A level is one
+    aggregation of set bits, one write of the keys that are left, and one count of them.
     """
-    # One aggregation tells listed keys from the rest of the universe.
-    both = universe.select("key", F.lit(False).alias("is_listed")).unionByName(listed.select("key", F.lit(True).alias("is_listed")))
-    keys = materialize(both.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("is_listed").alias("is_listed")), "keys")
-    levels: list[Level] = []
+
+    def count(left: DataFrame) -> dict[int, tuple[int, int]]:
+        return {r.cascade: (r.listed, r.others) for r in left.groupBy("cascade").agg(F.count_if("is_listed").alias("listed"), F.count_if(~F.col("is_listed")).alias("others")).collect()}
+
+    levels: dict[int, list[Level]] = defaultdict(list)
+    rest: dict[int, bool] = defaultdict(bool)
     left, number = keys, 0
-    while True:
-        member = F.col("is_listed") if number % 2 == 0 else ~F.col("is_listed")
-        n = left.where(member).count()
-        if n == 0:
+    counts = count(left)
+    while counts:
+        # Where one side is left alone, its verdict ends the cascade.
+        ended = {c: bool(listed) for c, (listed, others) in counts.items() if not listed or not others}
+        rest |= ended
+        counts = {c: n for c, n in counts.items() if c not in ended}
+        if not counts:
             break
-        bits = 1 << max(6, math.ceil(math.log2(bits_per_key * n)))
-        if bits > most_bits:
-            return None
-        at = F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("at")
-        words = [0] * (bits // 64)
-        set_bits = left.where(member).select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("set"))
-        for row in set_bits.collect():  # most_bits / 64 rows at most
-            words[row.word] = row.set
-        level = Level(number, bits, hashes, tuple(words))
-        levels.append(level)
-        # The next level holds those of the other side that this one lets through.
-        left = left.where(level.might_hold(F.col("key")))
+        member = F.col("is_listed") if number % 2 == 0 else ~F.col("is_listed")
+        shape = {}
+        for c, (listed, others) in counts.items():
+            hashes = _hashes(rate if number else _first_rate(listed, others))
+            shape[c] = _bits((listed, others)[number % 2], hashes), hashes
+        places = _by_cascade({c: _positions(F.col("key"), number, *size) for c, size in shape.items()})
+        at = left.where(member & F.col("cascade").isin(*shape)).select("cascade", F.explode(places).alias("at"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        words = at.groupBy("cascade", F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        text = F.array_join(F.collect_list(F.concat(F.col("word").cast("string"), F.lit(" "), F.col("bits").cast("string"))), ",")
+        filters = {c: ["0"] * (bits // 64) for c, (bits, _) in shape.items()}
+        for row in words.groupBy("cascade", F.floor(F.col("word") / CHUNK)).agg(text.alias("text")).toLocalIterator():
+            for pair in row.text.split(","):
+                word, value = pair.split(" ")
+                filters[row.cascade][int(word)] = value
+        built = {c: Level(number, *shape[c], ",".join(filters[c])) for c in shape}
+        for c, level in built.items():
+            levels[c].append(level)
+        slips = _by_cascade({c: level.might_hold(F.col("key")) for c, level in built.items()})
+        left = materialize(left.where(slips), "left")  # null, for cascades that have ended, is no
+        counts = count(left)
         number += 1
-    return Cascade(tuple(levels))
+    return {c: Cascade(tuple(levels[c]), rest[c]) for c in {*levels, *rest}}
 
 
-def _listed(spark: SparkSession, keys: list[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(key) for key in keys])).alias("key")) if keys else spark.range(0).select(F.lit("").alias("key"))
+def build(universe: DataFrame, listed: DataFrame, *, rate: float = 1 / 16) -> Cascade:
+    """A cascade for the keys of ``listed`` over ``universe`` (both with a string column key). Null keys are left out."""
+    both = universe.select("key", F.lit(False).alias("is_listed")).unionByName(listed.select("key", F.lit(True).alias("is_listed")))
+    keys = both.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("is_listed").alias("is_listed"))
+    return cascades(materialize(keys.withColumn("cascade", F.lit(0)), "keys"), rate=rate).get(0, Cascade((), False))
 
 
-def _by_join(hosts: DataFrame, parts: DataFrame, lengths: list[int], rules: DataFrame, blocked: DataFrame) -> DataFrame:
-    """``hosts`` with rule and is_blocked, for lists beyond what a filter may hold.
+def _listed(spark: SparkSession, names) -> DataFrame:
+    """A table of hosts as it is, or one of a few names."""
+    if isinstance(names, DataFrame):
+        return names.select(ascii_lower(F.col("host").cast("string")).alias("key"))
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("key"))
 
-    Distinct pairs of host and path prefix meet the lists; pages only meet the verdicts of their pair.
-    """
-    keyed = parts.select("host", "prefix", F.explode(candidate_keys(F.col("host"), F.col("prefix"), lengths)).alias("key"))
-    longest = F.max(F.struct(F.length("key").alias("n"), "key", "blocks"))
-    ruled = keyed.join(rules, "key").groupBy("host", "prefix").agg(longest.alias("longest"))
-    suffixes = parts.select("host").distinct().select("host", F.explode(host_suffixes(F.col("host"))).alias("key"))
-    listed = suffixes.join(blocked, "key", "left_semi").select("host", F.lit(True).alias("is_listed")).distinct()
-    judged = parts.join(ruled, ["host", "prefix"], "left").join(listed, "host", "left")
-    verdicts = judged.select("host", "prefix", F.col("longest.key").alias("rule"), F.coalesce("longest.blocks", "is_listed", F.lit(False)).alias("is_blocked"))
-    return hosts.join(materialize(verdicts, "verdicts"), ["host", "prefix"])
+
+RULE, BLOCK, HOST = 0, 1, 2
 
 
 def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, *, most_bits: int = MOST_BITS) -> DataFrame:
@@ -143,38 +178,47 @@ def judge(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, *, most_bi
 
     The keys of all pages (host suffixes with path prefixes of the rules' lengths) are
     the universe. One cascade holds the rules' keys, one those that block, one the
-    blocked hosts; each page's own keys are then looked up without a join. The longest
-    rule wins; without a rule, a page is blocked if its host or a parent is listed. Lists
-    that would take filters of more than ``most_bits`` are joined instead.
+    blocked hosts (names, or a table with a column host); each page's own keys are then looked up without a join. The longest
+    rule wins; without a rule, a page is blocked if its host or a parent is listed. Keys are dealt by hash over as
+    many passes as keep the filters of one within ``most_bits``; a few million listed hosts take one.
 
-    A null url, or one without ://, has empty host and path and is allowed. Rows that
-    repeat a page_id are judged each; other columns are not read. An empty table gives no rows.
+    A null url, or one without ://, has empty host and path and is allowed. Very long urls are read whole. Rows that
+    repeat a page_id are judged each; of rules that tie in length none differ, as they fit one url and so are
+    the same. Null hosts list nothing. Other columns are not read. An empty table gives no rows.
     """
     spark = pages.sparkSession
     lengths = sorted({len(path) for _, path, _ in rules})
     hosts = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = hosts.withColumn("prefix", F.substring("path", 1, max(lengths, default=0)))
     # Distinct pairs first: a hot host's pages fold into a few keys before any exchange of keys.
-    parts = hosts.select("host", "prefix").distinct()
-    rule_universe = parts.select(F.explode(candidate_keys(F.col("host"), F.col("prefix"), lengths)).alias("key")).distinct()
-    host_universe = parts.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key")).distinct()
+    parts = hosts.select("host", F.substring("path", 1, max(lengths, default=0)).alias("prefix")).distinct()
     named = [host + path for host, path, _ in rules]
     blocking = [host + path for host, path, verdict in rules if verdict == "block"]
-    cascades = []
-    for universe, keys in ((rule_universe, named), (rule_universe, blocking), (host_universe, list(blocked_hosts))):
-        cascades.append(build(universe, _listed(spark, keys), most_bits=most_bits))
-        if cascades[-1] is None:
-            verdicts = spark.createDataFrame([(host + path, verdict == "block") for host, path, verdict in rules], "key string, blocks boolean")
-            ruled = _by_join(hosts, parts, lengths, verdicts, _listed(spark, list(blocked_hosts)))
-            break
-    else:
-        is_rule, is_block, is_listed = cascades
-        keys = F.filter(candidate_keys(F.col("host"), F.col("path"), lengths), is_rule.holds)
-        longest = F.array_max(F.transform(keys, lambda key: F.struct(F.length(key).alias("n"), key.alias("key"))))["key"]
-        ruled = hosts.withColumn("rule", longest)
-        listed = F.exists(host_suffixes(F.col("host")), is_listed.holds)
-        ruled = ruled.withColumn("is_blocked", F.when(F.col("rule").isNotNull(), is_block.holds(F.col("rule"))).otherwise(listed))
-    return ruled.select("page_id", "host", "path", "rule", F.when(F.col("is_blocked"), "block").otherwise("allow").alias("verdict"))
+    of = lambda cascade, is_listed, keys: keys.select(F.lit(cascade).alias("cascade"), "key", F.lit(is_listed).alias("is_listed"))
+    # A rule found by the first cascade is all that the second is asked about.
+    universe = of(RULE, False, parts.select(F.explode(candidate_keys(F.col("host"), F.col("prefix"), lengths)).alias("key")))
+    universe = universe.unionByName(of(HOST, False, parts.select(F.explode(host_suffixes(F.col("host"))).alias("key"))))
+    for cascade, is_listed, keys in ((RULE, True, named), (BLOCK, False, named), (BLOCK, True, blocking), (HOST, True, blocked_hosts)):
+        universe = universe.unionByName(of(cascade, is_listed, _listed(spark, keys)))
+    keys = universe.where("key IS NOT NULL").groupBy("cascade", "key").agg(F.max("is_listed").alias("is_listed"))
+    keys = materialize(keys, "keys")
+
+    counts = keys.groupBy("cascade").agg(F.count_if("is_listed").alias("listed"), F.count_if(~F.col("is_listed")).alias("others")).collect()
+    needed = sum(2 * _bits(row.listed, _hashes(_first_rate(row.listed, row.others))) for row in counts if row.listed)
+    passes = max(1, math.ceil(needed / max(64, most_bits)))
+    own = lambda key, number: F.lit(True) if passes == 1 else F.pmod(F.xxhash64(F.lit(-1), key), F.lit(passes)) == number
+    best = "struct<n:int,key:string,blocks:boolean>"
+    judged = hosts.select("*", F.lit(None).cast(best).alias("best"), F.lit(False).alias("listed"))
+    for number in range(passes):
+        built = cascades(keys.where(own(F.col("key"), number)))
+        is_rule, is_block, is_listed = (built.get(c, Cascade((), False)) for c in (RULE, BLOCK, HOST))
+        found = F.filter(candidate_keys(F.col("host"), F.col("path"), lengths), lambda key: own(key, number) & is_rule.holds(key))
+        longest = F.array_max(F.transform(found, lambda key: F.struct(F.length(key).alias("n"), key.alias("key"), is_block.holds(key).alias("blocks"))))
+        under = F.exists(host_suffixes(F.col("host")), lambda key: own(key, number) & is_listed.holds(key))
+        judged = judged.select("page_id", "host", "path", F.greatest("best", longest.cast(best)).alias("best"), (F.col("listed") | under).alias("listed"))
+        if passes > 1:
+            judged = materialize(judged, "judged")
+    blocked = F.coalesce(F.col("best.blocks"), F.col("listed"))
+    return judged.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

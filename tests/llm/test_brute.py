@@ -174,18 +174,32 @@ def test_urls(spark):
 def test_cascade_is_exact_with_tiny_filters(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.where("CAST(substr(key, 2) AS INT) % 13 = 0")
-    cascade = urls.build(keys, listed, bits_per_key=2, hashes=2)
+    cascade = urls.build(keys, listed, rate=0.5)
     assert len(cascade.levels) > 2
     wrong = keys.withColumn("in", cascade.holds(F.col("key"))).where(F.col("in") != (F.col("key").substr(2, 9).cast("int") % 13 == 0))
     assert wrong.count() == 0
-    assert urls.build(keys, listed, most_bits=64) is None
-    assert urls.build(keys, listed.limit(0)).levels == ()
+    assert urls.build(keys, listed.limit(0)).levels == () and urls.build(listed, listed).rest
 
 
-def test_long_lists_are_judged_by_joins_alike(spark):
+def test_long_lists_are_judged_alike_in_several_passes(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    by_filter = sorted(map(str, urls.judge(pages).collect()))
-    assert sorted(map(str, urls.judge(pages, most_bits=0).collect())) == by_filter
+    in_one = sorted(map(str, urls.judge(pages).collect()))
+    assert sorted(map(str, urls.judge(pages, most_bits=200).collect())) == in_one
+    listed = spark.createDataFrame([(host.upper(),) for host in urls.BLOCKED_HOSTS] * 2 + [(None,)], "host string")
+    assert sorted(map(str, urls.judge(pages, blocked_hosts=listed).collect())) == in_one
+
+
+def test_filters_grow_with_the_list_and_not_with_the_universe(spark):
+    """10^5 listed of 10^6 keys, and 18 of as many: exact, and of bounded size."""
+    import time
+
+    keys = spark.range(1_000_000).select(F.concat(F.lit("host"), "id").alias("key"))
+    for every, most in ((10, 20 * 100_000), (55_000, 20_000)):
+        listed = keys.where(F.substring("key", 5, 9).cast("int") % every == 0)
+        began = time.time()
+        cascade = urls.build(keys, listed)
+        assert time.time() - began < 60 and sum(level.bits for level in cascade.levels) < most
+        assert keys.where(cascade.holds(F.col("key")) != (F.substring("key", 5, 9).cast("int") % every == 0)).count() == 0
 
 
 # ---- 4
