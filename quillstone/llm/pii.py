@@ -26,26 +26,27 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _PASSWORD = re.compile(r"(?i)\b(?:password|passwd|pwd|api_key|apikey|secret|token)\s{0,3}[=:]\s{0,3}(\S{6,128})")
 _NOT_DIGIT = re.compile("[^0-9]")
+_CONTEXT = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 # Score of a confirmed span, and the words near it that raise or lower the score.
 START = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "key": 0.9, "password": 0.7}
 RAISE = {
-    "email": ("mail", "contact", "kontakt", "contacto", "courriel"),
-    "ip": ("ip", "address", "host", "server", "login", "client"),
-    "card": ("card", "credit", "visa", "mastercard", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp", "telefon", "teléfono", "téléphone"),
-    "iban": ("iban", "account", "bank", "transfer", "konto", "compte", "cuenta"),
+    "email": ("mail", "email", "e-mail", "mails", "contact", "kontakt", "contacto", "courriel", "correo"),
+    "ip": ("ip", "address", "addresses", "host", "server", "login", "client"),
+    "card": ("card", "cards", "credit", "creditcard", "visa", "mastercard", "payment", "karte", "kreditkarte", "carte", "tarjeta"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax", "whatsapp", "telefon", "teléfono", "téléphone"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "kontonummer", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
-    "key": ("key", "aws", "access", "secret"),
-    "password": ("login", "user", "credentials"),
+    "key": ("key", "keys", "aws", "access", "secret"),
+    "password": ("login", "user", "username", "credentials"),
 }
 LOWER = {
     "email": ("noreply", "no-reply"),
-    "ip": ("version", "release", "section", "chapter"),
+    "ip": ("version", "versions", "release", "section", "chapter"),
     "card": ("isbn", "order", "serial", "tracking", "part"),
     "phone": ("version", "ratio"),
     "iban": ("serial", "part"),
-    "ssn": ("part", "order", "serial", "isbn"),
+    "ssn": ("part", "parts", "order", "serial", "isbn"),
     "key": ("example",),
     "password": ("forgot", "reset"),
 }
@@ -133,11 +134,23 @@ _FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iba
 _AT, _DIGIT, _ASSIGN = "@", re.compile("[0-9]"), re.compile("[=:]")
 
 
+def context_words(text: str, start: int, end: int, near: int) -> set[str]:
+    """The whole lower-cased words within ``near`` code points of a span; a word that the limit cuts is none."""
+    out: set[str] = set()
+    for low, high in ((max(0, start - near), start), (end, min(len(text), end + near))):
+        for word in _CONTEXT.finditer(text, low, high):
+            cut_before = word.start() == low and 0 < low and _CONTEXT.match(text, low - 1)
+            cut_after = word.end() == high and high < len(text) and _CONTEXT.match(text, high)
+            if not (cut_before or cut_after):
+                out.update(word.group().lower().replace("-", " ").split(), [word.group().lower()])
+    return out
+
+
 def score(text: str, kind: str, start: int, end: int, policy: Policy) -> float:
-    near = (text[max(0, start - policy.near) : start] + " " + text[end : end + policy.near]).lower()
+    near = context_words(text, start, end, policy.near)
     value = START[kind]
-    value += policy.step * any(word in near for word in RAISE[kind])
-    value -= policy.step * any(word in near for word in LOWER[kind])
+    value += policy.step * (not near.isdisjoint(RAISE[kind]))
+    value -= policy.step * (not near.isdisjoint(LOWER[kind]))
     return round(min(1.0, max(0.0, value)), 3)
 
 
@@ -184,7 +197,8 @@ def _digest(text: str | None, policy: Policy) -> tuple:
 def find(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """One row per document with its spans; null text counts as empty, repeated or null doc_ids give a row each.
 
-    One pass over whole texts, no shuffle. Other columns are not read.
+    One pass over whole texts, however long, no shuffle. Spans of different kinds may overlap; those that start
+    together are listed in the order of KINDS. An empty table gives no rows. Other columns are not read.
     """
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "n_added"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.int64()]
