@@ -625,3 +625,110 @@ def test_chat_query_is_the_best_path(spark):
             own += (model.start[state] if before is None else model.change[before, state]) + model.of_line[state, of_line] + model.length[state, length] + model.n[state, n]
             before = state
         assert own == pytest.approx(score)
+
+
+def made_iban(rng, country="DE"):
+    """A number with its check digits: 98 less the remainder of the rest with 00 in their place."""
+    body = "".join(map(str, rng.integers(0, 10, 18)))
+    moved = body + "".join(str(int(c, 36)) for c in country) + "00"
+    return f"{country}{98 - int(moved) % 97:02d}{body}"
+
+
+def made_card(rng):
+    digits = "".join(map(str, rng.integers(1, 10, 15)))
+    return next(digits + str(d) for d in range(10) if luhn(digits + str(d)))
+
+
+def test_pii_recall_by_kind_and_clean_prose(spark, texts):
+    """Each kind planted in plain prose with a word of its context is found where it lies; prose alone has no added spans."""
+    rng = np.random.default_rng(8)
+    prose = "the committee met in the morning and agreed upon a letter which was sent at once to all members".split()
+    made = {
+        "email": lambda: ("mail", f"user{rng.integers(1000)}@site{rng.integers(100)}.example.org"),
+        "ip": lambda: ("server", ".".join(map(str, rng.integers(0, 256, 4)))),
+        "card": lambda: ("card", made_card(rng)),
+        "phone": lambda: ("call", f"+49 30 {rng.integers(10**6, 10**7)}"),
+        "iban": lambda: ("account", " ".join(re.findall(".{1,4}", made_iban(rng)))),
+        "ssn": lambda: ("ssn", f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}"),
+        "key": lambda: ("key", "AKIA" + "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 16))),
+        "password": lambda: ("login", "password=" + "".join(rng.choice(list("abcdefXYZ0123456789!"), 12))),
+    }
+    for kind, make in made.items():
+        for _ in range(200):
+            word, value = make()
+            words = list(rng.choice(prose, 30))
+            place = int(rng.integers(2, 28))
+            text = " ".join([*words[:place], word, value, *words[place:]])
+            start = text.index(value) + (9 if kind == "password" else 0)
+            assert (start, text.index(value) + len(value), kind) in {span[:3] for span in pii.spans(text)}, text
+            assert not pii.spans(" ".join(words))
+
+
+@pytest.mark.parametrize("near,found", [("social security of the department", True), ("a part of the order, serial", False), ("nothing of the kind", False), ("xssn ssnx antisocial", False), ("the taxpayer", True)])
+def test_pii_context_is_of_whole_words(near, found):
+    text = f"{near} 219-09-9999 and so on"
+    assert bool(pii.spans(text)) == found
+    # A word that the limit of the context cuts is none: 'hotel' is no 'tel'.
+    phone = "+49 30 1234567"
+    cut = "hotel" + " " * 45 + phone
+    assert pii.spans(cut)[0][3] == pii.START["phone"] and pii.spans("tel" + " " * 45 + phone)[0][3] > pii.START["phone"]
+
+
+def plain_slot(slots, *values):
+    """The engine's hash of longs, one after the other, each the seed of the next; a null leaves the seed as it is."""
+    seed = 42
+    for value in values:
+        if value is not None:
+            seed = xxhash.xxh64_intdigest(int(value).to_bytes(8, "little", signed=True), seed)
+    return (seed - (1 << 64) * (seed >> 63)) % slots
+
+
+def test_sharding_against_a_plain_version(spark, tmp_path):
+    """Every column of the query's rows on sf0.01, from the texts and the stored maps."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    maps = f"file://{tmp_path}/maps"
+    got = sharding.shard(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), maps=maps).collect()
+    sizes, slot = {}, {}
+    for k, text in texts.items():
+        raw = (text or "").encode()
+        sizes[k] = len(raw) + 1
+        slot[k] = plain_slot(4096, k, zlib.crc32(raw), len(raw) + 1)
+    of_slot = [0] * 4096
+    for k in texts:
+        of_slot[slot[k]] += sizes[k]
+    assert max(of_slot) <= sum(of_slot) // 64  # no slot is hot here
+    assert sharding.read_map(spark, maps, 0) == (0, [n % 16 for n in range(4096)])
+    version, owners = sharding.read_map(spark, maps)
+    assert version == 1 and owners == sharding.rebalance([n % 16 for n in range(4096)], of_slot, 16)
+    order = defaultdict(list)
+    for k in sorted(texts, key=lambda k: (slot[k], k)):
+        order[owners[slot[k]]].append(k)
+    want = {k: (sizes[k], zlib.crc32((texts[k] or "").encode()), "bytes", shard, place, None, slot[k], 1) for shard, members in order.items() for place, k in enumerate(members)}
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(texts)
+    assert max(map(sum, ([sizes[k] for k in m] for m in order.values()))) - min(map(sum, ([sizes[k] for k in m] for m in order.values()))) < 0.01 * sum(sizes.values()) / 16
+
+
+def test_a_grown_corpus_starts_from_the_stored_map(spark, tmp_path):
+    maps = f"file://{tmp_path}/maps"
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    first = {r.doc_id: r.shard for r in sharding.shard(docs, maps=maps).collect()}
+    more = docs.unionByName(docs.select((F.col("doc_id") + 3000).alias("doc_id"), "text").limit(300))
+    again = sharding.shard(more, maps=maps).collect()
+    assert {r.map_version for r in again} == {2}
+    moved = sum(first[r.doc_id] != r.shard for r in again if r.doc_id in first)
+    assert moved < 300
+    with pytest.raises(ValueError):
+        sharding.shard(docs, maps=maps, slots=64)
+
+
+def test_hot_records_are_spread(spark):
+    """A third of all rows share a null id and a text; sizes and places still hold."""
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("copy of one text").alias("text"))
+    docs = same.unionByName(spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("sixteen letters.").alias("text")))
+    got = sharding.shard(docs).collect()
+    sizes, places = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert len(got) == 12000 and max(sizes.values()) - min(sizes.values()) <= 2 * 17 and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(Counter(r.virtual_slot for r in got).values()) < 60
