@@ -399,8 +399,8 @@ def test_one_class_gives_its_share():
 def test_training_leaves_out_the_held_out(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
-    texts, targets = toxicity.training_rows(docs, labels, toxicity.Settings(per_class=10))
-    assert len(texts) == 20 and sum(targets) == 10 and all(zlib.crc32(t.encode()) % 3 != 1 for t in texts)
+    got = toxicity.training_table(docs, labels, toxicity.Settings(per_class=10)).collect()
+    assert len(got) == 20 and sum(r.toxic for r in got) == 10 and all(zlib.crc32(r.text.encode()) % 3 != 1 for r in got)
 
 
 # ---- 8
@@ -732,3 +732,29 @@ def test_hot_records_are_spread(spark):
         places[r.shard].append(r.slot)
     assert len(got) == 12000 and max(sizes.values()) - min(sizes.values()) <= 2 * 17 and all(sorted(p) == list(range(len(p))) for p in places.values())
     assert max(Counter(r.virtual_slot for r in got).values()) < 60
+
+
+def plain_ngrams(text, orders):
+    text = " " + " ".join((text or "").lower().split()) + " "
+    return {text[i : i + n] for n in orders for i in range(len(text) - n + 1)}
+
+
+def test_toxicity_features_are_character_ngrams():
+    s = toxicity.Settings(bits=40, orders=(2, 3, 5))
+    for text in ("Ünï cödé ist ß", "漢字 ひらがな 한글 漢字", "a", "", None, "😀👩 x" * 20):
+        assert len({int(x) for found in toxicity.ngrams(text, s) for x in found}) == len(plain_ngrams(text, s.orders))
+
+
+def test_toxicity_query_against_a_plain_version(spark):
+    """The query's scores on sf0.01, by the same training rows and plain loops over character n-grams."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    train = sorted((r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not held(r.doc_id) and r.doc_id in texts)
+    model = toxicity.fit([texts[k] for k, _ in train], [t for _, t in train])
+    s = toxicity.Settings()
+    got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for k, text in texts.items():
+        value = 1 / (1 + np.exp(-(model.bias + model.weights[toxicity.kept(text, model.place, s)].sum())))
+        assert got[k].score == pytest.approx(value, abs=1e-6) and got[k].held_out == held(k) and got[k].predicted == (got[k].score >= 0.7)
