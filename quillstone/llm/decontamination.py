@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,21 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 _STRIP = b".,;:!?\"'()[]{}<>*_`~|"
 _SPLIT_AT = re.compile(r"(?<=\?)\s+|\n+")
 _ASKS = re.compile(r"[^\n]*?\?(?:\s|$)")
 #: Raw words whose term numbers are remembered before the memory starts anew.
 REMEMBERED = 500_000
+#: Where a list stands that has no unit left.
+_END = 1 << 62
 
 
 @dataclass(frozen=True)
 class Settings:
     """unit_words: longest stretch of an item that is indexed as one unit;
-    least_words: shortest question that is a unit apart from its answer; blocks:
-    parts of the index that have maxima of their own, each with as many units as
-    that takes; floor: share of a unit's own score that a passage must reach;
+    least_words: shortest question that is a unit apart from its answer; block: units of
+    a block of the index, which has maxima of its own; floor: share of a unit's own score that a passage must reach;
+    small: weights, as shares of the unit's own score, that the first bound takes at their largest for all blocks alike;
     shingle: words of a shingle; overlap: share of an item's question shingles, and
     of all its shingles, that a document must hold; whole: share of all its shingles
     that is enough whatever it holds of the question; a first line is a question by
@@ -40,12 +44,13 @@ class Settings:
     b: float = 0.75
     unit_words: int = 64
     least_words: int = 12
-    blocks: int = 512
+    block: int = 2
     floor: float = 0.4
+    small: float = 0.004
     shingle: int = 5
     overlap: float = 0.5
     whole: float = 0.8
-    index_bytes: int = 1_000_000
+    index_bytes: int = 8_000_000
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -60,55 +65,101 @@ def question_and_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return terms_of(parts[0]), terms_of(parts[1] if len(parts) > 1 else "")
 
 
+def parts_of(text: str | None, settings: Settings) -> tuple[list[bytes], list[bytes], bool]:
+    """Question and answer of an item, and whether the question is judged apart from its answer."""
+    question, answer = question_and_answer(text)
+    if not question:
+        question, answer = answer, []
+    return question, answer, not answer or len(question) >= settings.least_words and bool(_ASKS.match((text or "").strip()))
+
+
+def units_of(question: list, answer: list, settings: Settings) -> Iterator[list]:
+    """The stretches of an item that are indexed: the whole item, and a question that is long enough to be told from common words by itself."""
+    for part in [question + answer] + [question] * (bool(answer) and len(question) >= settings.least_words):
+        pieces = -(-len(part) // settings.unit_words)
+        for piece in range(pieces):
+            yield part[len(part) * piece // pieces : len(part) * (piece + 1) // pieces]
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Of all units of all test items, however many indexes these are cut into: units, their mean length, and the units that hold each term."""
+
+    units: int
+    mean: float
+    df: dict[bytes, int]
+
+    @staticmethod
+    def of(texts: list[str | None], settings: Settings) -> Statistics:
+        df, sizes = Counter(), []
+        for text in texts:
+            for unit in units_of(*parts_of(text, settings)[:2], settings):
+                df.update(set(unit))
+                sizes.append(len(unit))
+        return Statistics(len(sizes), sum(sizes) / max(1, len(sizes)), df)
+
+
 class Index:
-    """Inverted index of test items with block maxima, made for up to ``index_bytes`` of text."""
+    """Inverted index of test items: for each term the units that hold it in order, with weights, their maximum, and maxima by block of units.
+
+    A weight is the term's BM25 score as a share of the score that the unit has by all its own terms, so that
+    one threshold, ``floor``, holds for all units.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]], settings: Settings):
+    def __init__(self, items: list[tuple[int | None, str | None]], settings: Settings, statistics: Statistics | None = None):
         self.settings = settings
-        self.items = []  # (item id, shingles of the question, shingles of the answer), as hash-free tuples of term numbers
-        self.asks: list[bool] = []  # whether an item's question is judged apart from its answer
+        known = statistics or Statistics.of([text for _, text in items], settings)
+        self.items = []  # (item id, shingles of the question, shingles of the answer), as tuples of term numbers
+        self.asks: list[bool] = []
         self.vocabulary: dict[bytes, int] = {}
-        units: list[tuple[int, list[int]]] = []
+        units: list[tuple[int, int, dict[int, float]]] = []  # (terms, item, share of each term)
         for item_id, text in items:
-            question, answer = question_and_answer(text)
-            if not question and not answer:
-                continue
+            question, answer, asks = parts_of(text, settings)
             if not question:
-                question, answer = answer, []
-            asks = not answer or len(question) >= settings.least_words and _ASKS.match((text or "").strip())
-            numbers = [[self.vocabulary.setdefault(term, len(self.vocabulary)) for term in part] for part in (question, answer)]
-            # The whole item, and a question that is long enough to be told from common words by itself.
-            for part in [numbers[0] + numbers[1]] + [numbers[0]] * (bool(answer) and len(question) >= settings.least_words):
-                pieces = -(-len(part) // settings.unit_words)
-                for piece in range(pieces):
-                    units.append((len(self.items), part[len(part) * piece // pieces : len(part) * (piece + 1) // pieces]))
+                continue
+            for unit in units_of(question, answer, settings):
+                norm = settings.k1 * (1 - settings.b + settings.b * len(unit) / known.mean)
+                weights = {}
+                for term, tf in Counter(unit).items():
+                    idf = math.log(1 + (known.units - known.df[term] + 0.5) / (known.df[term] + 0.5))
+                    weights[term] = idf * tf * (settings.k1 + 1) / (tf + norm)
+                own = sum(weights.values())
+                units.append((len(weights), len(self.items), {self.vocabulary.setdefault(term, len(self.vocabulary)): weight / own for term, weight in weights.items()}))
+            numbers = [[self.vocabulary[term] for term in part] for part in (question, answer)]
             self.items.append((item_id, self.shingles(numbers[0]), self.shingles(numbers[1])))
-            self.asks.append(bool(asks))
-        n_terms = len(self.vocabulary)
-        df = Counter(term for _, unit in units for term in set(unit))
-        idf = {term: math.log(1 + (len(units) - n + 0.5) / (n + 0.5)) for term, n in df.items()}
-        mean = sum(len(unit) for _, unit in units) / max(1, len(units))
-        weights, own = [], []
-        for _, unit in units:
-            norm = settings.k1 * (1 - settings.b + settings.b * len(unit) / mean)
-            weights.append({term: idf[term] * tf * (settings.k1 + 1) / (tf + norm) for term, tf in Counter(unit).items()})
-            own.append(sum(weights[-1].values()))
-        # Units of like thresholds share a block, so that a block's threshold is close to each of theirs.
-        order = sorted(range(len(units)), key=lambda u: (own[u], u))
-        self.item_of = [units[u][0] for u in order]
-        self.threshold = [settings.floor * own[u] for u in order]
-        self.size = max(1, -(-len(order) // settings.blocks))
-        n_blocks = -(-len(order) // self.size)
-        self.block_max = np.zeros((n_terms + 1, n_blocks), dtype=np.float32)  # the last row: words outside the vocabulary
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(n_blocks)]
-        for place, u in enumerate(order):
-            block = place // self.size
-            for term, weight in weights[u].items():
-                self.postings[block][term].append((place, weight))
-                above = np.nextafter(np.float32(weight * 1.0001), np.float32(np.inf))  # sums of bounds stay bounds when rounded
-                self.block_max[term, block] = max(self.block_max[term, block], above)
-        self.block_floor = np.array([min(self.threshold[at : at + self.size]) for at in range(0, len(order), self.size)], dtype=np.float32)
-        self.unknown = n_terms
+            self.asks.append(asks)
+        self.unknown = n_terms = len(self.vocabulary)
+        # Units of like size share a block: a short one, whose few terms weigh much, does not raise the maxima of long ones.
+        units.sort(key=lambda unit: unit[:2])
+        self.item_of = [item for _, item, _ in units]
+        self.n_blocks = -(-len(units) // settings.block)
+        postings = sorted((term, unit, weight) for unit, (_, _, shares) in enumerate(units) for term, weight in shares.items())
+        terms = np.array([term for term, _, _ in postings], dtype=np.int64)
+        places = np.array([unit for _, unit, _ in postings], dtype=np.int64)
+        weights = np.array([weight for _, _, weight in postings])
+        # Sums of bounds stay bounds when rounded.
+        above = weights * (1 + 1e-9)
+        self.list_start = np.searchsorted(terms, np.arange(n_terms + 2)).tolist()
+        self.list_units, self.list_weights = array("i", places.tolist()), array("d", weights.tolist())
+        self.list_max = np.zeros(n_terms + 1)
+        np.maximum.at(self.list_max, terms, above)
+        # Block maxima by term, ordered by block, as the lists are by unit.
+        cell, place = np.unique(terms * self.n_blocks + places // settings.block, return_inverse=True) if len(terms) else (terms, terms)
+        block_weights = np.zeros(len(cell))
+        np.maximum.at(block_weights, place, above)
+        of_term, block_of = np.divmod(cell, max(1, self.n_blocks))
+        self.block_start = np.searchsorted(of_term, np.arange(n_terms + 2)).tolist()
+        self.block_of, self.block_weights = array("i", block_of.tolist()), array("d", block_weights.tolist())
+        by_block = np.lexsort((of_term, block_of))
+        self.terms_start = np.searchsorted(block_of[by_block], np.arange(self.n_blocks + 1)).tolist()
+        self.terms_of = array("i", of_term[by_block].tolist())
+        # For the first bound, small maxima are taken at their largest for all blocks alike; the rest are listed.
+        small = block_weights <= settings.small
+        self.everywhere = np.zeros(n_terms + 1)
+        np.maximum.at(self.everywhere, of_term[small], block_weights[small])
+        self.large_start = np.searchsorted(of_term[~small], np.arange(n_terms + 2))
+        self.large_block, self.large_weight = block_of[~small], block_weights[~small]
+        self.least = settings.floor * (1 - 1e-9)
         self._known: dict[bytes, int] = {}
 
     def shingles(self, numbers: list[int]) -> set[tuple]:
@@ -134,23 +185,72 @@ class Index:
         kept = numbers >= 0
         return (numbers, of_text) if kept.all() else (numbers[kept], of_text[kept])
 
-    def wand(self, terms: np.ndarray) -> Iterator[tuple[int, float]]:
-        """Units whose BM25 score by these distinct terms reaches their threshold.
+    def block_max(self, term: int, block: int) -> float:
+        high = self.block_start[term + 1]
+        at = bisect_left(self.block_of, block, self.block_start[term], high)
+        return self.block_weights[at] if at < high and self.block_of[at] == block else 0.0
+
+    def wand(self, terms: list[int], live: list[int]) -> Iterator[tuple[int, float]]:
+        """(unit, score) of the units in ``live`` blocks (ascending) whose score by these distinct terms reaches the floor.
 
-        A block whose maxima do not add up to its lowest threshold is skipped whole;
-        in the others, postings are added up term by term.
+        Block-max WAND: lists are kept in the order of the units they stand at. The pivot is the unit at
+        which the maxima of the lists up to it first reach the floor: no earlier unit can. If the maxima
+        of these lists in the pivot's block reach it too, lists that lag are moved to the pivot, and it is scored once all
+        stand there; else the lists skip the block, or as far as the next list begins to matter. Blocks that are not live are skipped.
         """
-        bound = self.block_max[terms].sum(axis=0)
-        wanted = set(terms.tolist())
-        for block in np.flatnonzero(bound >= self.block_floor).tolist():
-            postings = self.postings[block]
-            scores: dict[int, float] = defaultdict(float)
-            for term in wanted & postings.keys():
-                for unit, weight in postings[term]:
-                    scores[unit] += weight
-            for unit, value in scores.items():
-                if value >= self.threshold[unit]:
-                    yield unit, value
+        units, weights, size = self.list_units, self.list_weights, self.settings.block
+        asked, held = set(terms), set()
+        for block in live:
+            held |= asked.intersection(self.terms_of[self.terms_start[block] : self.terms_start[block + 1]])
+        # [unit, place, end, term] of each list that reaches a live block.
+        lists = [[0, self.list_start[term], self.list_start[term + 1], term] for term in held]
+
+        def seek(entry: list, unit: int) -> None:
+            """To the first unit of the list at or after ``unit``, in a live block."""
+            while True:
+                place = bisect_left(units, unit, entry[1], entry[2])
+                entry[1] = place
+                if place == entry[2]:
+                    entry[0] = _END
+                    return
+                entry[0] = found = units[place]
+                at = bisect_left(live, found // size)
+                if at == len(live):
+                    entry[0] = _END
+                    return
+                if live[at] == found // size:
+                    return
+                unit = live[at] * size
+
+        def move(entries: list[list], unit: int) -> None:
+            nonlocal lists
+            for entry in entries:
+                seek(entry, unit)
+            lists = sorted(entry for entry in lists if entry[0] != _END)
+
+        move(lists, 0)
+        while lists:
+            bound, pivot = 0.0, None
+            for place, entry in enumerate(lists):
+                bound += self.list_max[entry[3]]
+                if bound >= self.least:
+                    pivot = entry[0]
+                    break
+            if pivot is None:
+                return
+            while place + 1 < len(lists) and lists[place + 1][0] == pivot:
+                place += 1
+            upto, block = lists[: place + 1], pivot // size
+            if sum(self.block_max(entry[3], block) for entry in upto) < self.least:
+                after = (block + 1) * size
+                move(upto, min(after, lists[place + 1][0]) if place + 1 < len(lists) else after)
+            elif upto[0][0] < pivot:
+                move([entry for entry in upto if entry[0] < pivot], pivot)
+            else:
+                score = math.fsum(weights[entry[1]] for entry in upto)
+                if score >= self.least:
+                    yield pivot, score
+                move(upto, pivot + 1)
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item place, best score, question overlap, overlap of all) of items that the texts hold.
@@ -169,23 +269,23 @@ class Index:
         halves = -(-np.diff(starts) // s.unit_words) + 1
         first_half = np.cumsum(halves) - halves
         half = first_half[of_text] + (np.arange(len(numbers)) - starts[of_text]) // s.unit_words
-        reach = np.flatnonzero(self._reach(half, numbers, int(halves.sum())))
-        text_of = np.searchsorted(first_half, reach, side="right") - 1
+        live = self._live(half, numbers)
+        text_of = np.searchsorted(first_half, np.array(sorted(live), dtype=np.int64), side="right") - 1
         found: dict[tuple[int, int], list] = {}
-        for text, passage in zip(text_of.tolist(), reach.tolist()):
+        for text, passage in zip(text_of.tolist(), sorted(live)):
             start = int(starts[text]) + (passage - int(first_half[text])) * s.unit_words
             end = int(starts[text + 1])
             window = numbers[start : min(end, start + 2 * s.unit_words)]
             terms = np.unique(window)
             shingles = None
-            for unit, value in self.wand(terms[:-1] if terms[-1] == self.unknown else terms):
+            for unit, value in self.wand((terms[:-1] if terms[-1] == self.unknown else terms).tolist(), live[passage]):
                 if shingles is None:
                     run = numbers[start : min(end, start + 2 * s.unit_words + s.shingle - 1)].tolist()
                     shingles = {tuple(run[at : at + s.shingle]) for at in range(len(run))}
                 item = self.item_of[unit]
                 _, question, answer = self.items[item]
                 hit = found.setdefault((text, item), [0.0, set(), set()])
-                hit[0] = max(hit[0], value / self.threshold[unit] * s.floor)
+                hit[0] = max(hit[0], value)
                 for part, held in ((question, hit[1]), (answer, hit[2])):
                     held |= {x for x in part if x in shingles} if len(next(iter(part), ())) == s.shingle else {x for x in part if _runs(window, x)}
         for (text, item), (value, asked, answered) in sorted(found.items()):
@@ -195,35 +295,38 @@ class Index:
             if of_all >= s.whole or of_all >= s.overlap and (of_question >= s.overlap or not self.asks[item]):
                 yield text, item, value, of_question, of_all
 
-    def _reach(self, half: np.ndarray, numbers: np.ndarray, n_halves: int) -> np.ndarray:
-        """Whether the block maxima of a passage's distinct terms add up to the threshold of any block.
+    def _live(self, half: np.ndarray, numbers: np.ndarray) -> dict[int, list[int]]:
+        """The blocks of each passage, named by its first half window, in which the block maxima of its distinct terms add up to the floor.
 
         Distinct terms are taken within each half window; the sum of two halves bounds the
-        passage they make.
+        passage they make. Only blocks that hold a term are ever touched.
         """
         inside = numbers < self.unknown
         pairs = np.sort(half[inside] * (self.unknown + 1) + numbers[inside])
         if not len(pairs):
-            return np.zeros(n_halves, dtype=bool)
+            return {}
         pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
         of_half, term = pairs // (self.unknown + 1), pairs % (self.unknown + 1)
         starts = np.flatnonzero(np.r_[True, of_half[1:] != of_half[:-1]])
         edges = np.append(starts, len(term))
-        out = np.zeros(n_halves, dtype=bool)
-        last_half, last = -2, None
-        step = 64  # half windows at a time: the gathered rows stay in the processor's cache
+        out: dict[int, list[int]] = defaultdict(list)
+        step = max(2, (1 << 18) // self.n_blocks)  # half windows at a time: bounds the table of sums
         for low in range(0, len(starts), step):
-            high = min(low + step, len(starts))
-            begin = edges[low]
-            bound = np.add.reduceat(self.block_max[term[begin : edges[high]]], starts[low:high] - begin, axis=0)
+            high = min(low + step + 1, len(starts))  # the half after the last is looked at too
             own = of_half[starts[low:high]]
-            # A half alone, with the one after it, and with the one before it.
-            out[own] |= (bound >= self.block_floor).any(axis=1)
-            follows = np.flatnonzero(own[1:] == own[:-1] + 1)
-            out[own[follows]] |= (bound[follows] + bound[follows + 1] >= self.block_floor).any(axis=1)
-            if last_half + 1 == own[0]:
-                out[last_half] |= bool((last + bound[0] >= self.block_floor).any())
-            last_half, last = int(own[-1]), bound[-1]
+            some = term[edges[low] : edges[high]]
+            counts = self.large_start[some + 1] - self.large_start[some]
+            local = np.repeat(np.arange(high - low), np.diff(edges[low : high + 1]))
+            flat = np.arange(counts.sum()) + np.repeat(self.large_start[some] - np.cumsum(counts) + counts, counts)
+            cell = np.repeat(local, counts) * self.n_blocks + self.large_block[flat]
+            sums = np.bincount(cell, weights=self.large_weight[flat], minlength=(high - low) * self.n_blocks).reshape(high - low, self.n_blocks)
+            bound = sums + np.bincount(local, weights=self.everywhere[some], minlength=high - low)[:, None]
+            follows = np.append(own[1:] == own[:-1] + 1, False)
+            passage = bound.copy()
+            passage[follows] += bound[np.flatnonzero(follows) + 1]
+            mine = min(step, high - low)
+            for at, block in np.argwhere(passage[:mine] >= self.least).tolist():
+                out[int(own[at])].append(block)
         return out
 
 
@@ -252,13 +355,34 @@ _SCHEMA = "doc_id long, item_id long, score double, question_overlap double, ove
 
 
 def indexes(benchmark: DataFrame, settings: Settings) -> Iterator[Index]:
-    """One index for each part of the test items with at most ``index_bytes`` of text on average."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    """One index for each part of the test items with at most ``index_bytes`` of text on average; all share the statistics of all items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // settings.index_bytes))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each term of each unit; and one without a term for the units of an item, with their words."""
+        for batch in batches:
+            part, term, units, words = [], [], [], []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(units_of(*parts_of(text, settings)[:2], settings))
+                for terms, n, size in [*(([*set(unit)], 1, 0) for unit in found), ([None], len(found), sum(map(len, found)))]:
+                    term += terms
+                    part += [number] * len(terms)
+                    units += [n] * len(terms)
+                    words += [size] * len(terms)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(term, pa.binary()), pa.array(units, pa.int64()), pa.array(words, pa.int64())], names=["part", "term", "units", "words"])
+
+    cut = materialize(dealt.select("part", "text").mapInArrow(count, "part int, term binary, units long, words long"), "unit_terms")
+    counts = materialize(cut.groupBy("term").agg(F.sum("units").alias("units"), F.sum("words").alias("words")), "unit_counts")
+    whole = counts.where("term IS NULL").first()
+    units, words = (whole.units, whole.words) if whole else (0, 0)
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        yield Index([(row.item_id, row.text) for row in rows], settings)
+        mine = cut.where((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct()
+        df = {bytes(row.term): row.units for row in counts.join(mine, "term").collect()}
+        rows = dealt.where(F.col("part") == part).orderBy("item_id", "text").collect()
+        yield Index([(row.item_id, row.text) for row in rows], settings, Statistics(units, words / max(1, units), df))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -269,14 +393,20 @@ def search(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
     matching passages hold (``question_overlap``, and ``overlap`` with the answer; see
     ``Settings`` for when the question is asked for by itself);
     ``score`` is the best BM25 score as a share of the unit's own. The index of the
-    test items is broadcast, ``index_bytes`` of their text at a time; the documents are
-    scanned once for each. No shuffle. Null texts, and items without words, match nothing.
-    Equal doc_ids get rows each; null doc_ids are kept.
+    test items is broadcast, and the documents scanned once; test items of more than
+    ``index_bytes`` take an index and a scan for each such part, one after the other, with the same scores. No shuffle. Null texts, and
+    items without words, match nothing; very long texts are cut into passages like any other.
+    Equal doc_ids get rows each; null doc_ids and item_ids are kept; equal items count once. An empty table, of either kind, gives no rows.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+    out, shared = None, None
     for index in indexes(benchmark, settings):
+        if shared is not None:
+            # Each index leaves the executors before the next comes.
+            out = materialize(out, "found")
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -298,11 +428,15 @@ def search(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the documents that hold a test item; all columns stay, in one pass without a join.
 
-    A document with null text stays.
+    A document with null text stays; so do repeated rows and null ids that hold none. See ``search`` for other cases.
     """
-    out = docs
+    out, shared = docs, None
     for index in indexes(benchmark, settings):
-        out = out.where(_holds_none(docs.sparkSession.sparkContext.broadcast(index))(F.col("text").cast("string")))
+        if shared is not None:
+            out = materialize(out, "clean")
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        out = out.where(_holds_none(shared)(F.col("text").cast("string")))
     return out
 
 

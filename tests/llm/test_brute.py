@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -490,27 +491,87 @@ def test_decontamination(spark):
     kept = {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()}
     assert kept == set(texts) - {d for d, _ in got}
     # Many small indexes, blocks of several units: the same documents.
-    small = decontamination.Settings(index_bytes=2000, blocks=4)
+    small = decontamination.Settings(index_bytes=2000, block=7)
     assert {(r.doc_id, r.item_id) for r in decontamination.search(docs, bench, small).collect()} == got
 
 
-def test_block_max_skips_no_unit():
+def plain_scores(items, texts, s):
+    """(text, unit of an item) -> BM25 as a share of the unit's own score, for passages of two half windows, all by loops."""
+    units = [(k, unit) for k, text in items for unit in decontamination.units_of(*decontamination.parts_of(text, s)[:2], s)]
+    units.sort(key=lambda unit: (len(set(unit[1])), unit[0]))  # the index's order
+    df = Counter(term for _, unit in units for term in set(unit))
+    mean = sum(len(unit) for _, unit in units) / len(units)
+
+    def weights(unit):
+        tf, norm = Counter(unit), s.k1 * (1 - s.b + s.b * len(unit) / mean)
+        return {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * (s.k1 + 1) / (n + norm) for t, n in tf.items()}
+
+    out = {}
+    for d, text in enumerate(texts):
+        words = decontamination.terms_of(text)
+        for start in range(0, len(words), s.unit_words):
+            held = set(words[start : start + 2 * s.unit_words])
+            for place, (k, unit) in enumerate(units):
+                own = weights(unit)
+                share = sum(w for t, w in own.items() if t in held) / sum(own.values())
+                out[d, place] = max(out.get((d, place), 0), share)
+    return out, [k for k, _ in units]
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_wand_finds_every_partial_match(block):
+    """Against exhaustive BM25: every unit that any passage reaches is found with its score, and no other."""
     rng = np.random.default_rng(6)
-    vocabulary = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 90)))) for i in range(40)]
-    for blocks in (1, 7, 512):
-        index = decontamination.Index(items, decontamination.Settings(blocks=blocks))
-        weights = [defaultdict(float) for _ in index.item_of]
-        for postings in index.postings:
-            for term, units in postings.items():
-                for unit, weight in units:
-                    weights[unit][term] += weight
-        for _ in range(30):
-            terms = np.unique(rng.integers(0, len(index.vocabulary), 40))
-            got = dict(index.wand(terms))
-            for unit, w in enumerate(weights):
-                score = sum(w[t] for t in terms.tolist() if t in w)
-                assert (unit in got) == (score >= index.threshold[unit]) or score == pytest.approx(index.threshold[unit])
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(900)]
+    s = decontamination.Settings(block=block)
+    word = lambda: str(rng.choice(common if rng.random() < 0.5 else rare))
+    items = [(i, " ".join(word() for _ in range(rng.integers(1, 150)))) for i in range(60)]
+    texts = []
+    for _ in range(60):
+        own = items[rng.integers(len(items))][1].split()
+        part = [w for w in own if rng.random() < rng.choice([0.3, 0.5, 0.9])]
+        around = [word() for _ in range(rng.integers(0, 200))]
+        at = int(rng.integers(0, len(around) + 1))
+        texts.append(" ".join(around[:at] + part + around[at:]))
+    index = decontamination.Index(items, s)
+    want, item_of = plain_scores(items, texts, s)
+    found, original = {}, index.wand
+
+    def spy(terms, live):
+        for unit, value in original(terms, live):
+            found[spy.text, unit] = max(found.get((spy.text, unit), 0), value)
+            yield unit, value
+
+    index.wand = spy
+    for spy.text, text in enumerate(texts):
+        list(index.search([text]))
+    assert [index.items[item][0] for item in index.item_of] == item_of
+    over = {key for key, value in want.items() if value >= s.floor}
+    assert {key for key in over if abs(want[key] - s.floor) > 1e-6} <= set(found) <= {key for key in want if want[key] >= s.floor - 1e-6} and len(over) > 40
+    assert all(found[key] == pytest.approx(want[key]) for key in found)
+    # All blocks live: the traversal alone prunes, and finds the same.
+    everywhere = list(range(index.n_blocks))
+    for _ in range(20):
+        terms = np.unique(rng.integers(0, len(index.vocabulary), 60)).tolist()
+        scores = defaultdict(float)
+        for term in terms:
+            for place in range(index.list_start[term], index.list_start[term + 1]):
+                scores[index.list_units[place]] += index.list_weights[place]
+        assert dict(original(terms, everywhere)) == pytest.approx({u: v for u, v in scores.items() if v >= s.floor})
+
+
+def test_scores_do_not_depend_on_the_parts_of_the_index(spark):
+    """Partial copies, an item without an id, and equal items: one index or many, the rows are the same, scores included."""
+    sf = "/root/testdata/sf0.001"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.read.parquet(f"{sf}/benchmark.parquet").limit(3)).select("item_id", "text")
+    body = " ".join(f"w{i}" for i in range(90))
+    bench = bench.unionByName(spark.createDataFrame([(None, body)], "item_id long, text string"))
+    items = [r.text.split() for r in bench.orderBy(F.length("text").desc(), "item_id").limit(12).collect()]
+    docs = spark.createDataFrame([(i, " ".join(words[: int(len(words) * share)])) for i, words in enumerate(items) for share in (0.4, 0.7, 1.0)] + [(99, body), (None, body)], "doc_id long, text string")
+    rows = lambda s: sorted((str(r.doc_id), str(r.item_id), round(r.score, 9), r.question_overlap, r.overlap) for r in decontamination.search(docs, bench, s).collect())
+    whole = rows(decontamination.Settings())
+    assert whole == rows(decontamination.Settings(index_bytes=9000)) and ("99", "None") in {r[:2] for r in whole} and ("None", "None") in {r[:2] for r in whole}
+    assert len({r[0] for r in whole}) > 8
 
 
 # ---- 10
@@ -758,3 +819,36 @@ def test_toxicity_query_against_a_plain_version(spark):
     for k, text in texts.items():
         value = 1 / (1 + np.exp(-(model.bias + model.weights[toxicity.kept(text, model.place, s)].sum())))
         assert got[k].score == pytest.approx(value, abs=1e-6) and got[k].held_out == held(k) and got[k].predicted == (got[k].score >= 0.7)
+
+
+def test_repeated_passages(spark):
+    """Lines of 50 tokens or more that two documents hold, on sf0.01, against a plain count; no other line is among them."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    holders, places = defaultdict(set), defaultdict(list)
+    for k, text in texts.items():
+        for at, line in enumerate((text or "").split("\n")):
+            words = line.strip(" \t\r\x0b\f").split(" ")
+            if len(words) >= 50:
+                shape = tuple(linededup.FIELD if re.search("[0-9]", w) else w for w in words)
+                holders[shape].add(k)
+                places[k].append((at, shape))
+    want = {k: sum(len(holders[shape]) > 1 for _, shape in places[k]) for k in texts}
+    got = {r.doc_id: r for r in rows(spark, "op6_line_dedup", sf)}
+    assert {k: r.n_passages for k, r in got.items()} == want and sum(map(bool, want.values())) > 10
+    plain = plain_line_dedup(texts)
+    for k, r in got.items():
+        extra = {at for at, shape in places[k] if len(holders[shape]) > 1 and k != min(holders[shape])}
+        if not extra:
+            assert r.text_without_passages is None
+        elif plain[k] == texts[k]:
+            assert r.text_without_passages == "\n".join(line for at, line in enumerate(texts[k].split("\n")) if at not in extra)
+
+
+def test_passages_of_two_documents_and_their_fields(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    texts = {1: f"alone\n{passage} on 3 May", 2: f"{passage} on 4 May\nother", 3: passage, 4: None, 5: " ".join(passage.split()[:49]), 6: " ".join(passage.split()[:49])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_passages, r.text, r.text_without_passages) for r in linededup.report(df).collect()}
+    assert got == {k: (int(k in (1, 2)), text, "other" if k == 2 else None) for k, text in texts.items()}
+    assert {r.doc_id: r.text for r in linededup.clean(df, passages=True).collect()} == texts | {2: "other"}
