@@ -19,7 +19,8 @@ class Settings:
     documents in which a template recurs to be dropped; similarity: share of a
     template's tokens that are constant at least; keep_first: whether the document
     with the smallest doc_id keeps its lines; common: share of a leaf's documents that
-    hold a token, below which it is a field in the templates of large leaves.
+    hold a token, below which it is a field in the templates of large leaves; passage_words: tokens of
+    a line from which it is a passage, which recurs if two documents hold it.
     """
 
     depth: int = 3
@@ -27,6 +28,7 @@ class Settings:
     similarity: float = 0.7
     keep_first: bool = True
     common: float = 0.01
+    passage_words: int = 50
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -123,49 +125,85 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     return gone.select("doc_id", "at", "template")
 
 
-def _drop(docs: DataFrame, settings: Settings) -> DataFrame:
-    """row, all columns of docs; gone, the lines that go as bits of longs, or null; and how many they are."""
+def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, at, is_first) of the lines of at least ``passage_words`` tokens whose masked shape two documents or more hold.
+
+    So long a line is its own template: at no other place does chance bring it forth, so it needs no leaf. Lines meet by the hash of
+    their shape and its length; each task folds its lines to one row a shape before the exchange.
+    """
+    long = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) >= settings.passage_words - 1
+    shape = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    keyed = materialize(lines_of(docs).where(long).select("doc_id", "at", F.xxhash64(shape).alias("key"), F.octet_length(shape).alias("size")), "passages")
+    recurring = keyed.groupBy("key", "size").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low != high")
+    return keyed.join(recurring, ["key", "size"]).select("doc_id", "at", (who == F.col("low")).alias("is_first"))
+
+
+def _drop(docs: DataFrame, settings: Settings, passages: bool) -> DataFrame:
+    """row, all columns of docs; gone, the lines that go as bits of longs, or null; and how many they are; the same of repeated passages."""
+    marked = dropped_lines(docs, settings).select("doc_id", "at", F.lit(True).alias("gone"), F.lit(False).alias("passage"), F.lit(False).alias("extra"))
+    if passages:
+        found = repeated_passages(docs, settings).select("doc_id", "at", F.lit(False), F.lit(True), ~F.col("is_first") if settings.keep_first else F.lit(True))
+        marked = marked.union(found)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63))
-    words = dropped_lines(docs, settings).groupBy("doc_id", F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    held = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of_word"), F.max("word").alias("top"), F.sum(F.bit_count("bits")).alias("n_gone"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda word: F.coalesce(F.col("of_word")[word], F.lit(0).cast("long")))
-    gone = materialize(held.select(F.col("doc_id").alias("gone_id"), dense.alias("gone"), "n_gone"), "gone")
+    bits = lambda c: F.coalesce(F.bit_or(F.when(F.col(c), bit)), F.lit(0).cast("long"))
+    words = marked.groupBy("doc_id", F.shiftright("at", 6).alias("word")).agg(bits("gone").alias("gone"), bits("passage").alias("passage"), bits("extra").alias("extra"))
+    held = words.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", F.struct("gone", "extra")))).alias("of_word"), F.max("word").alias("top"),
+        F.sum(F.bit_count("gone")).alias("n_gone"), F.sum(F.bit_count("passage")).alias("n_passages"), F.sum(F.bit_count("extra")).alias("n_extra"),
+    )
+    dense = lambda c: F.transform(F.sequence(F.lit(0), F.col("top")), lambda word: F.coalesce(F.col("of_word")[word][c], F.lit(0).cast("long")))
+    counts = ["n_gone", "n_passages", "n_extra"]
+    gone = materialize(held.select(F.col("doc_id").alias("gone_id"), dense("gone").alias("gone"), dense("extra").alias("extra"), *counts), "gone")
     # The places grow with the input, so they are not broadcast, however few a small input has. A hash of one
     # partition's places spares a sort of whole texts.
     rows = boxed(docs).withColumn("id", F.col("row")["doc_id"])
-    found = rows.where("id IS NOT NULL").join(gone.hint("shuffle_hash"), F.col("id") == F.col("gone_id"), "left").select("row", "gone", "n_gone")
+    found = rows.where("id IS NOT NULL").join(gone.hint("shuffle_hash"), F.col("id") == F.col("gone_id"), "left").select("row", "gone", "extra", *counts)
     # Rows with a null id lose no line; they need no partner, so they are not gathered in one task to seek one.
-    return found.unionByName(rows.where("id IS NULL").select("row", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(None).cast("long").alias("n_gone")))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in found.dtypes if name != "row"]
+    return found.unionByName(rows.where("id IS NULL").select("row", *nothing))
+
 
+def _left(text: Column, *marks: str) -> Column:
+    """The text without the lines that the bits in ``marks`` mark, in time linear in its lines."""
 
-def _left(text: Column) -> Column:
-    """The text without the lines that ``gone`` marks, in time linear in its lines."""
-    marked = lambda at: F.getbit(F.get("gone", F.shiftright(at, 6)), at.bitwiseAND(63)) == 1
-    kept = F.filter(F.split(text, "\n"), lambda line, at: ~F.coalesce(marked(at), F.lit(False)))
-    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    def kept(at: Column) -> Column:
+        out = F.lit(True)
+        for mark in marks:
+            out = out & (F.coalesce(F.getbit(F.get(mark, F.shiftright(at, 6)), at.bitwiseAND(63)), F.lit(0)) == 0)
+        return out
 
+    lines = F.filter(F.split(text, "\n"), lambda line, at: kept(at))
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(lines, "\n"))
 
-def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without its recurring lines; all columns stay, n_chars is counted anew.
+
+def clean(docs: DataFrame, settings: Settings = Settings(), *, passages: bool = False) -> DataFrame:
+    """``docs`` without its recurring lines, and where asked without repeated ``passages``; all columns stay, n_chars is counted anew.
 
     A document that has lost every line stays with an empty text. Null text stays null. Rows that
     share a doc_id count as one document and lose the lines that any of them loses at
     that place; rows with a null id count as one document and lose none. An empty table gives no rows.
     Columns of any other name are carried along.
     """
-    text = _left(F.col("row")["text"])
-    return unboxed(_drop(docs, settings), docs.columns, text=text, n_chars=F.length(text).cast("long"))
+    text = _left(F.col("row")["text"], "gone", *["extra"] * passages)
+    return unboxed(_drop(docs, settings, passages), docs.columns, text=text, n_chars=F.length(text).cast("long"))
 
 
 def report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the text that is left, for every document. See ``clean`` for special cases."""
+    """doc_id, n_lines, n_dropped and the text that is left, for every document. See ``clean`` for special cases.
+
+    n_passages counts the document's lines of ``passage_words`` or more that another document holds too, the first
+    document's own included; text_without_passages is the text that is left once these go as well from all but the first document, null where none goes.
+    """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     text = F.col("row")["text"]
-    return _drop(slim, settings).select(
+    return _drop(slim, settings, True).select(
         F.col("row")["doc_id"].alias("doc_id"),
         F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_dropped"),
-        _left(text).alias("text"),
+        _left(text, "gone").alias("text"),
+        F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"),
+        F.when(F.col("n_extra") > 0, _left(text, "gone", "extra")).alias("text_without_passages"),
     )
 
 
