@@ -136,6 +136,8 @@ def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataF
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
     keyed = materialize(lines_of(docs).where(long).select("doc_id", "at", F.xxhash64(shape).alias("key"), F.octet_length(shape).alias("size")), "passages")
     recurring = keyed.groupBy("key", "size").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low != high")
+    # Written, so that both sides of the join are exchanges that Spark can split at a line which many documents hold.
+    recurring = materialize(recurring, "recurring_passages")
     return keyed.join(recurring, ["key", "size"]).select("doc_id", "at", (who == F.col("low")).alias("is_first"))
 
 
