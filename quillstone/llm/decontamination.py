@@ -269,7 +269,9 @@ class Index:
         halves = -(-np.diff(starts) // s.unit_words) + 1
         first_half = np.cumsum(halves) - halves
         half = first_half[of_text] + (np.arange(len(numbers)) - starts[of_text]) // s.unit_words
-        live = self._live(half, numbers)
+        begins = np.zeros(int(halves.sum()), dtype=bool)
+        begins[first_half] = True
+        live = self._live(half, numbers, begins)
         text_of = np.searchsorted(first_half, np.array(sorted(live), dtype=np.int64), side="right") - 1
         found: dict[tuple[int, int], list] = {}
         for text, passage in zip(text_of.tolist(), sorted(live)):
@@ -295,41 +297,42 @@ class Index:
             if of_all >= s.whole or of_all >= s.overlap and (of_question >= s.overlap or not self.asks[item]):
                 yield text, item, value, of_question, of_all
 
-    def _live(self, half: np.ndarray, numbers: np.ndarray) -> dict[int, list[int]]:
-        """The blocks of each passage, named by its first half window, in which the block maxima of its distinct terms add up to the floor.
+    def _live(self, half: np.ndarray, numbers: np.ndarray, first: np.ndarray) -> dict[int, list[int]]:
+        """The blocks of each passage in which the block maxima of its distinct terms add up to the floor.
 
-        Distinct terms are taken within each half window; the sum of two halves bounds the
-        passage they make. Only blocks that hold a term are ever touched.
+        A passage, named by its first half window, is made of that half and the next; ``first`` marks halves that begin a
+        text and so end no passage. Only blocks that hold a term are ever touched.
         """
-        inside = numbers < self.unknown
-        pairs = np.sort(half[inside] * (self.unknown + 1) + numbers[inside])
+        inside, width = numbers < self.unknown, self.unknown + 1
+        pairs = _distinct(half[inside] * width + numbers[inside])
         if not len(pairs):
             return {}
-        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
-        of_half, term = pairs // (self.unknown + 1), pairs % (self.unknown + 1)
-        starts = np.flatnonzero(np.r_[True, of_half[1:] != of_half[:-1]])
+        pairs = _distinct(np.concatenate([pairs, pairs[~first[pairs // width]] - width]))
+        passage, term = pairs // width, pairs % width
+        starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
         edges = np.append(starts, len(term))
+        counts = self.large_start[term + 1] - self.large_start[term]
+        everywhere = self.everywhere[term]
         out: dict[int, list[int]] = defaultdict(list)
-        step = max(2, (1 << 18) // self.n_blocks)  # half windows at a time: bounds the table of sums
+        step = max(1, (1 << 18) // self.n_blocks)  # passages at a time: bounds the table of sums
         for low in range(0, len(starts), step):
-            high = min(low + step + 1, len(starts))  # the half after the last is looked at too
-            own = of_half[starts[low:high]]
-            some = term[edges[low] : edges[high]]
-            counts = self.large_start[some + 1] - self.large_start[some]
-            local = np.repeat(np.arange(high - low), np.diff(edges[low : high + 1]))
-            flat = np.arange(counts.sum()) + np.repeat(self.large_start[some] - np.cumsum(counts) + counts, counts)
-            cell = np.repeat(local, counts) * self.n_blocks + self.large_block[flat]
-            sums = np.bincount(cell, weights=self.large_weight[flat], minlength=(high - low) * self.n_blocks).reshape(high - low, self.n_blocks)
-            bound = sums + np.bincount(local, weights=self.everywhere[some], minlength=high - low)[:, None]
-            follows = np.append(own[1:] == own[:-1] + 1, False)
-            passage = bound.copy()
-            passage[follows] += bound[np.flatnonzero(follows) + 1]
-            mine = min(step, high - low)
-            for at, block in np.argwhere(passage[:mine] >= self.least).tolist():
-                out[int(own[at])].append(block)
+            n = min(step, len(starts) - low)
+            own = slice(edges[low], edges[low + n])
+            local = np.repeat(np.arange(n), np.diff(edges[low : low + n + 1]))
+            of_cell = np.repeat(local, counts[own])
+            flat = np.arange(len(of_cell)) + np.repeat(self.large_start[term[own]] - np.cumsum(counts[own]) + counts[own], counts[own])
+            sums = np.bincount(of_cell * self.n_blocks + self.large_block[flat], weights=self.large_weight[flat], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
+            bound = sums + np.bincount(local, weights=everywhere[own], minlength=n)[:, None]
+            for at, block in np.argwhere(bound >= self.least).tolist():
+                out[int(passage[starts[low + at]])].append(block)
         return out
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def _runs(window: np.ndarray, part: tuple) -> bool:
     """Whether a stretch shorter than a shingle occurs in the window."""
     at = np.flatnonzero(window[: len(window) - len(part) + 1] == part[0])
