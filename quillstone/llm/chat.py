@@ -76,16 +76,17 @@ def _power(n: Column, steps: int, most: int) -> Column:
 
 
 def lines(texts: DataFrame, block: int, *carried: str) -> DataFrame:
-    """One row per line: conv_id, block, turn, tie, at, line, speech, marker (0: none) and the features; ``carried`` columns come along.
+    """One row per line: conv_id, block, turn, tie, copy, at, line, speech, marker (0: none) and the features; ``carried`` columns come along.
 
     ``tie`` orders turns of one number; blank lines stay with the turn they are in. ``block`` counts
     blocks of turns; turns without a number lie before the others, in blocks by their hash.
     """
     raw = texts.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), *carried)
-    raw = raw.withColumn("tie", F.xxhash64("text"))
+    # ``copy`` keeps the lines of rows that are alike in all apart.
+    raw = raw.withColumns({"tie": F.xxhash64("text"), "copy": F.monotonically_increasing_id()})
     of_hash = F.shiftright("tie", 52) - (1 << 62)
     raw = raw.withColumns({"block": F.coalesce(F.floor(F.col("turn") / block), of_hash).cast("long"), "length": _power(F.length("text"), 2, LENGTH - 1), "cut": F.split("text", "\n")})
-    cut = raw.select("conv_id", "block", "turn", "tie", *carried, "length", F.least(F.size("cut"), F.lit(LINES)).alias("n"), F.posexplode("cut").alias("at", "line"))
+    cut = raw.select("conv_id", "block", "turn", "tie", "copy", *carried, "length", F.least(F.size("cut"), F.lit(LINES)).alias("n"), F.posexplode("cut").alias("at", "line"))
     marker = _marker_role(F.regexp_extract("line", MARKER, 1))
     speech = F.when(F.col("marker") > 0, F.regexp_replace("line", MARKER, ""))
     said = F.coalesce("speech", "line")
@@ -94,7 +95,7 @@ def lines(texts: DataFrame, block: int, *carried: str) -> DataFrame:
     first = lambda c: F.when(F.col("at") == 0, F.col(c)).otherwise(-1).cast("int")
     cut = cut.withColumn("marker", marker).withColumn("speech", speech)
     of_line = _power(F.length(said), 1, 13) * 4 + asks * 2 + listed
-    return cut.select("conv_id", "block", "turn", "tie", *carried, "at", "line", "speech", "marker", of_line.cast("int").alias("of_line"), first("length").alias("length"), first("n").alias("n"))
+    return cut.select("conv_id", "block", "turn", "tie", "copy", *carried, "at", "line", "speech", "marker", of_line.cast("int").alias("of_line"), first("length").alias("length"), first("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -150,15 +151,15 @@ def fit_lines(cut: DataFrame, settings: Settings) -> Model:
     return Model(np.log(shares(start)), np.log(shares(change)), np.log(split), np.log(same), no(of_line), no(length), no(n), no(markers[0]), no(markers[1]))
 
 
-def _emissions(model: Model, rows: pd.DataFrame) -> np.ndarray:
-    marker, first = rows["marker"].to_numpy() - 1, rows["at"].to_numpy() == 0
+def _emissions(model: Model, rows: dict[str, np.ndarray]) -> np.ndarray:
+    marker, first = rows["marker"] - 1, rows["at"] == 0
     named = np.where(first, model.first_marker[:, marker], model.inner_marker[:, marker])
-    return (model.of_line[:, rows["of_line"].to_numpy()] + model.length[:, rows["length"].to_numpy()] + model.n[:, rows["n"].to_numpy()] + named).T
+    return (model.of_line[:, rows["of_line"]] + model.length[:, rows["length"]] + model.n[:, rows["n"]] + named).T
 
 
-def _steps(model: Model, rows: pd.DataFrame, starts: bool) -> np.ndarray:
+def _steps(model: Model, rows: dict[str, np.ndarray], starts: bool) -> np.ndarray:
     """(lines, from, to): transition and emission of each line; ``starts`` where the first line is the conversation's first."""
-    first, marked = rows["at"].to_numpy() == 0, rows["marker"].to_numpy() > 0
+    first, marked = rows["at"] == 0, rows["marker"] > 0
     moves = np.where(first[:, None, None], model.change, np.where(marked[:, None, None], model.split, model.same))
     if starts:
         moves[0] = model.start[None, :]
@@ -190,10 +191,14 @@ def viterbi(steps: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndar
     return states
 
 
-def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys, over the borders of batches; nulls are equal."""
-    held: list[pd.DataFrame] = []
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of equal keys, over the borders of batches, as arrays by column; nulls are equal."""
+    held: list[dict[str, np.ndarray]] = []
     last = None
+
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {name: np.concatenate([part[name] for part in held]) for name in held[0]}
+
     for frame in frames:
         if not len(frame):
             continue
@@ -204,18 +209,19 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         ends = [tuple(None if pd.isna(value) else value for value in frame[keys].iloc[at]) for at in (0, -1)]
         cuts[0] = bool(held) and ends[0] != last
         last = ends[1]
+        columns = {name: frame[name].to_numpy() for name in frame.columns}
         edges = [0, *np.flatnonzero(cuts).tolist(), len(frame)]
         for place, (low, high) in enumerate(zip(edges, edges[1:])):
             if place and held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
+                yield whole()
                 held = []
             if low < high:
-                held.append(frame.iloc[low:high])
+                held.append({name: values[low:high] for name, values in columns.items()})
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield whole()
 
 
-def _rendered(rows: pd.DataFrame, states: np.ndarray) -> Iterator[tuple]:
+def _rendered(rows: dict[str, np.ndarray], states: np.ndarray) -> Iterator[tuple]:
     """(place of the first line, part, role, lines, text) of each part: a run of one role within a turn.
 
     A marker is taken off where it opens a part whose role it names; any other stays in the text.
@@ -254,13 +260,13 @@ def decode(cut: DataFrame, model: Model, *carried: str) -> DataFrame:
     """
     key_type = dict(cut.dtypes)["conv_id"]
     several = cut.groupBy("conv_id").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block")).where("first_block < last_block")
-    features = ["conv_id", "block", "turn", "tie", "at", "marker", "of_line", "length", "n"]
-    order = ["conv_id", "block", "turn", "tie", "at"]
+    features = ["conv_id", "block", "turn", "tie", "copy", "at", "marker", "of_line", "length", "n"]
+    order = ["conv_id", "block", "turn", "tie", "copy", "at"]
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(frames, ["conv_id", "block"]):
-            product = _product(_steps(model, rows, bool(rows["is_first"].iloc[0])))
-            yield pd.DataFrame({"conv_id": rows["conv_id"].iloc[:1].array, "block": rows["block"].iloc[:1].array, "matrix": [product.ravel()]})
+            product = _product(_steps(model, rows, bool(rows["is_first"][0])))
+            yield pd.DataFrame({"conv_id": rows["conv_id"][:1], "block": rows["block"][:1], "matrix": [product.ravel()]})
 
     # Only the features of conversations of several blocks take this way.
     same = F.col("l.conv_id").eqNullSafe(F.col("s.conv_id"))
@@ -280,7 +286,7 @@ def decode(cut: DataFrame, model: Model, *carried: str) -> DataFrame:
 
     # A row of a few numbers for each block of turns, which travels before the block's lines.
     bounds = materialize(parts.groupBy("conv_id").applyInPandas(borders, f"conv_id {key_type}, block long, before array<double>, after array<double>, is_first boolean"), "borders")
-    wanted = [*features[:5], *carried, "line", "speech", "marker", "of_line", "length", "n"]
+    wanted = [*order, *carried, "line", "speech", "marker", "of_line", "length", "n"]
     # The null turns and ties of such a row sort first; a place of -1 tells it.
     both = cut.select(*wanted).unionByName(bounds.withColumn("at", F.lit(-1)), allowMissingColumns=True)
 
@@ -289,13 +295,13 @@ def decode(cut: DataFrame, model: Model, *carried: str) -> DataFrame:
         zero = np.zeros(len(ROLES))
         for rows in _groups(frames, ["conv_id", "block"]):
             before, after, first = zero, zero, True
-            if rows["at"].iloc[0] == -1:
-                before, after, first = np.asarray(rows["before"].iloc[0]), np.asarray(rows["after"].iloc[0]), bool(rows["is_first"].iloc[0])
-                rows = rows.iloc[1:]
-            numbers = rows[["at", "marker", "of_line", "length", "n"]].astype("int64")
-            states = viterbi(_steps(model, numbers, first), before, after)
+            if rows["at"][0] == -1:
+                before, after, first = np.asarray(rows["before"][0]), np.asarray(rows["after"][0]), bool(rows["is_first"][0])
+                rows = {name: values[1:] for name, values in rows.items()}
+            rows |= {name: rows[name].astype(np.int64) for name in ("at", "marker", "of_line", "length", "n")}
+            states = viterbi(_steps(model, rows, first), before, after)
             keys = list(zip(*(rows[name].tolist() for name in ("conv_id", "turn", *carried))))
-            out += [(*keys[begin], *rest) for begin, *rest in _rendered(rows.assign(at=numbers["at"], marker=numbers["marker"]), states)]
+            out += [(*keys[begin], *rest) for begin, *rest in _rendered(rows, states)]
             if len(out) > 5000:
                 yield frame(out)
                 out = []
@@ -307,7 +313,7 @@ def decode(cut: DataFrame, model: Model, *carried: str) -> DataFrame:
         return found.astype({"turn": "Int64"} | {name: "Int64" for name in carried})
 
     schema = f"conv_id {key_type}, turn long, " + "".join(f"{name} int, " for name in carried) + "part long, role string, n_lines long, rendered string"
-    return both.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("at") != -1, "turn", "tie", "at").mapInPandas(run, schema)
+    return both.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", F.col("at") != -1, *order[2:]).mapInPandas(run, schema)
 
 
 def recover(conversations: DataFrame, settings: Settings = Settings()) -> DataFrame:

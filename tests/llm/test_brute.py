@@ -852,3 +852,9 @@ def test_passages_of_two_documents_and_their_fields(spark):
     got = {r.doc_id: (r.n_passages, r.text, r.text_without_passages) for r in linededup.report(df).collect()}
     assert got == {k: (int(k in (1, 2)), text, "other" if k == 2 else None) for k, text in texts.items()}
     assert {r.doc_id: r.text for r in linededup.clean(df, passages=True).collect()} == texts | {2: "other"}
+
+
+def test_repeated_rows_keep_their_lines_together(spark):
+    conv = spark.createDataFrame([(1, 0, "user", "one\ntwo\nthree")] * 4, "conv_id long, turn long, role string, text string")
+    got = [r.rendered for r in chat.format_chats(conv, chat.fit(conv), marked=False).collect()]
+    assert got == ["<|im_start|>user\none\ntwo\nthree<|im_end|>"] * 4
