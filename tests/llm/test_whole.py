@@ -93,3 +93,21 @@ def test_passages_without_their_first_line_are_found(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.search(docs, bench).collect()} == {(1, 1), (2, 1), (3, 2)}
     assert [r.doc_id for r in decontamination.decontaminate(docs, bench).collect()] == [4, 5]
+
+
+def test_a_large_group_of_edited_copies(spark):
+    """400 copies of one text, each with edits of its own, about the similarity: the groups are those of all pairs."""
+    import random
+
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for k in range(400):
+        words = list(base)
+        for place in rng.sample(range(150), rng.randint(0, 9)):
+            words[place] = f"e{rng.randint(0, 40)}x{place}"
+        texts[k] = " ".join(words)
+    pairs, _ = near_pairs(texts)
+    want = {k for k, root in groups_of(texts, pairs).items() if k == root}
+    got = [r.doc_id for r in nearcopies.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and 10 < len(want) < 300
