@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_full_month
@@ -20,12 +20,6 @@ RULES = (
 )
 
 
-def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    """check_id, operand, sign, reported_field: one row per operand."""
-    rows = [F.struct(F.lit(check).alias("check_id"), F.lit(term[1:]).alias("operand"), F.lit(1 if term[0] == "+" else -1).alias("sign"), F.lit(reported).alias("reported_field")) for check, terms, reported in rules for term in terms.split()]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
-
 def known_fields(rules=RULES) -> set[str]:
     return {term[1:] for _, terms, _ in rules for term in terms.split()} | {reported for _, _, reported in rules}
 
@@ -42,21 +36,24 @@ def parse_amounts(amounts: Column, rules=RULES) -> Column:
 def reconcile(certificates: DataFrame, keys: list[str], amounts: str = "amounts", rules=RULES) -> DataFrame:
     """keys, check_id, computed_cents, reported_cents, residual_cents, status for every certificate and rule.
 
-    ``amounts`` is a map of exact cents. Each certificate meets the few dozen rule rows; a
-    missing operand or reported amount makes the check SKIPPED, else a residual of zero is PASS.
+    ``amounts`` is a map of exact cents. All rules are worked out within the certificate's own row, without an
+    exchange; a missing operand or reported amount makes the check SKIPPED, else a residual of zero is PASS.
     """
-    table = rule_table(certificates.sparkSession, rules)
-    operands = certificates.select(*keys, F.col(amounts).alias("__m")).join(F.broadcast(table))
-    term = F.col("sign").cast(WIDE) * F.try_element_at(F.col("__m"), F.col("operand"))
-    summed = operands.groupBy(*keys, "check_id").agg(
-        F.sum(term).cast(WIDE).alias("__sum"),
-        F.count_if(term.isNull()).alias("__missing"),
-        F.first(F.try_element_at(F.col("__m"), F.col("reported_field"))).alias("reported_cents"),
-    )
-    computed = F.when(F.col("__missing") == 0, F.col("__sum"))
-    residual = (computed - F.col("reported_cents")).cast(WIDE)
+
+    def amount(name: str) -> Column:
+        return F.try_element_at(F.col(amounts), F.lit(name)).cast(WIDE)
+
+    def check(check_id: str, terms: str, reported: str) -> Column:
+        computed = F.lit(0).cast(WIDE)
+        for term in terms.split():
+            value = amount(term[1:])
+            computed = (computed + value if term[0] == "+" else computed - value).cast(WIDE)  # null as soon as one is
+        return F.struct(F.lit(check_id).alias("check_id"), computed.alias("computed_cents"), amount(reported).alias("reported_cents"))
+
+    checks = certificates.select(*keys, F.explode(F.array(*[check(*rule) for rule in rules])).alias("c")).select(*keys, "c.*")
+    residual = (F.col("computed_cents") - F.col("reported_cents")).cast(WIDE)
     status = F.when(residual.isNull(), "SKIPPED").when(residual == 0, "PASS").otherwise("FAIL")
-    return summed.select(*keys, "check_id", computed.alias("computed_cents"), "reported_cents", residual.alias("residual_cents"), status.alias("status"))
+    return checks.select("*", residual.alias("residual_cents"), status.alias("status"))
 
 
 def summarize(checks: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import month_number
 from ..functions.money import double_cents
 from ..functions.rates import band, competing_monthly, present_value
-from ..operators import features, panel, reconcile, recovery, scoring, valuation, waterfall
+from ..operators import features, panel, reconcile, recovery, runoff, scoring, valuation, waterfall
 from ..sources import documents as document_sources
 
 
@@ -30,21 +30,104 @@ def _month(column: str):
 # ---- panel -----------------------------------------------------------------
 
 
-def panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", _month("o_orderdate").alias("month"), double_cents(F.col("o_totalprice")).alias("cents"))
-    return o.groupBy("o_custkey", "month").agg(
-        F.count("*").alias("n_orders"), F.sum("cents").alias("total_cents"), F.max("cents").alias("max_cents"), F.sum(F.greatest(F.col("cents") - 20_000_000, F.lit(0))).alias("excess_cents"),
-        F.count_if(F.col("o_orderstatus") == "F").alias("n_filled"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"),
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a loan-month panel: a customer is a loan, a month of orders a period; codes and dates follow from the order keys."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("period_start")).agg(F.sum(double_cents(F.col("o_totalprice"))).alias("cents"), F.sum("o_orderkey").alias("s"))
+    every = lambda n: F.col("s") % n == 0
+    part = lambda n: F.floor(F.col("cents") / n).cast("bigint")
+    closed = every(7)
+    month = F.date_format("period_start", "yyyy-MM")
+    end = F.when(closed, 0).otherwise(F.col("cents") - part(10)).cast("bigint")
+    return o.select(
+        F.concat(F.lit("D"), (F.col("o_custkey") % 3).cast("string")).alias("deal_id"), F.col("o_custkey").alias("loan_id"), "period_start", F.last_day("period_start").alias("period_end"),
+        F.col("cents").alias("begin_balance_cents"), end.alias("end_balance_cents"), (F.col("cents") - end).alias("principal_paid_cents"), part(200).alias("interest_paid_cents"),
+        F.when(every(11), part(50)).alias("chargeoff_cents"), F.when(every(13), part(80)).otherwise(0).cast("bigint").alias("recovery_cents"),
+        F.when(closed, F.when(every(4), "1").when(F.col("s") % 4 == 1, "1|4").when(F.col("s") % 4 == 2, "3").otherwise("1")).alias("zero_balance_code"),
+        F.when(closed, F.when(every(5), "1990-01").otherwise(month)).alias("zero_balance_month"), F.when(every(3), "1990-01").otherwise("2005-01").alias("maturity_month"),
+        F.date_add(F.last_day("period_start"), (F.col("s") % 50).cast("int")).cast("timestamp").alias("acceptance_time"),
+        (F.col("s") % 300 + 500).cast("double").alias("credit_score"), (F.col("s") % 80).cast("double").alias("orig_ltv_pct"), (F.col("s") % 9).cast("double").alias("interest_rate_pct"),
+        (F.col("s") % 40).cast("int").alias("age_months"), F.when(~every(6), (F.col("s") % 30).cast("int")).alias("remaining_months"), (F.col("s") % 4 * 30).cast("int").alias("delinquency_days"),
     )
 
 
-PANEL_STATS = """
-SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_orders,
-       CAST(sum(CAST(round(o_totalprice * 100e0) AS BIGINT)) AS BIGINT) AS total_cents,
-       max(CAST(round(o_totalprice * 100e0) AS BIGINT)) AS max_cents,
-       CAST(sum(greatest(CAST(round(o_totalprice * 100e0) AS BIGINT) - 20000000, 0)) AS BIGINT) AS excess_cents,
-       count(*) FILTER (o_orderstatus = 'F') AS n_filled, count(*) FILTER (o_orderstatus = 'O') AS n_open
-FROM orders GROUP BY 1, 2
+_PANEL = """o AS (
+  SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start, CAST(sum(CAST(round(o_totalprice * 100e0) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders GROUP BY 1, 2),
+p AS (
+  SELECT 'D' || (o_custkey % 3) AS deal_id, o_custkey AS loan_id, period_start, last_day(period_start) AS period_end, strftime(period_start, '%Y-%m') AS month,
+         cents AS begin_balance_cents, CASE WHEN s % 7 = 0 THEN 0 ELSE cents - cents // 10 END AS end_balance_cents, cents - CASE WHEN s % 7 = 0 THEN 0 ELSE cents - cents // 10 END AS principal_paid_cents,
+         cents // 200 AS interest_paid_cents, CASE WHEN s % 11 = 0 THEN cents // 50 END AS chargeoff_cents, CASE WHEN s % 13 = 0 THEN cents // 80 ELSE 0 END AS recovery_cents,
+         CASE WHEN s % 7 = 0 THEN CASE s % 4 WHEN 1 THEN '1|4' WHEN 2 THEN '3' ELSE '1' END END AS zero_balance_code,
+         CASE WHEN s % 7 = 0 THEN CASE WHEN s % 5 = 0 THEN '1990-01' ELSE strftime(period_start, '%Y-%m') END END AS zero_balance_month, CASE WHEN s % 3 = 0 THEN '1990-01' ELSE '2005-01' END AS maturity_month,
+         CAST(last_day(period_start) + CAST(s % 50 AS INT) AS TIMESTAMP) AS acceptance_time, s % 300 + 500e0 AS credit_score, CAST(s % 80 AS DOUBLE) AS orig_ltv_pct, CAST(s % 9 AS DOUBLE) AS interest_rate_pct,
+         CAST(s % 40 AS INT) AS age_months, CASE WHEN s % 6 <> 0 THEN CAST(s % 30 AS INT) END AS remaining_months, CAST(s % 4 * 30 AS INT) AS delinquency_days
+  FROM o),
+d AS (SELECT *, coalesce(chargeoff_cents, 0) AS loss, coalesce(zero_balance_code, '') AS code, min(period_end) FILTER (coalesce(chargeoff_cents, 0) > 0 OR list_contains(string_split(coalesce(zero_balance_code, ''), '|'), '4')) OVER (PARTITION BY deal_id, loan_id) AS fd FROM p),
+c AS (SELECT *, list_contains(string_split(code, '|'), '1') AND NOT list_contains(string_split(code, '|'), '3') AND end_balance_cents <= 0 AND begin_balance_cents > 0 AND loss = 0 AND coalesce(zero_balance_month = month, false) AND NOT coalesce(fd <= period_end, false) AS paid_off FROM d),
+e AS (SELECT *, CAST(coalesce(period_end = fd, false) AS INT) AS first_default_event, CAST(paid_off AND NOT list_contains(string_split(code, '|'), '4') AND maturity_month > month AS INT) AS prepayment_event,
+        CAST(paid_off AND maturity_month <= month AS INT) AS maturity_event, CAST(list_contains(string_split(code, '|'), '3') AND coalesce(zero_balance_month = month, false) AS INT) AS repurchase_event FROM c)"""
+
+
+def loan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("first_default_event", "prepayment_event", "maturity_event", "repurchase_event", "prepayment_cents")
+    return panel.derive_events(_panel(spark, sf_dir)).select("deal_id", "loan_id", "period_end", *names)
+
+
+LOAN_EVENTS = f"""
+WITH {_PANEL}
+SELECT deal_id, loan_id, period_end, first_default_event, prepayment_event, maturity_event, repurchase_event, CASE WHEN prepayment_event = 1 THEN principal_paid_cents END AS prepayment_cents FROM e
+"""
+
+
+def panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.panel_stats(panel.derive_events(_panel(spark, sf_dir)))
+
+
+PANEL_STATS = f"""
+WITH {_PANEL}
+SELECT deal_id, period_end, count(*) AS loans, count(*) FILTER (end_balance_cents > 0) AS active_loans, CAST(sum(begin_balance_cents) AS BIGINT) AS begin_balance_cents,
+       CAST(sum(end_balance_cents) AS BIGINT) AS end_balance_cents, CAST(sum(greatest(end_balance_cents, 0)) AS BIGINT) AS positive_end_balance_cents, CAST(sum(principal_paid_cents) AS BIGINT) AS principal_paid_cents,
+       CAST(sum(interest_paid_cents) AS BIGINT) AS interest_paid_cents, CAST(sum(chargeoff_cents) AS BIGINT) AS chargeoff_cents, CAST(sum(recovery_cents) AS BIGINT) AS recovery_cents,
+       CAST(sum(CASE WHEN prepayment_event = 1 THEN principal_paid_cents END) AS BIGINT) AS prepayment_cents, CAST(sum(first_default_event) AS BIGINT) AS first_defaults,
+       CAST(sum(prepayment_event) AS BIGINT) AS prepayments, CAST(sum(repurchase_event) AS BIGINT) AS repurchases, CAST(sum(maturity_event) AS BIGINT) AS maturities
+FROM e GROUP BY 1, 2
+"""
+
+
+def default_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.audit_defaults(panel.derive_events(_panel(spark, sf_dir)))
+
+
+DEFAULT_AUDIT = f"""
+WITH {_PANEL},
+a AS (SELECT *, coalesce(max(first_default_event) OVER (PARTITION BY deal_id, loan_id ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
+        lag(end_balance_cents) OVER (PARTITION BY deal_id, loan_id ORDER BY period_end) AS last_end, min(period_end) OVER (PARTITION BY deal_id) AS first_period FROM e)
+SELECT deal_id, count(*) FILTER (first_default_event = 1) AS first_defaults, count(*) FILTER (first_default_event = 1 AND period_end = first_period) AS at_boundary,
+       count(*) FILTER (first_default_event = 1 AND zero_balance_month IS NULL) AS effective_missing, count(*) FILTER (first_default_event = 1 AND zero_balance_month < month) AS effective_earlier,
+       count(*) FILTER (first_default_event = 1 AND zero_balance_month = month) AS effective_same, count(*) FILTER (first_default_event = 1 AND zero_balance_month > month) AS effective_later,
+       count(*) FILTER (seen = 1 AND last_end <= 0 AND end_balance_cents > 0) AS balance_returned
+FROM a GROUP BY 1
+"""
+
+
+def disclosure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features.disclosure_features(panel.derive_events(_panel(spark, sf_dir)))
+    return f.withColumns({"log_balance": F.round("log_balance", 9), "feature_available_at": F.to_date("feature_available_at")})
+
+
+DISCLOSURE_ROWS = f"""
+WITH {_PANEL},
+n AS (SELECT *, row_number() OVER w AS k, first_default_event = 1 OR prepayment_event = 1 OR repurchase_event = 1 OR maturity_event = 1 AS terminal FROM e WINDOW w AS (PARTITION BY deal_id, loan_id ORDER BY period_end)),
+t AS (SELECT *, coalesce(sum(CAST(terminal AS INT)) OVER (PARTITION BY deal_id, loan_id ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM n),
+j AS (
+  SELECT c.deal_id, c.loan_id, c.period_start, c.period_end, c.begin_balance_cents, c.first_default_event AS fde, c.prepayment_event AS pe, q.credit_score, q.orig_ltv_pct, q.interest_rate_pct,
+         q.age_months, q.remaining_months, q.delinquency_days, q.end_balance_cents AS balance, q.acceptance_time AS seen_at,
+         CAST((year(c.period_end) - year(q.period_end)) * 12 + month(c.period_end) - month(q.period_end) AS INT) AS lag, row_number() OVER (PARTITION BY c.deal_id, c.loan_id, c.period_end ORDER BY q.k DESC) AS place
+  FROM t c JOIN t q ON q.deal_id = c.deal_id AND q.loan_id = c.loan_id AND q.k BETWEEN c.k - 4 AND c.k - 1
+  WHERE q.acceptance_time <= CAST(c.period_start AS TIMESTAMP) AND q.period_end < c.period_start AND q.end_balance_cents > 0 AND c.ended = 0 AND c.begin_balance_cents > 0 AND c.repurchase_event = 0)
+SELECT deal_id, loan_id, period_start, period_end, begin_balance_cents, credit_score, orig_ltv_pct, interest_rate_pct, CAST(age_months + lag AS INT) AS age_months,
+       CASE WHEN remaining_months IS NOT NULL THEN CAST(greatest(remaining_months - lag, 0) AS INT) END AS remaining_months, delinquency_days, round(ln(1 + balance / 100e0), 9) AS log_balance,
+       lag AS disclosure_lag_months, CAST(seen_at AS DATE) AS feature_available_at, CAST(CASE WHEN fde = 1 THEN 1 WHEN pe = 1 THEN 2 ELSE 0 END AS INT) AS outcome
+FROM j WHERE place = 1
 """
 
 
@@ -563,13 +646,20 @@ SELECT c_mktsegment, round(bm, 3) AS baseline_mae, round(pm, 3) AS model_mae, ro
 
 
 def cohort_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as loans: a part's size is the term, the discount the rate, returned items were in default before; some terms and rates are missing."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
-    return li.groupBy(F.greatest("p_size", F.lit(1)).alias("term"), F.rint(F.col("l_discount") * 100).cast("int").alias("rate"), (F.col("l_returnflag") == "R").alias("reinstated")).agg(F.sum(double_cents(F.col("l_extendedprice"))).alias("balance_cents"), F.count("*").alias("n"))
+    known = F.col("l_linenumber") != 3
+    active = li.select(double_cents(F.col("l_extendedprice")).alias("end_balance_cents"), F.when(known, F.col("p_size") - 5).alias("remaining_months"), F.when(known, F.rint(F.col("l_discount") * 100).cast("double")).alias("interest_rate_pct"), (F.col("l_returnflag") == "R").alias("previously_defaulted"))
+    return runoff.make_cohorts(active).withColumn("apr", F.round("apr", 9))
 
 
 COHORT_BUCKETS = """
-SELECT greatest(p_size, 1) AS term, CAST(round(l_discount * 100e0) AS INT) AS rate, l_returnflag = 'R' AS reinstated, CAST(sum(CAST(round(l_extendedprice * 100e0) AS BIGINT)) AS BIGINT) AS balance_cents, count(*) AS n
-FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3
+WITH a AS (
+  SELECT CAST(round(l_extendedprice * 100e0) AS BIGINT) AS cents, CASE WHEN l_linenumber <> 3 THEN p_size - 5 END AS term, CASE WHEN l_linenumber <> 3 THEN round(l_discount * 100e0) END AS rate, l_returnflag = 'R' AS again
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+m AS (SELECT CAST(round_even(median(term) FILTER (term > 0), 0) AS INT) AS mt, median(rate) AS mr FROM a)
+SELECT CAST(sum(cents) AS BIGINT) AS balance_cents, CAST(greatest(coalesce(term, mt), 1) AS INT) AS remaining_months, round(round_even(coalesce(rate, mr) * 10, 0) / 10 / 100, 9) AS apr, CASE WHEN again THEN 2e0 ELSE 1e0 END AS default_hazard_multiplier
+FROM a, m GROUP BY 2, 3, 4
 """
 
 
@@ -722,12 +812,14 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, 'Licen[sc]ed under')) AS BIGINT
 
 
 def keyword_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_sources.keyword_hits(table(spark, sf_dir, "documents"), ["doc_id"], "text", r"Licen[sc]ed under").select("doc_id", F.col("hit_no").cast("bigint").alias("hit_no"), "match", "after")
+    return document_sources.keyword_hits(table(spark, sf_dir, "documents"), ["doc_id"], "text", r"Licen[sc]ed under").select("doc_id", F.col("hit_no").cast("bigint").alias("hit_no"), F.col("start").cast("bigint").alias("start"), "match", "before", "after")
 
 
 KEYWORD_CONTEXT = """
 WITH d AS (SELECT doc_id, regexp_split_to_array(text, 'Licen[sc]ed under') AS gaps, regexp_extract_all(text, 'Licen[sc]ed under') AS hits FROM documents)
-SELECT doc_id, CAST(i - 1 AS BIGINT) AS hit_no, hits[i] AS match, left(gaps[i + 1], 40) AS after FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM d)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS hit_no,
+       CAST(length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS BIGINT) AS start,
+       hits[i] AS match, right(gaps[i], 40) AS before, left(gaps[i + 1], 40) AS after FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM d)
 """
 
 
@@ -749,7 +841,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_COUNTS = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100e0) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2"
 
 _SQL_NAMES = (
-    "panel_stats", "first_event", "event_flags", "lag_feature_asof", "prior_terminal", "risk_set_outcomes", "balance_returned", "missing_fields", "latest_snapshot",
+    "loan_events", "panel_stats", "default_audit", "disclosure_rows", "first_event", "event_flags", "lag_feature_asof", "prior_terminal", "risk_set_outcomes", "balance_returned", "missing_fields", "latest_snapshot",
     "first_accepted", "duplicate_keys", "tape_vs_certificate", "identity_checks", "check_summary", "gate_counts", "pool_continuity", "recovery_curve", "recovery_median_lag",
     "priority_waterfall", "pro_rata_alloc", "recovery_queue", "rate_reset", "accrual_start", "constant_probs", "transition_probs", "smoothed_cells", "cell_predictions",
     "brier_logloss", "auc_avg_rank", "average_precision", "calib_deciles", "monthly_exposure", "segment_stability", "mae_forecast", "cohort_buckets", "weighted_terms",

@@ -69,9 +69,10 @@ def shifted_features(fleet: DataFrame, gap: Column) -> DataFrame:
 
 
 def interest_factor(fleet: DataFrame, reported_cents: Column) -> Column:
-    """min(1, reported interest / (beginning balances * rates / 12)), as an aggregate over the fleet."""
-    rate = F.coalesce(F.col("interest_rate_pct"), F.lit(0.0)) / 100
-    return F.least(F.lit(1.0), reported_cents / F.sum(F.greatest(F.col("begin_balance_cents"), F.lit(0)) * rate / 12))
+    """min(1, reported interest / (beginning balances * rates / 12)), as an aggregate over the fleet; an unknown rate is the median of the known ones."""
+    rate, balance = F.col("interest_rate_pct"), F.greatest(F.col("begin_balance_cents"), F.lit(0))
+    unknown = F.coalesce(F.median(rate) * F.sum(F.when(rate.isNull(), balance)), F.lit(0.0))
+    return F.least(F.lit(1.0), reported_cents / ((F.coalesce(F.sum(balance * rate), F.lit(0.0)) + unknown) / 100 / 12))
 
 
 def forecast(loans: DataFrame, origin: str, model: models.CompetingRisk, *, recovery_rate: float, recovery_lag: int, interest_share: float, previous_distribution: str, gap: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.calendar import is_full_month, months_between, parse_month, parse_xml_date
 from ..functions.money import fail_unless, parse_cents, strict_integer, strict_number
@@ -38,7 +39,7 @@ def scan(spark: SparkSession, path: str, row_tag: str = "assets") -> DataFrame:
     """Raw records with every field as an array of texts, and the file each is from; plain or gzipped.
 
     All fields are declared as arrays, since a scalar would silently keep the last of repeated elements; more than
-    one value in a field that may not repeat is an error, as is a duplicate asset in a file.
+    one value in a field that may not repeat is an error once the field is read. ``load`` checks what a scan cannot.
     """
     names = sorted({*MONEY_FIELDS.values(), *OTHER_FIELDS})
     schema = ", ".join(f"{name} array<string>" for name in names)
@@ -65,6 +66,27 @@ def duplicates(raw: DataFrame) -> DataFrame:
     return raw.groupBy("__file", "assetNumber", "reportingPeriodEndingDate").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def repeated_elements(spark: SparkSession, path: str, row_tag: str = "assets") -> list[str]:
+    """Elements, known or not, that some record holds more than once and may not: a full pass that infers the schema."""
+    found = spark.read.format("xml").option("rowTag", row_tag).option("samplingRatio", 1.0).load(path).schema
+    return sorted(f.name for f in found if isinstance(f.dataType, ArrayType) and f.name not in REPEATABLE)
+
+
+def load(spark: SparkSession, path: str, row_tag: str = "assets", namespace: str = NAMESPACE) -> DataFrame:
+    """``scan`` of files that were checked first: their root's namespace, elements that repeat, and assets that do."""
+    wrong = [row.file for row in wrong_roots(spark, path, namespace).limit(5).collect()]
+    if wrong:
+        raise ValueError(f"not in the namespace {namespace}: {wrong}")
+    repeated = repeated_elements(spark, path, row_tag)
+    if repeated:
+        raise ValueError(f"repeated elements: {repeated}")
+    raw = scan(spark, path, row_tag)
+    twice = [tuple(row) for row in duplicates(raw).limit(5).collect()]
+    if twice:
+        raise ValueError(f"duplicate assets: {twice}")
+    return raw
+
+
 def normalize(raw: DataFrame) -> DataFrame:
     """Loan-months of raw records that carry deal_id, accession, acceptance_time and report_period of their filing.
 
@@ -108,10 +130,11 @@ def new_sources(sources: DataFrame, ingested: DataFrame) -> DataFrame:
 
 
 def write_panel(loan_months: DataFrame, amended: Column, path: str) -> None:
-    """Amendments to their own table, the rest by deal and period, each file sorted by loan.
+    """Amendments to their own table, by deal, period and accession, the rest by deal and period, each file sorted by loan.
 
-    Partitions are overwritten one by one, so that a filing that is loaded again replaces itself.
+    Partitions are overwritten one by one, so that a filing that is loaded again replaces itself; of several
+    amendments of a period each keeps its own.
     """
-    for name, part in (("loan_month", loan_months.where(~amended)), ("loan_amendment", loan_months.where(amended))):
-        writer = part.repartition("deal_id", "period_end").sortWithinPartitions("deal_id", "period_end", "loan_id").write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy("deal_id", "period_end").parquet(f"{path}/{name}")
+    for name, part, keys in (("loan_month", loan_months.where(~amended), ["deal_id", "period_end"]), ("loan_amendment", loan_months.where(amended), ["deal_id", "period_end", "accession"])):
+        writer = part.repartition(*keys).sortWithinPartitions(*keys, "loan_id").write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}")

@@ -400,3 +400,51 @@ def test_stream_ingest_adds_once(spark, tmp_path):
         df.write.mode("append").parquet(str(tmp_path / "in"))
         ingest.ingest(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+# ---- what the second review found wrong
+
+
+def test_all_entities_come_back(spark):
+    for html, text in (("it&#8217;s caf&eacute; &mdash; ok", "it’s café — ok"), ("<td>a&nbsp;&nbsp;b</td>", "a b"), ("a &amp;lt; b", "a &lt; b"), ("&#x41;<br/>&euro;5", "A €5"), ("plain", "plain")):
+        assert value(spark, documents.plain_text(F.lit(html))) == text
+    assert value(spark, documents.plain_text(F.lit(None).cast("string"))) is None
+
+
+def test_keyword_places_are_offsets(spark):
+    text = "aa KEY bb keyy cc KEY"
+    hits = documents.keyword_hits(spark.createDataFrame([(1, text), (2, None), (3, "none")], "id int, t string"), ["id"], "t", "(?i)key+")
+    import re
+
+    assert [(r.start, r.match) for r in hits.orderBy("hit_no").collect()] == [(m.start(), m.group()) for m in re.finditer("(?i)key+", text)]
+
+
+def test_every_amendment_stays(spark, tmp_path):
+    rows = lambda accession, n: spark.createDataFrame([("D", dt.date(2025, 8, 31), accession, f"L{i}") for i in range(n)], "deal_id string, period_end date, accession string, loan_id string")
+    for accession, n in (("a1", 2), ("a2", 3), ("a2", 4)):
+        tapes.write_panel(rows(accession, n), F.lit(True), str(tmp_path))
+    tapes.write_panel(rows("first", 5), F.lit(False), str(tmp_path))
+    tapes.write_panel(rows("first", 6), F.lit(False), str(tmp_path))
+    stored = spark.read.parquet(str(tmp_path / "loan_amendment"))
+    assert {r.accession: r["count"] for r in stored.groupBy("accession").count().collect()} == {"a1": 2, "a2": 4}
+    assert spark.read.parquet(str(tmp_path / "loan_month")).count() == 6
+
+
+def test_files_are_checked_as_they_are_loaded(spark, tmp_path):
+    path = tmp_path / "tape.xml"
+    path.write_text(TAPE % "")
+    assert tapes.load(spark, str(path)).count() == 1
+    record = (TAPE % "").partition("\n")[2].removesuffix("</assetData>")
+    for text in (TAPE % "<newElement>1</newElement><newElement>2</newElement>", (TAPE % "").replace("</assetData>", record + "</assetData>"), (TAPE % "").replace("autoloan", "other")):
+        path.write_text(text)
+        spark.catalog.clearCache()
+        with pytest.raises(ValueError):
+            tapes.load(spark, str(path))
+
+
+def test_unknown_rates_are_the_median_of_known_ones(spark):
+    fleet = spark.createDataFrame([(120_000, 6.0), (120_000, 12.0), (240_000, None), (-5, 99.0)], "begin_balance_cents long, interest_rate_pct double")
+    # 600 and 1,200 of the known ones, and 2,400 at their median, 12.
+    share = one(fleet.agg(scenarios.interest_factor(fleet, F.lit(2_100)).alias("x"))).x
+    assert share == pytest.approx(2_100 / 4_200)
+    assert one(fleet.where("interest_rate_pct IS NOT NULL").agg(scenarios.interest_factor(fleet, F.lit(9_999)).alias("x"))).x == 1.0
