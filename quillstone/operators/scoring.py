@@ -107,14 +107,19 @@ def score_steps(rows: DataFrame, hit: Column, p: Column) -> DataFrame:
 def rank_metrics(rows: DataFrame, hit: Column, p: Column) -> DataFrame:
     """One row: auc (average ranks on ties; null if one class) and average_precision (null without positives).
 
-    Windows run over distinct scores, not rows.
+    Distinct scores go through a range exchange; each partition is counted from the sizes of those
+    before it, so no task sorts all scores.
     """
-    steps = score_steps(rows, hit, p)
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    f = steps.select("n", "pos", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("below"), F.sum("n").over(down).alias("seen"), F.sum("pos").over(down).alias("found"))
-    ranks = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / F.lit(2.0)))
-    f = f.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), ranks.alias("ranks"), F.sum(F.col("pos") * F.col("found") / F.col("seen")).alias("gain"))
+    steps = score_steps(rows, hit, p).repartitionByRange("score").withColumn("__part", F.spark_partition_id())
+    lower = Window.partitionBy("__part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    inside = steps.select("__part", "n", "pos", *[F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"__{c}") for c in ("n", "pos")])
+    sizes = inside.groupBy("__part").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    before, every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    offsets = sizes.select("__part", *[x for c in ("n", "pos") for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}_before"), F.sum(c).over(every).alias(f"__{c}_all"))])
+    f = inside.join(F.broadcast(offsets), "__part")  # one row per partition
+    below, found = F.col("__n") + F.col("__n_before"), F.col("__pos_all") - F.col("__pos") - F.col("__pos_before")
+    ranks = F.sum(F.col("pos") * (below + (F.col("n") + 1) / F.lit(2.0)))
+    f = f.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), ranks.alias("ranks"), F.sum(F.col("pos") * found / (F.col("__n_all") - below)).alias("gain"))
     neg = F.col("n") - F.col("pos")
     auc = F.when((F.col("pos") > 0) & (neg > 0), (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / F.lit(2.0)) / (F.col("pos").cast("double") * neg))
     return f.select("n", "pos", auc.alias("auc"), F.when(F.col("pos") > 0, F.col("gain") / F.col("pos")).alias("average_precision"))
