@@ -72,6 +72,6 @@ def distribution_dates(dates: DataFrame, column: str, months: str, out: str = "d
     open_days = calendar.join(F.broadcast(closed), "day", "left").where(F.col("closed").isNull() & ~F.dayofweek("day").isin(1, 7)).select("day")
     # The next open day of every calendar day: a left join would need a range; a running minimum does not.
     ahead = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rolled = calendar.join(open_days.withColumnRenamed("day", "open_day"), F.col("day") == F.col("open_day"), "left").select("day", F.min("open_day").over(ahead).alias(out))
+    rolled = calendar.join(open_days.withColumnRenamed("day", "open_day"), F.col("day") == F.col("open_day"), "left").select(F.col("day").alias("__day"), F.min("open_day").over(ahead).alias(out))
     base = add_months_on(F.col(column).cast("date"), F.col(months), F.lit(15))
-    return dates.withColumn("__base", base).join(F.broadcast(rolled), F.col("__base") == F.col("day"), "left").drop("__base", "day")
+    return dates.withColumn("__base", base).join(F.broadcast(rolled), F.col("__base") == F.col("__day"), "left").drop("__base", "__day")

@@ -30,9 +30,9 @@ def _month(column: str):
 # ---- panel -----------------------------------------------------------------
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _panel(spark: SparkSession, sf_dir: str, loan=None) -> DataFrame:
     """Orders as a loan-month panel: a customer is a loan, a month of orders a period; codes and dates follow from the order keys."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("period_start")).agg(F.sum(double_cents(F.col("o_totalprice"))).alias("cents"), F.sum("o_orderkey").alias("s"))
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") if loan is None else loan).alias("o_custkey"), F.trunc("o_orderdate", "month").alias("period_start")).agg(F.sum(double_cents(F.col("o_totalprice"))).alias("cents"), F.sum("o_orderkey").alias("s"))
     every = lambda n: F.col("s") % n == 0
     part = lambda n: F.floor(F.col("cents") / n).cast("bigint")
     closed = every(7)
@@ -599,23 +599,6 @@ SELECT period, CAST(round_even(sum(p * b), 0) AS BIGINT) AS predicted_balance_ce
 """
 
 
-def segment_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three features of documents stand for the loan features, unpivoted into one aggregate."""
-    s = _scored(spark, sf_dir)
-    bands = F.array(F.struct(F.lit("n_chars").alias("feature"), band(F.col("n_chars"), _BANDS).cast("string").alias("band")), F.struct(F.lit("lang").alias("feature"), F.col("lang").alias("band")), F.struct(F.lit("score").alias("feature"), band(F.col("p1"), [0.1, 0.2, 0.3]).cast("string").alias("band")))
-    y, p = (F.col("outcome") == 1).cast("double"), F.col("p1")
-    long = s.select("outcome", "p1", "source", F.explode(bands).alias("b")).select("*", "b.*")
-    return long.groupBy("feature", "band").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_sources"), F.count_if(F.col("outcome") == 1).alias("events"), _r(F.avg(p) - F.avg(y)).alias("calibration_gap"), _r(F.avg((p - y) * (p - y))).alias("brier"))
-
-
-SEGMENT_STABILITY = f"""
-WITH {_SCORED}, u AS (SELECT 'n_chars' AS feature, CAST({_BAND_SQL} AS VARCHAR) AS band, * FROM s UNION ALL SELECT 'lang', lang, * FROM s
-  UNION ALL SELECT 'score', CASE WHEN p1 <= 0.1e0 THEN '0' WHEN p1 <= 0.2e0 THEN '1' WHEN p1 <= 0.3e0 THEN '2' ELSE '3' END, * FROM s)
-SELECT feature, band, count(*) AS n_rows, count(DISTINCT source) AS n_sources, count(*) FILTER (outcome = 1) AS events,
-       round(avg(p1) - avg(CAST(outcome = 1 AS INT)), 9) AS calibration_gap, round(avg((p1 - CAST(outcome = 1 AS INT)) * (p1 - CAST(outcome = 1 AS INT))), 9) AS brier FROM u GROUP BY 1, 2
-"""
-
-
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the event rate and the Brier score over 200 draws of whole sources."""
     s = _scored(spark, sf_dir)
@@ -761,21 +744,6 @@ SELECT y, rank, balance, round((sum(balance) OVER (PARTITION BY y) - sum(balance
 """
 
 
-def reverse_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first severity on a grid at which returned items outgrow a fixed share of all."""
-    li = table(spark, sf_dir, "lineitem").agg(F.sum(F.when(F.col("l_returnflag") == "R", double_cents(F.col("l_extendedprice"))).otherwise(0)).alias("lost"), F.sum(double_cents(F.col("l_extendedprice"))).alias("total"))
-    grid = li.select("lost", "total", F.explode(F.array(*[F.lit(s) for s in (1, 2, 3, 5, 7, 10, 15, 20, 30)])).alias("severity"))
-    return waterfall.first_breach(grid.select("severity", F.greatest(F.col("severity") * F.col("lost") - F.col("total"), F.lit(0)).alias("loss_cents")))
-
-
-REVERSE_STRESS = """
-WITH t AS (SELECT sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100e0) AS BIGINT) ELSE 0 END) AS lost, sum(CAST(round(l_extendedprice * 100e0) AS BIGINT)) AS total FROM lineitem),
-g AS (SELECT CAST(s AS INT) AS s, s * lost > total AS breach FROM t, (VALUES (1), (2), (3), (5), (7), (10), (15), (20), (30)) v(s)),
-f AS (SELECT min(s) FILTER (breach) AS first_breach FROM g)
-SELECT any_value(f.first_breach) AS first_breach, max(s) FILTER (s < f.first_breach) AS preceding_safe, count(*) FILTER (breach) AS breaches FROM g, f
-"""
-
-
 def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with urgent orders in one year and not in the next, and the other way."""
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
@@ -844,8 +812,8 @@ _SQL_NAMES = (
     "loan_events", "panel_stats", "default_audit", "disclosure_rows", "first_event", "event_flags", "lag_feature_asof", "prior_terminal", "risk_set_outcomes", "balance_returned", "missing_fields", "latest_snapshot",
     "first_accepted", "duplicate_keys", "tape_vs_certificate", "identity_checks", "check_summary", "gate_counts", "pool_continuity", "recovery_curve", "recovery_median_lag",
     "priority_waterfall", "pro_rata_alloc", "recovery_queue", "rate_reset", "accrual_start", "constant_probs", "transition_probs", "smoothed_cells", "cell_predictions",
-    "brier_logloss", "auc_avg_rank", "average_precision", "calib_deciles", "monthly_exposure", "segment_stability", "mae_forecast", "cohort_buckets", "weighted_terms",
-    "runoff_fold", "competing_rates", "pv_wal", "yield_sensitivity", "enhancement", "reverse_stress", "source_changes", "doc_sha256", "keyword_screen", "keyword_context", "stream_counts",
+    "brier_logloss", "auc_avg_rank", "average_precision", "calib_deciles", "monthly_exposure", "mae_forecast", "cohort_buckets", "weighted_terms",
+    "runoff_fold", "competing_rates", "pv_wal", "yield_sensitivity", "enhancement", "source_changes", "doc_sha256", "keyword_screen", "keyword_context", "stream_counts",
 )
 QUERIES = {name: globals()[name] for name in (*_SQL_NAMES, "bootstrap", "html_cells", "html_text")}
 SQL = {name: globals()[name.upper()] for name in _SQL_NAMES}
