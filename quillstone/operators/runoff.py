@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def _cents(amount: Column) -> Column:
     return F.round(amount, 0).cast("bigint")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: a name would copy its expression to each place of use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def cohort_paths(cohorts: DataFrame, keys: list[str], horizon: int = HORIZON) -> DataFrame:
     """One row per cohort and month: keys, month, begin, default, prepay, scheduled, interest, end (cents).
 
@@ -47,18 +54,29 @@ def cohort_paths(cohorts: DataFrame, keys: list[str], horizon: int = HORIZON) ->
     step_type = "array<struct<month:int,begin:bigint,loss:bigint,prepay:bigint,scheduled:bigint,interest:bigint,end:bigint>>"
 
     def month(path: Column, number: Column) -> Column:
-        begin = F.when(F.size(path) == 0, F.col("balance_cents")).otherwise(F.get(path, F.size(path) - 1)["end"])
-        loss = F.least(begin, _cents(begin * F.col("default_monthly")))
-        prepay = F.least(begin - loss, _cents(begin * F.col("prepay_monthly")))
-        performing = begin - loss - prepay
         rate = F.col("apr") / 12
         term = F.greatest(F.col("remaining_months") - number + 1, F.lit(1))
-        annuity = performing * rate / (1 - F.pow(1 + rate, -term))
-        level = F.least(performing, F.greatest(_cents(annuity - performing * rate), F.lit(0).cast("bigint")))
-        scheduled = F.when(term <= 1, performing).when(rate > 0, level).otherwise(F.least(performing, _cents(performing / term)))
-        interest = _cents((begin - (loss + prepay) / 2) * rate * F.col("interest_factor"))
-        row = F.struct(number.alias("month"), begin.alias("begin"), loss.alias("loss"), prepay.alias("prepay"), scheduled.alias("scheduled"), interest.alias("interest"), (performing - scheduled).alias("end"))
-        return F.when((begin == 0) & (F.size(path) > 0), path).otherwise(F.array_append(path, row))
+
+        def of_balance(begin: Column) -> Column:
+            return _let(F.least(begin, _cents(begin * F.col("default_monthly"))), lambda loss: of_loss(begin, loss))
+
+        def of_loss(begin: Column, loss: Column) -> Column:
+            return _let(F.least(begin - loss, _cents(begin * F.col("prepay_monthly"))), lambda prepay: of_prepay(begin, loss, prepay))
+
+        def of_prepay(begin: Column, loss: Column, prepay: Column) -> Column:
+            return _let(begin - loss - prepay, lambda performing: _let(level(performing), lambda scheduled: row(begin, loss, prepay, performing, scheduled)))
+
+        def level(performing: Column) -> Column:
+            annuity = performing * rate / (1 - F.pow(1 + rate, -term))
+            due = F.least(performing, F.greatest(_cents(annuity - performing * rate), F.lit(0).cast("bigint")))
+            return F.when(term <= 1, performing).when(rate > 0, due).otherwise(F.least(performing, _cents(performing / term)))
+
+        def row(begin: Column, loss: Column, prepay: Column, performing: Column, scheduled: Column) -> Column:
+            interest = _cents((begin - (loss + prepay) / 2) * rate * F.col("interest_factor"))
+            return F.struct(number.alias("month"), begin.alias("begin"), loss.alias("loss"), prepay.alias("prepay"), scheduled.alias("scheduled"), interest.alias("interest"), (performing - scheduled).alias("end"))
+
+        opening = F.when(F.size(path) == 0, F.col("balance_cents")).otherwise(F.get(path, F.size(path) - 1)["end"])
+        return _let(opening, lambda begin: F.when((begin == 0) & (F.size(path) > 0), path).otherwise(F.array_append(path, of_balance(begin))))
 
     months = F.sequence(F.lit(1), F.lit(horizon))
     path = F.aggregate(months, F.array().cast(step_type), month)
