@@ -101,6 +101,7 @@ def project(cohorts: DataFrame, assumptions: DataFrame, *, horizon: int = HORIZO
         total("begin", "pool_begin_cents"), total("end", "pool_end_cents"), total("scheduled", "scheduled_principal_cents"), total("prepay", "prepayment_cents"), total("loss", "default_cents"), total("interest", "interest_cents")
     )
     grid = assumptions.select("scenario", "recovery_rate", "recovery_lag", "previous_distribution", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("month"))
+    grid = distribution_dates(grid, "previous_distribution", "month")  # it reads its dates' span at once, so it gets the grid and not the pool
     f = grid.join(pool, ["scenario", "month"], "left").fillna(0)
     # lag() takes a constant, lags differ by scenario: a shifted equi-join on at most horizon rows each.
     late = f.select("scenario", (F.col("month") + F.col("recovery_lag")).alias("month"), F.round(F.col("default_cents") * F.col("recovery_rate"), 0).cast("bigint").alias("recovery_cents"))
@@ -113,7 +114,6 @@ def project(cohorts: DataFrame, assumptions: DataFrame, *, horizon: int = HORIZO
     f = f.withColumns({"__open": (left > 0) | (pending > 0), "__alive": F.max(alive.cast("int")).over(after)}).where("__alive = 1")
     if require_closed:
         f = f.withColumn("month", F.when(F.col("__open"), F.raise_error(F.lit("the horizon does not exhaust the pool and its recoveries"))).otherwise(F.col("month")))
-    f = distribution_dates(f, "previous_distribution", "month")
     cash = F.col("scheduled_principal_cents") + F.col("prepayment_cents") + F.col("interest_cents") + F.col("recovery_cents")
     return f.select(
         "scenario", "month", "distribution_date", "pool_begin_cents", "pool_end_cents", "scheduled_principal_cents", "prepayment_cents", "default_cents", "recovery_cents", "interest_cents",
