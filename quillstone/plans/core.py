@@ -9,7 +9,7 @@ from ..functions.money import dollars, double_cents, half_up, parse_cents
 from ..functions.calendar import distribution_dates
 from ..operators import audit, features, panel, recovery, runoff, scoring, valuation, waterfall
 from . import queries as base
-from . import scenarios
+from . import scenarios, validation
 from .queries import table
 
 _r = base._r
@@ -118,6 +118,33 @@ WITH {_SEGMENTS}, w AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER
 SELECT feature, CAST(band_id AS INT) AS band_id, round(cohort_gap_1, 9) AS cohort_gap_1 FROM w WHERE k = 1
 """
 
+_WINDOWS = (("1997-06-01", "1997-12-31"), ("1998-06-01", "1998-12-31"), ("1999-06-01", "1999-12-31"), ("2000-06-01", "2000-12-31"))
+
+
+def expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three baselines over four windows, each fitted on what was public before its window."""
+    s = validation.score_folds(features.disclosure_features(_events(spark, sf_dir)), _WINDOWS)
+    return s.withColumns({c: _r(c) for c in ("observed_rate", "predicted_rate", "brier", "log_loss")})
+
+
+def _fold_cells(key: str, method: str) -> str:
+    cells = ", ".join(f"(count(*) FILTER (outcome = {c}) + 100e0 * any_value(q{c})) / (count(*) + 100e0) AS c{c}" for c in range(3))
+    return f"""c_{method} AS (SELECT tr.fold, {key}, {cells} FROM tr JOIN q ON q.fold = tr.fold GROUP BY 1, 2),
+  p_{method} AS (SELECT te.fold, '{method}' AS method, outcome, coalesce(c0, q0) AS a0, coalesce(c1, q1) AS a1, coalesce(c2, q2) AS a2 FROM te JOIN q ON q.fold = te.fold LEFT JOIN c_{method} c ON c.fold = te.fold AND c.{key} = te.{key})"""
+
+
+EXPANDING_FOLDS = f"""
+WITH r AS ({base.DISCLOSURE_ROWS}), k AS (SELECT *, [{_CELL}] AS cell, [{_BUCKET}] AS bucket FROM r),
+  w(fold, a, b) AS (VALUES {', '.join(f"({i}, DATE '{a}', DATE '{b}')" for i, (a, b) in enumerate(_WINDOWS, 1))}),
+  tr AS (SELECT fold, k.* FROM k JOIN w ON period_end < a AND feature_available_at < a), te AS (SELECT fold, k.* FROM k JOIN w ON period_end BETWEEN a AND b),
+  q AS (SELECT fold, (count(*) FILTER (outcome = 0) + 1) / (count(*) + 3e0) AS q0, (count(*) FILTER (outcome = 1) + 1) / (count(*) + 3e0) AS q1, (count(*) FILTER (outcome = 2) + 1) / (count(*) + 3e0) AS q2 FROM tr GROUP BY 1),
+  {_fold_cells('bucket', 'transition')}, {_fold_cells('cell', 'cohort')},
+  u AS (SELECT * FROM p_transition UNION ALL SELECT * FROM p_cohort UNION ALL SELECT te.fold, 'constant', outcome, q0, q1, q2 FROM te JOIN q ON q.fold = te.fold),
+  n AS (SELECT *, CASE outcome WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END AS own FROM u),
+  l AS (SELECT fold, method, own, 1 AS event, CAST(outcome = 1 AS INT) AS y, a1 AS p FROM n UNION ALL SELECT fold, method, own, 2, CAST(outcome = 2 AS INT), a2 FROM n)
+SELECT fold, method, event, count(*) AS rows, CAST(sum(y) AS BIGINT) AS events, round(avg(y), 9) AS observed_rate, round(avg(p), 9) AS predicted_rate, round(avg((p - y) * (p - y)), 9) AS brier, round(avg(-ln(own)), 9) AS log_loss FROM l GROUP BY 1, 2, 3
+"""
+
 # ---- seasoned defaults, known fleet, audits ------------------------------------
 
 
@@ -409,9 +436,28 @@ o2 AS (SELECT *, lag(s) OVER (ORDER BY s) AS ps, lag(breach) OVER (ORDER BY s) A
 SELECT any_value(f.first_breach) AS first_breach, max(ps) FILTER (s = f.first_breach AND NOT pbr) AS preceding_safe, count(*) FILTER (breach) AS breaches FROM o2, f
 """
 
+_OTHER_TARGET = 1_500_000_000
+
+
+def target_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes under twice the target of overcollateralisation."""
+    t = validation.target_sensitivity(_pool_flows(spark, sf_dir), _STATE, _TERMS, _OTHER_TARGET, 0.08)
+    return t.withColumns({c: _r(c, 0) for c in ("base_pv_cents", "other_pv_cents", "pv_cents_change")})
+
+
+def _sums(flows: str) -> str:
+    return f"SELECT scenario, note, CAST(sum(principal_cents) AS BIGINT) AS p, max(loss_cents) AS l, sum((interest_cents + principal_cents) / pow(1.08e0, date_diff('day', DATE '2025-05-15', CAST(distribution_date AS DATE)) / 365.25e0)) AS pv FROM ({flows}) GROUP BY 1, 2"
+
+
+TARGET_SENSITIVITY = f"""
+WITH b AS ({_sums(NOTE_FLOWS)}), o AS ({_sums(NOTE_FLOWS.replace('nt + 750000000', f'nt + {_OTHER_TARGET}'))})
+SELECT scenario, note, b.p AS base_principal_cents, b.l AS base_loss_cents, round(b.pv, 0) AS base_pv_cents, o.p AS other_principal_cents, o.l AS other_loss_cents, round(o.pv, 0) AS other_pv_cents,
+       o.p - b.p AS principal_cents_change, o.l - b.l AS loss_cents_change, round(o.pv - b.pv, 0) AS pv_cents_change FROM b JOIN o USING (scenario, note)
+"""
+
 _NAMES = (
     "cohort_predictions", "transition_predictions", "segment_stability", "widest_gaps", "seasoned_defaults", "seasoned_recoveries", "known_fleet", "interest_share", "default_candidates", "recovery_ratio",
-    "loan_moves", "tape_profile", "key_alignment", "money_texts", "payment_dates", "pool_projection", "note_flows", "month_flows", "note_summary", "reverse_stress",
+    "loan_moves", "tape_profile", "key_alignment", "money_texts", "payment_dates", "pool_projection", "note_flows", "month_flows", "note_summary", "reverse_stress", "target_sensitivity", "expanding_folds",
 )
 QUERIES = {name: globals()[name] for name in _NAMES}
 SQL = {name: globals()[name.upper()] for name in _NAMES}
