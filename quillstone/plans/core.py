@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import dollars, double_cents, half_up, parse_cents
-from ..functions.calendar import distribution_dates
-from ..operators import audit, features, panel, recovery, runoff, scoring, valuation, waterfall
+from ..functions.calendar import add_months_on, distribution_dates, is_full_month, months_between
+from ..operators import audit, features, models, panel, recovery, runoff, scoring, valuation, waterfall
+from ..sources import documents as document_sources
+from ..sources import tapes
 from . import queries as base
 from . import scenarios, validation
 from .queries import table
@@ -455,9 +457,93 @@ SELECT scenario, note, b.p AS base_principal_cents, b.l AS base_loss_cents, roun
        o.p - b.p AS principal_cents_change, o.l - b.l AS loss_cents_change, round(o.pv - b.pv, 0) AS pv_cents_change FROM b JOIN o USING (scenario, note)
 """
 
+# ---- sources, dates, checks -------------------------------------------------------
+
+
+def filing_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent and high orders as filings of fifty deals, of a window, in each deal's first five months with any."""
+    o = table(spark, sf_dir, "orders")
+    f = o.select(F.concat(F.lit("D"), (F.col("o_custkey") % 50).cast("string")).alias("deal_id"), F.col("o_orderkey").alias("accession"), F.col("o_orderpriority").alias("form"), base._month("o_orderdate").alias("report_period"), F.to_date("o_orderdate").alias("filing_date"))
+    return document_sources.select_filings(f, ["1-URGENT", "2-HIGH"], "1996-01-01", "1997-12-31", 5)
+
+
+FILING_SELECTION = """
+WITH f AS (SELECT 'D' || (o_custkey % 50) AS deal_id, o_orderkey AS accession, o_orderpriority AS form, strftime(o_orderdate, '%Y-%m') AS report_period, CAST(o_orderdate AS DATE) AS filing_date FROM orders),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY deal_id ORDER BY report_period) AS n FROM f WHERE form IN ('1-URGENT', '2-HIGH') AND filing_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31')
+SELECT deal_id, accession, form, report_period, filing_date FROM k WHERE n <= 5
+"""
+
+
+def unseen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were not ingested; every third was, with the hash it still has."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("accession"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    return tapes.new_sources(d.drop("doc_id"), d.where("doc_id % 3 = 0").drop("doc_id"))
+
+
+UNSEEN_SOURCES = "SELECT CAST(doc_id AS VARCHAR) AS accession, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 <> 0"
+
+
+def columnar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stored as parallel arrays of their lines, as rows again."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("r"))  # an order has a few lines
+    arrays = li.select(F.transform("r", lambda x: F.col("l_orderkey")).alias("order_key"), F.col("r.l_linenumber").alias("line"), F.col("r.l_partkey").alias("part"))
+    return document_sources.zip_columns(arrays, ["order_key", "line", "part"])
+
+
+COLUMNAR_ROWS = "SELECT l_orderkey AS order_key, l_linenumber AS line, l_partkey AS part FROM lineitem"
+
+
+def calendar_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    day, start = F.col("day"), F.lit("1995-01-15").cast("date")
+    return o.select("day", add_months_on(day, F.lit(3), F.lit(30)).alias("thirtieth"), months_between(day, start).alias("months"), is_full_month(F.trunc("day", "month"), day).alias("full_month"))
+
+
+CALENDAR_MONTHS = """
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), f AS (SELECT day, CAST(date_trunc('month', day) + INTERVAL 3 MONTH AS DATE) AS first FROM d)
+SELECT day, least(first + 29, last_day(first)) AS thirtieth, CAST((year(day) - 1995) * 12 + month(day) - 1 AS INT) AS months, day = last_day(day) AS full_month FROM f
+"""
+
+
+def fleet_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance-weighted probabilities of the known fleet and their annual equivalents."""
+    f = scenarios.known_fleet(_fleet(spark, sf_dir), F.lit("1995-04-20").cast("timestamp")).withColumns({"p1": F.col("age_months") / 4000.0, "p2": F.col("credit_score") / 50000.0})
+    w = models.weighted_rates(f)
+    return w.select(*[_r(c, 10).alias(c) for c in w.columns])
+
+
+FLEET_RATES = f"""
+WITH {_KNOWN.replace(_ORIGIN, '1995-04-20')}, f AS (SELECT end_balance_cents AS w, age_months / 4000e0 AS p1, credit_score / 50000e0 AS p2 FROM o2 WHERE period_end = newest AND end_balance_cents > 0 AND NOT previously_defaulted),
+m AS (SELECT sum(p1 * w) / sum(w) AS d, sum(p2 * w) / sum(w) AS p FROM f)
+SELECT round(d, 10) AS monthly_default, round(p, 10) AS monthly_prepay, round(1 - exp(12 * ln(1 - d - p) * d / (d + p)), 10) AS annual_default, round(1 - exp(12 * ln(1 - d - p) * p / (d + p)), 10) AS annual_prepay FROM m
+"""
+
+
+def growing_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the running sums of a priority's months grow strictly, and whether its months do."""
+    t = base._monthly_tiers(spark, sf_dir)
+    running = t.withColumn("due_cents", F.sum("due_cents").over(Window.partitionBy("tier").orderBy("month")))
+    sums = audit.increasing(running, ["tier"], "month", "due_cents").withColumnRenamed("increasing", "sums_grow")
+    return sums.join(audit.increasing(t, ["tier"], "month", "due_cents").withColumnRenamed("increasing", "months_grow"), "tier")
+
+
+GROWING_TIERS = f"""
+WITH {base._TIERS}, r AS (SELECT *, due_cents > coalesce(lag(due_cents) OVER w, -1) AS up FROM t WINDOW w AS (PARTITION BY tier ORDER BY month))
+SELECT tier, min(due_cents) > 0 OR count(*) = 1 AS sums_grow, bool_and(up) AS months_grow FROM r GROUP BY 1
+"""
+
+
+def note_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening less principal against closing, of each note and month of the waterfall."""
+    return valuation.roll_checks(_note_flows(spark, sf_dir)).select("scenario", "month", "note", "expected_closing_cents", "residual_cents")
+
+
+NOTE_ROLLS = f"WITH RECURSIVE {_WATERFALL} SELECT scenario, month, note, begin_cents - principal_cents AS expected_closing_cents, end_cents - begin_cents + principal_cents AS residual_cents FROM nf"
+
 _NAMES = (
     "cohort_predictions", "transition_predictions", "segment_stability", "widest_gaps", "seasoned_defaults", "seasoned_recoveries", "known_fleet", "interest_share", "default_candidates", "recovery_ratio",
     "loan_moves", "tape_profile", "key_alignment", "money_texts", "payment_dates", "pool_projection", "note_flows", "month_flows", "note_summary", "reverse_stress", "target_sensitivity", "expanding_folds",
+    "filing_selection", "unseen_sources", "columnar_rows", "calendar_months", "fleet_rates", "growing_tiers", "note_rolls",
 )
 QUERIES = {name: globals()[name] for name in _NAMES}
 SQL = {name: globals()[name.upper()] for name in _NAMES}
