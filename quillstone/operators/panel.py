@@ -99,11 +99,11 @@ def audit_defaults(panel: DataFrame) -> DataFrame:
     """
     loan = Window.partitionBy("deal_id", "loan_id").orderBy("period_end")
     earlier = loan.rowsBetween(Window.unboundedPreceding, -1)
-    f = panel.withColumns(
+    first = panel.groupBy("deal_id").agg(F.min("period_end").alias("__first_period"))
+    f = panel.join(F.broadcast(first), "deal_id", "left").withColumns(  # one row per deal
         {
             "__seen": F.coalesce(F.max("first_default_event").over(earlier), F.lit(0)),
             "__last_end": F.lag("end_balance_cents").over(loan),
-            "__first_period": F.min("period_end").over(Window.partitionBy("deal_id")),
             "__month": F.date_format("period_end", "yyyy-MM"),
         }
     )
