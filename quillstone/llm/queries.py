@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op13_byte_bpe
 from .chat import op8_chat_formatting
 from .decontamination import op9_decontamination
+from .fim import OP12_SQL, op12_fill_in_middle
 from .linededup import op6_line_dedup
 from .packing import op2_packing
 from .pii import op5_pii
@@ -24,8 +26,11 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL = {
     "op3_url_filters": OP3_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
