@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op13_byte_bpe
 from .chat import op8_chat_formatting
+from .collocations import OP11_SQL, op11_collocations
 from .decontamination import op9_decontamination
 from .fim import OP12_SQL, op12_fill_in_middle
 from .linededup import op6_line_dedup
@@ -26,11 +27,13 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL = {
     "op3_url_filters": OP3_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_fill_in_middle": OP12_SQL,
 }
