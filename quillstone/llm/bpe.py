@@ -36,7 +36,9 @@ class ByteBpe:
         self._library = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self._pattern = regex.compile(public_tokenizers.PATTERN)
         self._classes = [regex.compile(one) for one in (r"\s", r"\p{L}", r"\p{N}")]
-        self._bytes = {rank: token for token, rank in table.items()}
+        self._bytes = pa.array([token for _, token in sorted((rank, token) for token, rank in table.items())], pa.binary())
+        if [*range(len(table))] != sorted(table.values()):
+            raise ValueError(f"the ranks of {ranks} leave gaps")
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text whose end is the end of a pre-token, as int32."""
@@ -45,8 +47,11 @@ class ByteBpe:
         pieces = (self._library._encode_single_piece(match[0]) for match in self._pattern.finditer(text))
         return np.fromiter(chain.from_iterable(pieces), dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, ids))
+    def decode(self, ids: pa.Array) -> bytes:
+        """The tokens' bytes, gathered one behind the other; an unknown id is an error."""
+        taken = self._bytes.take(ids)
+        size = int(np.frombuffer(taken.buffers()[1], dtype=np.int32)[len(taken)]) if len(taken) else 0
+        return taken.buffers()[2][:size].to_pybytes() if size else b""
 
     def borders(self, chunk: str, last: bool) -> list[int]:
         """Ends of the chunk's pre-tokens where a text may be stitched: what stands on either side makes each a border of the
@@ -158,7 +163,7 @@ def decoded(ids: Column | str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> Co
     """The bytes that ids stand for, those of each joined to the next's; they need not be whole UTF-8. Null gives null; an unknown id fails."""
 
     def run(lists: pa.Array) -> pa.Array:
-        return pa.array([None if each.as_py() is None else byte_bpe(ranks).decode(each.values.to_pylist()) for each in lists], pa.binary())
+        return pa.array([None if each.as_py() is None else byte_bpe(ranks).decode(each.values) for each in lists], pa.binary())
 
     run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "binary")(ids)
