@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice, takewhile
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import delete, materialize, table, text_or_empty
 
 #: What ends a piece of text; between two words stand spaces and tabs.
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_STOPS + b"\t", b"\n" * len(_STOPS) + b" ")
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
-#: A block's number takes what a list's number within its block leaves of 63 bits.
+#: Lists of a block, and of it how many its number within a task leaves room for.
 LOCAL_BITS, BLOCKS_OF_TASK = 23, 20
+#: Words of the corpus for each part that phrases are counted in, and parts at least.
+PART, LEAST_PARTS = 1 << 21, 16
 #: Groups of phrases of a language that are ranked apart first, so that no task ranks all of them.
 RANKED_APART = 64
 
@@ -72,26 +75,44 @@ def word_slices(text: bytes, least: int = 8) -> Iterator[list[bytes]]:
         low, size = max(high, low), SLICE
 
 
-def _packed(at: np.ndarray, phrase: np.ndarray, own: int) -> bytes:
-    """Rising positions, as steps, and the phrase that starts at each; ``own`` positions are the block's, those behind them another's."""
-    both = np.concatenate([np.diff(at, prepend=0).astype(np.int32), phrase.astype(np.int32)])
-    return np.array([len(at), own], dtype=np.int64).tobytes() + pa.compress(both.tobytes(), codec="zstd", asbytes=True)
+def _packed(*columns: np.ndarray, rising: int = 0) -> bytes:
+    """Equally long columns of integers as one compressed string; the first ``rising`` as steps. Bytes of one weight stand together, so that
+    small numbers take little room in any type."""
+    stored = [np.diff(column, prepend=column.dtype.type(0)) if at < rising else np.ascontiguousarray(column) for at, column in enumerate(columns)]
+    planes = b"".join(column.view(np.uint8).reshape(len(column), -1).T.tobytes() for column in stored) if len(columns[0]) else b"\0"
+    return f"{len(columns[0])} {rising} {''.join(column.dtype.char for column in columns)}\n".encode() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    n, own = np.frombuffer(packed[:16], dtype=np.int64).tolist()
-    both = np.frombuffer(pa.decompress(packed[16:], decompressed_size=8 * n, codec="zstd"), dtype=np.int32)
-    return np.cumsum(both[:n]), both[n:], own
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    head, _, body = packed.partition(b"\n")
+    n, rising, kinds = head.decode().split(" ")
+    n, rising, kinds = int(n), int(rising), [np.dtype(kind) for kind in kinds]
+    if not n:
+        return [np.zeros(0, dtype=kind) for kind in kinds]
+    plain = np.frombuffer(pa.decompress(body, decompressed_size=n * sum(kind.itemsize for kind in kinds), codec="zstd"), dtype=np.uint8)
+    out, low = [], 0
+    for at, kind in enumerate(kinds):
+        high = low + n * kind.itemsize
+        column = np.ascontiguousarray(plain[low:high].reshape(kind.itemsize, n).T).view(kind).ravel()
+        out.append(np.cumsum(column, dtype=kind) if at < rising else column)
+        low = high
+    return out
 
 
-def _list(values: pa.Array) -> pa.Array:
-    """One row that holds all values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _lists(at: np.ndarray, phrase: np.ndarray, own: int) -> bytes:
+    """Rising positions and the phrase that starts at each; positions from ``own`` on are the next block's."""
+    return b"%d " % own + _packed(at.astype(np.int32), phrase.astype(np.int32), rising=1)
+
+
+def _positions(packed: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    own, _, rest = packed.partition(b" ")
+    at, phrase = _unpacked(rest)
+    return at, phrase, int(own)
 
 
 def _blocks(docs: DataFrame, settings: Settings) -> DataFrame:
-    """block, lang, n, words, counts, lists: the words of some ``settings.block`` positions of one language, and the positions that hold
-    them; a word's number is its place in ``words``.
+    """block, lang, n, words, counts, lists: the words of some ``settings.block`` positions of one language, joined by newlines, how often each
+    is counted there, and the positions that hold them; a word's number is its place.
 
     A text that goes on in the next block leaves its next words here as well, without counting them, so that
     each phrase is found whole in the block in which it starts.
@@ -113,11 +134,11 @@ def _blocks(docs: DataFrame, settings: Settings) -> DataFrame:
                 ids = np.concatenate(parts)
                 at = np.flatnonzero(ids >= 0)
                 ids = ids[at]
-                counted = ids[at < own]
-                words = pa.array(list(numbers)[2:], pa.binary()).cast(pa.string())
-                counts = pa.array(np.bincount(counted, minlength=len(words)), pa.int64())
-                columns = [pa.array([number], pa.int64()), pa.array([lang], pa.string()), pa.array([len(counted)], pa.int64()), _list(words), _list(counts), pa.array([_packed(at, ids, own)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "n", "words", "counts", "lists"])
+                counts = np.bincount(ids[at < own], minlength=len(numbers) - 2).astype(np.int32)
+                words = pa.compress(b"\n".join(islice(numbers, 2, None)) or b"\0", codec="zstd", asbytes=True)
+                size_of = sum(map(len, numbers)) - 1 + max(0, len(numbers) - 3)
+                columns = [pa.array([value], kind) for value, kind in ((number, pa.int64()), (lang, pa.string()), (int(counts.sum()), pa.int64()), (max(1, size_of), pa.int64()), (words, pa.binary()), (_packed(counts), pa.binary()), (_lists(at, ids, own), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "n", "size", "words", "counts", "lists"])
                 number += 1
             held.clear()
             size = 0
@@ -138,50 +159,146 @@ def _blocks(docs: DataFrame, settings: Settings) -> DataFrame:
                     size += 1
         yield from written()
 
-    return docs.mapInArrow(run, "block long, lang string, n long, words array<string>, counts array<long>, lists binary")
+    return docs.mapInArrow(run, "block long, lang string, n long, size long, words binary, counts binary, lists binary")
+
 
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of each part that occurs."""
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for low, high in zip(edges, [*edges[1:], len(order)]):
+        yield int(part[order[low]]), order[low:high]
 
-def _grown(lists: DataFrame, frequent: DataFrame) -> DataFrame:
-    """block, lists, left, right, counts: the lists of phrases of one word more.
+
+def _words_by_part(blocks: DataFrame, parts: int) -> DataFrame:
+    """block, lang, part, words, size, held: the words of each block, dealt to parts by a hash of word and lang, with their numbers and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lang, size, packed, counted in zip(*(column.to_pylist() for column in batch.columns)):
+                counts, seed = _unpacked(counted)[0], crc32(lang.encode())
+                words = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n") if len(counts) else []
+                part = np.fromiter((crc32(word, seed) % parts for word in words), np.int64, len(words))
+                rows = []
+                for number, places in _dealt(part):
+                    joined = b"\n".join([words[at] for at in places.tolist()])
+                    rows.append((block, lang, number, pa.compress(joined, codec="zstd", asbytes=True), len(joined), _packed(places.astype(np.int32), counts[places], rising=1)))
+                columns = list(zip(*rows)) or [()] * 6
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds)], names=["block", "lang", "part", "words", "size", "held"])
+
+    return blocks.select("block", "lang", "size", "words", "counts").mapInArrow(run, "block long, lang string, part long, words binary, size long, held binary")
+
+
+def _alive(blocks: list[int], numbers: list[np.ndarray], gids: np.ndarray) -> list[tuple[int, bytes]]:
+    """(block, numbers and gids of its lists that stay) for each block that has any; ``gids`` are those of all blocks' lists, -1 where one goes."""
+    cuts = np.cumsum([len(of_block) for of_block in numbers])[:-1]
+    out = []
+    for block, local, gid in zip(blocks, numbers, np.split(gids, cuts)):
+        stays = gid >= 0
+        if stays.any():
+            out.append((block, _packed(local[stays], gid[stays], rising=1)))
+    return out
+
+
+def _frequent_words(dealt: DataFrame, parts: int, least: int) -> DataFrame:
+    """The words that all blocks of a language together hold ``least`` times: a row for each block of a part that holds some (block, alive), and one for each part (gid, a, lang, word)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks, langs, part = table.column("block").to_pylist(), table.column("lang").to_pylist(), table.column("part")[0].as_py()
+        held = [_unpacked(packed) for packed in table.column("held").to_pylist()]
+        words = []
+        for lang, packed, size in zip(langs, table.column("words").to_pylist(), table.column("size").to_pylist()):
+            end = b"\n" + lang.encode()  # no word holds a newline
+            words += [word + end for word in pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")]
+        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+        code = coded.indices.to_numpy()
+        sums = np.zeros(len(coded.dictionary), dtype=np.int64)
+        np.add.at(sums, code, np.concatenate([counts for _, counts in held]).astype(np.int64))
+        named = sorted((coded.dictionary[at].as_py(), at) for at in np.flatnonzero(sums >= least).tolist())
+        kept = np.array([at for _, at in named], dtype=np.int64)
+        gids = np.full(len(sums), -1, dtype=np.int64)
+        gids[kept] = np.arange(len(kept)) * parts + part
+        rows = [(block, alive, None, None, None, None) for block, alive in _alive(blocks, [local for local, _ in held], gids[code])]
+        texts = [name.split(b"\n", 1) for name, _ in named]
+        rows.append((None, None, gids[kept], sums[kept], [lang.decode() for _, lang in texts], [word.decode() for word, _ in texts]))
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()))
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=["block", "alive", "gid", "a", "lang", "word"])
+
+    return dealt.groupBy("part").applyInArrow(run, "block long, alive binary, gid array<long>, a array<long>, lang array<string>, word array<string>")
+
+
+def _grown(lists: DataFrame, frequent: DataFrame, parts: int) -> DataFrame:
+    """block, lists, part, held: the lists of phrases of one word more, a row for each block (lists), and what they are called, dealt to parts (part, held).
 
     The list of a frequent phrase is merge-joined with the lists that hold the next position: those of the frequent phrases of the same length
     which start one word later and so add the word that stands behind it. All lists of a block are joined in one pass over its
-    positions. left and right are the two phrases' numbers, counts the lengths of the new lists, whose place is the new phrase's number in the block.
+    positions. A new phrase is called by the gids of these two; held has its number in the block, them, and its list's length.
     """
 
-    def run(held: pa.Table, alive: pa.Table) -> pa.Table:
-        out = []
-        for packed in held.column("lists").to_pylist():
-            at, phrase, own = _unpacked(packed)
-            gids = np.full(int(phrase.max(initial=-1)) + 1, -1, dtype=np.int64)
-            gids[alive.column("local").to_numpy()] = alive.column("gid").to_numpy()
-            kept = gids[phrase] >= 0
+    def run(table: pa.Table, alive: pa.Table) -> pa.Table:
+        rows = []
+        stays = [_unpacked(packed) for packed in alive.column("alive").to_pylist()] or [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))]
+        for block, packed in zip(table.column("block").to_pylist(), table.column("lists").to_pylist()):
+            at, phrase, own = _positions(packed)
+            # Frequent phrases are numbered anew by rising gids, so that names and numbers of what grows rise together.
+            local, gid = (np.concatenate([of_part[at_] for of_part in stays]) for at_ in (0, 1))
+            order = np.argsort(gid)
+            gids = gid[order]
+            rank = np.full(int(max(phrase.max(initial=-1), local.max(initial=-1))) + 1, -1, dtype=np.int64)
+            rank[local[order]] = np.arange(len(order))
+            phrase = rank[phrase]
+            kept = phrase >= 0
             at, phrase = at[kept], phrase[kept]
             meet = np.flatnonzero(at[1:] == at[:-1] + 1)
-            both = phrase[meet].astype(np.int64) * len(gids) + phrase[meet + 1]
-            pairs, number = np.unique(both, return_inverse=True)
+            pairs, number = np.unique(phrase[meet] * len(gids) + phrase[meet + 1], return_inverse=True)
             at = at[meet]
-            counts = np.bincount(number[at < own], minlength=len(pairs))
-            out.append((_packed(at, number, own), gids[pairs // max(1, len(gids))], gids[pairs % max(1, len(gids))], counts))
-        lists, left, right, counts = zip(*out) if out else ([],) * 4
-        block = pa.array(held.column("block").to_pylist(), pa.int64())
-        longs = lambda column: pa.array(list(column), pa.list_(pa.int64()))
-        return pa.table({"block": block, "lists": pa.array(lists, pa.binary()), "left": longs(left), "right": longs(right), "counts": longs(counts)})
-
-    grouped = lists.select("block", "lists").groupBy("block").cogroup(frequent.select("block", "local", "gid").groupBy("block"))
-    return grouped.applyInArrow(run, "block long, lists binary, left array<long>, right array<long>, counts array<long>")
-
-
-def _frequent(found: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The lists of phrases that all blocks together hold ``least`` times: block, local, ``keys``, a, gid; gid is the number of the first of these lists."""
-    of_phrase = Window.partitionBy(*keys)
-    place = F.shiftleft("block", LOCAL_BITS) + F.col("local")
-    summed = found.select("block", "local", *keys, F.sum("n").over(of_phrase).alias("a"), F.min(place).over(of_phrase).alias("gid"))
-    return summed.where(F.col("a") >= least)
-
-
-def _once(frequent: DataFrame) -> DataFrame:
-    return frequent.where(F.col("gid") == F.shiftleft("block", LOCAL_BITS) + F.col("local"))
+            counts = np.bincount(number[at < own], minlength=len(pairs)).astype(np.int32)
+            rows.append((block, _lists(at, number, own), None, None))
+            left, right = gids[pairs // max(1, len(gids))], gids[pairs % max(1, len(gids))]
+            hashed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            part = ((hashed ^ (hashed >> np.uint64(29))) % np.uint64(parts)).astype(np.int64)
+            rows += [(block, None, number, _packed(places.astype(np.int32), left[places], right[places], counts[places], rising=2)) for number, places in _dealt(part)]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        return pa.table([pa.array(column, kind) for column, kind in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["block", "lists", "part", "held"])
+
+    grouped = lists.select("block", "lists").groupBy("block").cogroup(frequent.groupBy("block"))
+    return grouped.applyInArrow(run, "block long, lists binary, part long, held binary")
+
+
+def _frequent_pairs(dealt: DataFrame, parts: int, least: int) -> DataFrame:
+    """As ``_frequent_words``, for phrases that are called by two gids: (block, alive), and (gid, a, left, right) for each part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
+        held = [_unpacked(packed) for packed in table.column("held").to_pylist()]
+        left, right = (np.concatenate([of_block[at] for of_block in held]) for at in (1, 2))
+        counts = np.concatenate([of_block[3] for of_block in held]).astype(np.int64)
+        order = np.lexsort((right, left))
+        new = np.flatnonzero((np.diff(left[order], prepend=-1) != 0) | (np.diff(right[order], prepend=-1) != 0))
+        sums = np.add.reduceat(counts[order], new)
+        kept = np.flatnonzero(sums >= least)
+        of_pair = np.full(len(new), -1, dtype=np.int64)
+        of_pair[kept] = np.arange(len(kept)) * parts + part
+        gids = np.empty(len(order), dtype=np.int64)
+        gids[order] = np.repeat(of_pair, np.diff(new, append=len(order)))
+        rows = [(block, alive, None, None, None, None) for block, alive in _alive(blocks, [of_block[0] for of_block in held], gids)]
+        rows.append((None, None, of_pair[kept], sums[kept], left[order][new[kept]], right[order][new[kept]]))
+        kinds = (pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4)
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=["block", "alive", "gid", "a", "left", "right"])
+
+    return dealt.groupBy("part").applyInArrow(run, "block long, alive binary, gid array<long>, a array<long>, left array<long>, right array<long>")
+
+
+def _dictionary(frequent: DataFrame, *columns: str) -> DataFrame:
+    """A row for each phrase of the parts' rows."""
+    return frequent.where("gid IS NOT NULL").select(F.explode(F.arrays_zip("gid", "a", *columns)).alias("p")).select("p.*")
+
+
+def _forget(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        delete(table.sparkSession, folder)
 
 
 def phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -192,24 +309,33 @@ def phrases(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame
     """
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().cast("string").alias("text"))
     blocks = materialize(_blocks(source, settings), "blocks")
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "one"))
-    frequent = materialize(_frequent(words.select("block", "local", "lang", F.col("one.words").alias("word"), F.col("one.counts").alias("n")), ["lang", "word"], settings.least), "frequent")
+    totals = materialize(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    # A part's phrases are counted by one task, so there are as many as the corpus is long.
+    parts = max(LEAST_PARTS, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // PART))
+    alive = lambda found: found.where("block IS NOT NULL").select("block", "alive")
+    frequent = materialize(_frequent_words(_words_by_part(blocks, parts), parts, settings.least), "frequent")
     none, no_phrase = F.array().cast("array<long>"), F.lit(None).cast("long")
-    of_length = [materialize(_once(frequent).select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"), no_phrase.alias("left"), no_phrase.alias("right")), "phrases")]
-    lists = blocks
+    words = _dictionary(frequent, "lang", "word").select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"), no_phrase.alias("left"), no_phrase.alias("right"))
+    of_length = [materialize(words, "phrases")]
+    lists, done = blocks, [blocks, frequent]
     for _ in range(settings.longest - 1):
-        lists = materialize(_grown(lists, frequent), "lists")
-        zipped = lists.select("block", F.posexplode(F.arrays_zip("left", "right", "counts")).alias("local", "one"))
-        frequent = materialize(_frequent(zipped.select("block", "local", "one.left", "one.right", F.col("one.counts").alias("n")), ["left", "right"], settings.least), "frequent")
+        grown = materialize(_grown(lists, alive(frequent), parts), "lists")
+        for read in done:  # what was grown from is read no more
+            _forget(read)
+        lists = grown.where("lists IS NOT NULL")
+        frequent = materialize(_frequent_pairs(grown.where("part IS NOT NULL").select("block", "part", "held"), parts, settings.least), "frequent")
         # Phrases are joined as a dictionary, a row for each; their occurrences stay in the blocks.
         l, r = of_length[-1].alias("l"), of_length[-1].alias("r")  # noqa: E741
-        joined = _once(frequent).alias("p").join(l, F.col("p.left") == F.col("l.gid")).join(r, F.col("p.right") == F.col("r.gid"))
+        joined = _dictionary(frequent, "left", "right").alias("p").join(l, F.col("p.left") == F.col("l.gid")).join(r, F.col("p.right") == F.col("r.gid"))
         longer = joined.select("p.gid", "l.lang", F.concat_ws(" ", "l.phrase", "r.last").alias("phrase"), "r.last", "p.a", F.concat("l.heads", F.array("l.a")).alias("heads"), F.concat(F.array("r.a"), "r.tails").alias("tails"), "p.left", "p.right")
         of_length.append(materialize(longer, "phrases"))
+        done = [grown, frequent]
+    for read in done:
+        _forget(read)
     every = of_length[0]
     for one in of_length[1:]:
         every = every.unionByName(one)
-    return every, blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    return every, totals
 
 
 def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -217,8 +343,9 @@ def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     The corpus is dealt in blocks of positions, which hold for each phrase the list of its positions. A phrase grows by the merge join
     of its list with those of the next positions; the lengths of its lists in all blocks add up to its frequency, which is exact.
-    Lists stay with their block; only (block, phrase, length) travels, a row for each list, and phrases below ``least`` go before they grow,
-    as no longer phrase can be more frequent. So no task holds a frequent phrase's positions in the whole corpus.
+    Lists stay with their block; what travels is a phrase's name and its list's length, packed by block and part of the phrases, and
+    phrases below ``least`` go before they grow, as no longer phrase can be more frequent. So no task holds a frequent phrase's
+    positions in the whole corpus, and a part's phrases are as many whatever the corpus's size.
 
     Null text counts as empty, a null lang as ``und``. Repeated rows count again. Words and phrases are told apart by their bytes. Of equal
     scores and frequencies the phrase comes first whose UTF-8 bytes do. Very long texts are read in slices and go on in further blocks. An empty table gives no rows;

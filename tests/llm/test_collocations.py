@@ -137,15 +137,35 @@ def test_counts_beyond_64_bits(spark):
     assert tuple(row) == ("en", 1, "x y", 10**12, 3 * 10**12, 2 * 10**12, n, 1000 * 10**12 * n // (6 * 10**24))
 
 
-def test_lists_stay_with_their_block(spark):
-    """The plan of a step groups lists by block; what is shuffled by phrase holds no positions."""
-    docs = spark.createDataFrame(made(1), "text string, lang string").select("lang", "text")
-    blocks = collocations._blocks(docs, Settings(block=100))
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "one"))
-    plan = collocations._frequent(words.select("block", "local", "lang", F.col("one.words").alias("word"), F.col("one.counts").alias("n")), ["lang", "word"], 5)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    window = text[text.index("Window") : text.index("Generate")]
-    assert "lists" not in window
+def test_parts_split_the_counting(spark, monkeypatch):
+    """Many parts and blocks give the phrases of one."""
+    rows = made(31)
+    monkeypatch.setattr(collocations, "PART", 50)
+    settings = Settings(least=5, block=60)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert found(docs, settings) == plain(rows, settings)
+
+
+def test_lists_do_not_travel_to_the_parts(spark):
+    """What is counted by part holds names and lengths, no positions: a list of any length takes the same room."""
+    short, long = (spark.createDataFrame([("one two " * n, "en")], "text string, lang string").select("lang", "text") for n in (50, 5000))
+    sizes = []
+    for docs in (short, long):
+        blocks = collocations.materialize(collocations._blocks(docs, Settings()), "blocks")
+        frequent = collocations._frequent_words(collocations._words_by_part(blocks, 4), 4, 1)
+        grown = collocations._grown(blocks, frequent.where("block IS NOT NULL").select("block", "alive"), 4)
+        sizes.append(grown.where("part IS NOT NULL").agg(F.sum(F.length("held"))).first()[0])
+    assert abs(sizes[0] - sizes[1]) < 16
+
+
+@pytest.mark.parametrize("columns", [[[], [], []], [[1, 2, 3], [9, -9, 2**31 - 1], [5, 6, 2**62]]])
+def test_packed_columns_come_back(columns):
+    import numpy as np
+
+    arrays = [np.array(column, dtype=kind) for column, kind in zip(columns, (np.int32, np.int32, np.int64))]
+    for rising in (0, 1, 3):
+        back = collocations._unpacked(collocations._packed(*arrays, rising=rising))
+        assert [(one.dtype, one.tolist()) for one in back] == [(one.dtype, one.tolist()) for one in arrays]
 
 
 def test_clashing_names(spark):
