@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,22 +56,28 @@ def federal_holidays(spark: SparkSession, first_year: int, last_year: int) -> Da
     return days.unionByName(moved.select(F.when(F.col("k") == -1, last).otherwise(F.date_add(at, (F.col("k") - 1) * 7)).alias("day"), "name"))
 
 
-def distribution_dates(dates: DataFrame, column: str, months: str, out: str = "distribution_date") -> DataFrame:
-    """The 15th so many months after ``column``, rolled past weekends and federal holidays.
+def _is_closed(day: Column) -> Column:
+    """A weekend, or a federal holiday by the rules of ``federal_holidays``."""
+    week, month, of_month = F.dayofweek(day), F.month(day), F.dayofmonth(day)  # Sunday 1
+    falls = lambda m, d: (month == m) & (of_month == d)
+    closed = week.isin(1, 7)
+    for m, d in ((1, 1), (7, 4), (11, 11), (12, 25), (6, 19)):
+        before, after = F.date_sub(day, 1), F.date_add(day, 1)
+        on = lambda other: (F.month(other) == m) & (F.dayofmonth(other) == d)  # noqa: B023, E731
+        observed = falls(m, d) | ((week == 2) & on(before)) | ((week == 6) & on(after))
+        closed = closed | (observed & (F.year(day) >= 2021) if (m, d) == (6, 19) else observed)
+    for m, w, k in ((1, 2, 3), (2, 2, 3), (9, 2, 1), (10, 2, 2), (11, 5, 4)):
+        closed = closed | ((month == m) & (week == w) & (F.ceil(of_month / 7) == k))
+    return closed | ((month == 5) & (week == 2) & (of_month > 24))
 
-    ``dates`` gains the column ``out``. The calendar is a few hundred rows for the years in
-    question and is broadcast.
-    """
-    spark = dates.sparkSession
-    span = dates.agg(F.min(F.year(column)), F.max(F.year(column) + F.ceil(F.col(months) / 12) + 1)).first()
-    if span[0] is None:
-        return dates.withColumn(out, F.lit(None).cast("date"))
-    first, last = int(span[0]), int(span[1]) + 1
-    calendar = spark.range(1).select(F.explode(F.sequence(F.make_date(F.lit(first), F.lit(1), F.lit(1)), F.make_date(F.lit(last), F.lit(12), F.lit(31)))).alias("day"))
-    closed = federal_holidays(spark, first, last).select("day").distinct().withColumn("closed", F.lit(True))
-    open_days = calendar.join(F.broadcast(closed), "day", "left").where(F.col("closed").isNull() & ~F.dayofweek("day").isin(1, 7)).select("day")
-    # The next open day of every calendar day: a left join would need a range; a running minimum does not.
-    ahead = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rolled = calendar.join(open_days.withColumnRenamed("day", "open_day"), F.col("day") == F.col("open_day"), "left").select(F.col("day").alias("__day"), F.min("open_day").over(ahead).alias(out))
-    base = add_months_on(F.col(column).cast("date"), F.col(months), F.lit(15))
-    return dates.withColumn("__base", base).join(F.broadcast(rolled), F.col("__base") == F.col("__day"), "left").drop("__base", "__day")
+
+def payment_date(previous: Column, months: Column) -> Column:
+    """The 15th so many months on, moved past weekends and federal holidays; a column, so nothing is joined or collected."""
+    base = add_months_on(previous.cast("date"), months, F.lit(15))
+    days = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: F.date_add(base, n))
+    return F.get(F.filter(days, lambda day: ~_is_closed(day)), F.lit(0))
+
+
+def distribution_dates(dates: DataFrame, column: str, months: str, out: str = "distribution_date") -> DataFrame:
+    """``dates`` with ``out``, the payment date so many months after ``column``."""
+    return dates.withColumn(out, payment_date(F.col(column), F.col(months)))

@@ -40,7 +40,7 @@ def disclosure_features(panel: DataFrame) -> DataFrame:
     Usable: one of the loan's previous four rows, accepted by the period's start, of an earlier
     period, with a balance. Rows stay if they have one, if no earlier row was terminal, and if
     this row is neither censored nor a repurchase and starts with a balance. outcome: 1 default,
-    2 prepayment, 0 neither; both at once is an error.
+    2 prepayment, 0 neither; both at once is an error. It was public from label_available_at on, which is what training has to wait for.
     """
     keys = ["deal_id", "loan_id"]
     codes = F.split(F.coalesce(F.col("zero_balance_code"), F.lit("")), "[|]")
@@ -69,6 +69,7 @@ def disclosure_features(panel: DataFrame) -> DataFrame:
         F.log1p(F.col("seen.end_balance_cents") / 100).alias("log_balance"),
         lag.alias("disclosure_lag_months"),
         F.col("seen.acceptance_time").alias("feature_available_at"),
+        F.col("acceptance_time").alias("label_available_at"),
         outcome.cast("int").alias("outcome"),
     )
 

@@ -14,8 +14,8 @@ LONGEST_TERM = 120
 HORIZON = 180
 
 
-def make_cohorts(active: DataFrame, pool_cents: int | None = None) -> DataFrame:
-    """balance_cents, remaining_months, apr, default_hazard_multiplier by term, rate and reinstatement.
+def make_cohorts(active: DataFrame, pool_cents: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, balance_cents, remaining_months, apr, default_hazard_multiplier by term, rate and reinstatement; each key is a pool of its own.
 
     ``active``: end_balance_cents, remaining_months, interest_rate_pct, previously_defaulted. A missing term
     is the rounded median of known positive terms, a matured one 1; a missing rate is the median; rates
@@ -23,16 +23,16 @@ def make_cohorts(active: DataFrame, pool_cents: int | None = None) -> DataFrame:
     ``pool_cents``, or no known term or rate at all are errors.
     """
     known = F.when(F.col("remaining_months") > 0, F.col("remaining_months"))
-    medians = active.agg(F.rint(F.percentile(known, 0.5)).cast("int").alias("__term"), F.percentile("interest_rate_pct", 0.5).alias("__apr"), F.max("remaining_months").alias("__longest"), F.sum("end_balance_cents").alias("__pool"))
-    f = active.join(F.broadcast(medians))  # one row
+    medians = active.groupBy(*keys).agg(F.rint(F.percentile(known, 0.5)).cast("int").alias("__term"), F.percentile("interest_rate_pct", 0.5).alias("__apr"), F.max("remaining_months").alias("__longest"), F.sum("end_balance_cents").alias("__pool"))
+    f = active.join(medians, list(keys)) if keys else active.join(F.broadcast(medians))  # one row
     wrong = F.col("__term").isNull() | F.col("__apr").isNull() | (F.col("__longest") > LONGEST_TERM)
     if pool_cents is not None:
         wrong = wrong | (F.col("__pool") != pool_cents)
     term = F.when(wrong, F.raise_error(F.lit("cohorts need known terms of at most 120 months, known rates and the stated pool"))).otherwise(F.greatest(F.rint(F.coalesce(F.col("remaining_months"), F.col("__term"))).cast("int"), F.lit(1)))
     apr = F.rint(F.coalesce(F.col("interest_rate_pct"), F.col("__apr")) * 10) / 10
     again = F.coalesce(F.col("previously_defaulted").cast("boolean"), F.lit(False))
-    grouped = f.groupBy(term.alias("remaining_months"), apr.alias("apr_pct"), again.alias("reinstated")).agg(F.sum("end_balance_cents").alias("balance_cents"))
-    return grouped.select("balance_cents", "remaining_months", (F.col("apr_pct") / 100).alias("apr"), F.when(F.col("reinstated"), 2.0).otherwise(1.0).alias("default_hazard_multiplier"))
+    grouped = f.groupBy(*keys, term.alias("remaining_months"), apr.alias("apr_pct"), again.alias("reinstated")).agg(F.sum("end_balance_cents").alias("balance_cents"))
+    return grouped.select(*keys, "balance_cents", "remaining_months", (F.col("apr_pct") / 100).alias("apr"), F.when(F.col("reinstated"), 2.0).otherwise(1.0).alias("default_hazard_multiplier"))
 
 
 def _cents(amount: Column) -> Column:
@@ -44,8 +44,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def cohort_paths(cohorts: DataFrame, keys: list[str], horizon: int = HORIZON) -> DataFrame:
-    """One row per cohort and month: keys, month, begin, default, prepay, scheduled, interest, end (cents).
+def cohort_paths(cohorts: DataFrame, keys: list[str], horizon: int | Column = HORIZON) -> DataFrame:
+    """One row per cohort and month: keys, month, begin, loss, prepay, scheduled, interest, end (cents). ``horizon`` may differ by row.
 
     Each cohort is folded over the months within its own row, by a higher-order function: cohorts
     need no exchange. Columns used: balance_cents, remaining_months, apr, default_monthly, prepay_monthly,
@@ -78,11 +78,19 @@ def cohort_paths(cohorts: DataFrame, keys: list[str], horizon: int = HORIZON) ->
         opening = F.when(F.size(path) == 0, F.col("balance_cents")).otherwise(F.get(path, F.size(path) - 1)["end"])
         return _let(opening, lambda begin: F.when((begin == 0) & (F.size(path) > 0), path).otherwise(F.array_append(path, of_balance(begin))))
 
-    months = F.sequence(F.lit(1), F.lit(horizon))
+    months = F.sequence(F.lit(1), horizon if isinstance(horizon, Column) else F.lit(horizon))
     path = F.aggregate(months, F.array().cast(step_type), month)
     return cohorts.select(*keys, F.explode(path).alias("m")).select(*keys, "m.*")
 
 
+def late_recoveries(flows: DataFrame, keys: list[str], month: str, share: Column, lag: Column, out: str = "recovery_cents") -> DataFrame:
+    """keys, ``month`` and ``out``: a share of a month's default_cents, rounded once, that comes in ``lag`` months later.
+
+    lag() takes a constant and counts rows; lags may differ by row here, and months without defaults need not be there.
+    """
+    return flows.select(*keys, (F.col(month) + lag).alias(month), _cents(F.col("default_cents") * share).alias(out))
+
+
 def project(cohorts: DataFrame, assumptions: DataFrame, *, horizon: int = HORIZON, require_closed: bool = True) -> DataFrame:
     """Pool cash flows of each scenario: one row per (scenario, month), with payment dates.
 
@@ -101,10 +109,9 @@ def project(cohorts: DataFrame, assumptions: DataFrame, *, horizon: int = HORIZO
         total("begin", "pool_begin_cents"), total("end", "pool_end_cents"), total("scheduled", "scheduled_principal_cents"), total("prepay", "prepayment_cents"), total("loss", "default_cents"), total("interest", "interest_cents")
     )
     grid = assumptions.select("scenario", "recovery_rate", "recovery_lag", "previous_distribution", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("month"))
-    grid = distribution_dates(grid, "previous_distribution", "month")  # it reads its dates' span at once, so it gets the grid and not the pool
+    grid = distribution_dates(grid, "previous_distribution", "month")
     f = grid.join(pool, ["scenario", "month"], "left").fillna(0)
-    # lag() takes a constant, lags differ by scenario: a shifted equi-join on at most horizon rows each.
-    late = f.select("scenario", (F.col("month") + F.col("recovery_lag")).alias("month"), F.round(F.col("default_cents") * F.col("recovery_rate"), 0).cast("bigint").alias("recovery_cents"))
+    late = late_recoveries(f, ["scenario"], "month", F.col("recovery_rate"), F.col("recovery_lag"))  # at most horizon rows each
     f = f.join(late.where(F.col("month") <= horizon), ["scenario", "month"], "left").fillna(0, ["recovery_cents"])
     after = Window.partitionBy("scenario").orderBy(F.col("month").desc()).rowsBetween(Window.unboundedPreceding, 0)
     all_months = Window.partitionBy("scenario")

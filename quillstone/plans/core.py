@@ -138,7 +138,7 @@ def _fold_cells(key: str, method: str) -> str:
 EXPANDING_FOLDS = f"""
 WITH r AS ({base.DISCLOSURE_ROWS}), k AS (SELECT *, [{_CELL}] AS cell, [{_BUCKET}] AS bucket FROM r),
   w(fold, a, b) AS (VALUES {', '.join(f"({i}, DATE '{a}', DATE '{b}')" for i, (a, b) in enumerate(_WINDOWS, 1))}),
-  tr AS (SELECT fold, k.* FROM k JOIN w ON period_end < a AND feature_available_at < a), te AS (SELECT fold, k.* FROM k JOIN w ON period_end BETWEEN a AND b),
+  tr AS (SELECT fold, k.* FROM k JOIN w ON period_end < a AND label_available_at < a), te AS (SELECT fold, k.* FROM k JOIN w ON period_end BETWEEN a AND b),
   q AS (SELECT fold, (count(*) FILTER (outcome = 0) + 1) / (count(*) + 3e0) AS q0, (count(*) FILTER (outcome = 1) + 1) / (count(*) + 3e0) AS q1, (count(*) FILTER (outcome = 2) + 1) / (count(*) + 3e0) AS q2 FROM tr GROUP BY 1),
   {_fold_cells('bucket', 'transition')}, {_fold_cells('cell', 'cohort')},
   u AS (SELECT * FROM p_transition UNION ALL SELECT * FROM p_cohort UNION ALL SELECT te.fold, 'constant', outcome, q0, q1, q2 FROM te JOIN q ON q.fold = te.fold),

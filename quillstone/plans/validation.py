@@ -26,9 +26,9 @@ def _baselines(rows: DataFrame, folds) -> DataFrame:
     A row is read once for the folds that it trains and once for the fold that it tests. Training folds into counts by
     fold and cell, which the bands bound; all baselines are sums of these, and small enough to broadcast.
     """
-    keyed = rows.select("outcome", "period_end", "feature_available_at", delinquency_bucket(F.col("delinquency_days")).alias("transition"), F.concat_ws("|", *[c.cast("string") for c in scoring.cohort_cells()]).alias("cohort"))
+    keyed = rows.select("outcome", "period_end", "label_available_at", delinquency_bucket(F.col("delinquency_days")).alias("transition"), F.concat_ws("|", *[c.cast("string") for c in scoring.cohort_cells()]).alias("cohort"))
     day = lambda text: F.lit(text).cast("date")
-    trains = [F.when((F.col("period_end") < day(a)) & (F.col("feature_available_at") < day(a).cast("timestamp")), n) for n, (a, _) in enumerate(folds, 1)]
+    trains = [F.when((F.col("period_end") < day(a)) & (F.col("label_available_at") < day(a).cast("timestamp")), n) for n, (a, _) in enumerate(folds, 1)]
     tests = [F.when(F.col("period_end").between(day(a), day(b)), n) for n, (a, b) in enumerate(folds, 1)]
     within = lambda numbers: keyed.select("outcome", "transition", "cohort", F.explode(F.array_compact(F.array(*numbers))).alias("fold"))
     counts = within(trains).groupBy("fold", "transition", "cohort").agg(*[F.count_if(F.col("outcome") == c).alias(f"n{c}") for c in scoring.CLASSES])
