@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import parse_cents
+from .archives import archives
 
 
 class _Cells(HTMLParser):
@@ -139,10 +138,16 @@ def certificate_amounts(numbered: DataFrame, keys: list[str]) -> DataFrame:
     return cells.select(*keys, F.create_map(*pairs).alias("amounts"), F.transform(unreported, lambda x: x["k"]).alias("missing_interest"))
 
 
+def short_date(text: Column, pattern: str) -> Column:
+    """A date with a year of two digits, from 1969 to 2068."""
+    day = F.to_date(text, pattern)
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+
+
 def document_date(url: Column, header_date: Column) -> Column:
     """The date in an exhibit's file name (MMddyy), else the header's."""
     found = F.regexp_extract(url, r"ex991([0-9]{6})\.htm", 1)
-    return F.coalesce(F.when(found != "", F.to_date(found, "MMddyy")), header_date)
+    return F.coalesce(short_date(F.when(found != "", found), "MMddyy"), header_date)
 
 
 def _unescaped(texts: pa.Array) -> pa.Array:
@@ -160,14 +165,18 @@ def plain_text(html: Column) -> Column:
 def keyword_hits(texts: DataFrame, keys: list[str], text: str, pattern: str, context: int = 40) -> DataFrame:
     """keys, hit_no, start, match, before, after: every match, its place from 0, and the text around it.
 
-    The text is split at its matches, so that offsets come from lengths and no Python runs.
+    The text is split at its matches, so that offsets come from lengths and no Python runs. A match takes along only what
+    is shown of the gaps beside it; a running sum over the lengths gives its place, so a text costs as much as it is long.
     """
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part))
-    f = texts.select(*keys, F.split(text, pattern).alias("__gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("__hits"))
-    return f.select(*keys, "__gaps", "__hits", F.posexplode("__hits").alias("hit_no", "match")).select(
-        *keys, "hit_no", (length(F.slice("__gaps", 1, F.col("hit_no") + 1)) + length(F.slice("__hits", 1, F.col("hit_no")))).alias("start"), "match",
-        F.right(F.get("__gaps", F.col("hit_no")), F.lit(context)).alias("before"), F.left(F.get("__gaps", F.col("hit_no") + 1), F.lit(context)).alias("after"),
-    )
+    cut = texts.select(*keys, F.monotonically_increasing_id().alias("__row"), F.split(text, pattern).alias("__gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("__hits"))
+    # The last gap stands behind the last match.
+    gap = lambda at: F.get("__gaps", at)
+    each = F.transform("__hits", lambda hit, at: F.struct(
+        at.alias("hit_no"), hit.alias("match"), F.length(gap(at)).alias("gap"), F.right(gap(at), F.lit(context)).alias("before"), F.left(gap(at + 1), F.lit(context)).alias("after")))
+    f = cut.select(*keys, "__row", F.explode(each).alias("h")).select(*keys, "__row", "h.*")
+    so_far = Window.partitionBy("__row").orderBy("hit_no").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum(F.col("gap") + F.length("match")).over(so_far) - F.length("match")
+    return f.select(*keys, "hit_no", start.cast("int").alias("start"), "match", "before", "after")
 
 
 def manifest_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -200,30 +209,5 @@ def set_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def archive_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """file, archived and original byte counts and SHA-256 of gzipped or plain files.
-
-    Decompressed in pieces; a file's archived bytes are in memory once.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, content in zip(frame["path"], frame["content"]):
-                whole, size, plain = hashlib.sha256(content).hexdigest(), 0, hashlib.sha256()
-                if content[:2] == b"\x1f\x8b":
-                    unzip = zlib.decompressobj(31)
-                    left = content
-                    while left:
-                        piece = unzip.decompress(left, 1 << 20)
-                        plain.update(piece)
-                        size += len(piece)
-                        left = unzip.unconsumed_tail or (b"" if not unzip.eof else unzip.unused_data)
-                        if unzip.eof and left:
-                            unzip = zlib.decompressobj(31)
-                else:
-                    plain.update(content)
-                    size = len(content)
-                rows.append((name, len(content), whole, size, plain.hexdigest()))
-            yield pd.DataFrame(rows, columns=["file", "archived_bytes", "archived_sha256", "original_bytes", "original_sha256"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, archived_bytes long, archived_sha256 string, original_bytes long, original_sha256 string")
+    """file, archived and original byte counts and SHA-256 of gzipped or plain files, each read once and in pieces."""
+    return archives(spark, path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions.calendar import is_full_month, months_between, parse_month, parse_xml_date
 from ..functions.money import fail_unless, parse_cents, strict_integer, strict_number
+from .archives import fields, tape_records
 
 # The tape's money fields by output column, its other fields, and those that may repeat.
 MONEY_FIELDS = {
@@ -30,7 +31,7 @@ OTHER_FIELDS = (
     "paymentToIncomePercentage", "obligorGeographicLocation", "zeroBalanceCode", "zeroBalanceEffectiveDate", "repossessedIndicator",
     "reportingPeriodModificationIndicator",
 )
-REPEATABLE = ("zeroBalanceCode", "subvented", "modificationTypeCode", "paymentTypeCode")
+REPEATABLE = ("zeroBalanceCode", "subvented", "modificationTypeCode", "repurchaseReplacementReasonCode")
 REQUIRED = ("original_balance_cents", "begin_balance_cents", "end_balance_cents", "principal_paid_cents", "interest_paid_cents")
 NAMESPACE = "http://www.sec.gov/edgar/document/absee/autoloan/assetdata"
 
@@ -39,7 +40,7 @@ def scan(spark: SparkSession, path: str, row_tag: str = "assets") -> DataFrame:
     """Raw records with every field as an array of texts, and the file each is from; plain or gzipped.
 
     All fields are declared as arrays, since a scalar would silently keep the last of repeated elements; more than
-    one value in a field that may not repeat is an error once the field is read. ``load`` checks what a scan cannot.
+    one value in a field that may not repeat is an error once the field is read. Plain files are split among tasks. ``read`` checks what a scan cannot.
     """
     names = sorted({*MONEY_FIELDS.values(), *OTHER_FIELDS})
     schema = ", ".join(f"{name} array<string>" for name in names)
@@ -61,30 +62,23 @@ def wrong_roots(spark: SparkSession, path: str, namespace: str = NAMESPACE) -> D
     return root.groupBy("file").agg(F.min_by("value", "at").alias("root")).where(~F.col("root").contains(namespace))
 
 
-def duplicates(raw: DataFrame) -> DataFrame:
-    """(file, asset, period end) that occur more than once."""
-    return raw.groupBy("__file", "assetNumber", "reportingPeriodEndingDate").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def repeated_elements(spark: SparkSession, path: str, row_tag: str = "assets") -> list[str]:
-    """Elements, known or not, that some record holds more than once and may not: a full pass that infers the schema."""
-    found = spark.read.format("xml").option("rowTag", row_tag).option("samplingRatio", 1.0).load(path).schema
-    return sorted(f.name for f in found if isinstance(f.dataType, ArrayType) and f.name not in REPEATABLE)
+def read(spark: SparkSession, path: str, row_tag: str = "assets", namespace: str = NAMESPACE, root: str = "assetData") -> DataFrame:
+    """The records of ``scan``, checked in the same pass that reads them: a namespace or root of another kind, any element that repeats
+    and may not, and a loan-month that a file holds twice or does not name, is an error once the record is read. A file is one task, plain or gzipped.
+    """
+    names = sorted({*MONEY_FIELDS.values(), *OTHER_FIELDS})
+    records = tape_records(spark, path, namespace=namespace, root=root, row=row_tag, repeatable=",".join(REPEATABLE), identity="assetNumber,reportingPeriodEndingDate")
+    return fields(records, names, REPEATABLE).withColumnRenamed("file", "__file")
 
 
 def load(spark: SparkSession, path: str, row_tag: str = "assets", namespace: str = NAMESPACE) -> DataFrame:
-    """``scan`` of files that were checked first: their root's namespace, elements that repeat, and assets that do."""
-    wrong = [row.file for row in wrong_roots(spark, path, namespace).limit(5).collect()]
-    if wrong:
-        raise ValueError(f"not in the namespace {namespace}: {wrong}")
-    repeated = repeated_elements(spark, path, row_tag)
-    if repeated:
-        raise ValueError(f"repeated elements: {repeated}")
-    raw = scan(spark, path, row_tag)
-    twice = [tuple(row) for row in duplicates(raw).limit(5).collect()]
-    if twice:
-        raise ValueError(f"duplicate assets: {twice}")
-    return raw
+    """``read``, once every file has been read through without an error; an error is a ValueError that says what was found."""
+    records = read(spark, path, row_tag, namespace)
+    try:
+        records.agg(F.count("__file")).collect()
+    except PySparkException as error:
+        raise ValueError(f"a tape was refused: {error}") from error
+    return records
 
 
 def normalize(raw: DataFrame) -> DataFrame:
