@@ -74,7 +74,7 @@ def loan_moves(panel: DataFrame) -> DataFrame:
     number = month_number(F.col("period_end"))
     last = panel.groupBy("deal_id").agg(F.max("period_end").alias("__last"))
     f = panel.select(*KEYS, "period_end", "begin_balance_cents", "end_balance_cents", number.alias("__m"))
-    f = f.withColumns({"__before": F.lag("__m").over(loan), "__after": F.lead("__m").over(loan)}).join(F.broadcast(last), "deal_id")  # one row per deal
+    f = f.withColumns({"__before": F.lag("__m").over(loan), "__after": F.lead("__m").over(loan)}).join(last, "deal_id")
     rolled = F.coalesce(F.col("__before") == F.col("__m") - 1, F.lit(False))
     leaves = ~F.coalesce(F.col("__after") == F.col("__m") + 1, F.lit(False)) & (F.col("period_end") < F.col("__last"))
     moves = F.array(
@@ -112,3 +112,59 @@ def increasing(rows: DataFrame, keys: list[str], order: str, value: str) -> Data
 def official_rate(average: Column, margin: str = "0.69") -> Column:
     """An official average in percent and a fixed margin, never below 0, exact in decimals."""
     return F.greatest(average.cast("decimal(18,8)") + F.lit(margin).cast("decimal(18,8)"), F.lit(0).cast("decimal(18,8)")).cast("decimal(18,8)")
+
+
+#: What audit_events counts, at each level.
+EVENT_COUNTS = (
+    "rows", "balance_identity_failures", "balance_identity_residual_cents", "net_chargeoff_adjustments", "effective_month_chargeoffs", "first_observed_defaults", "first_default_chargeoffs",
+    "first_default_begin_balance", "effective_month_missing", "effective_month_earlier", "effective_month_same", "effective_month_later", "boundary_defaults", "positive_end_first_defaults",
+    "positive_end_chargedoff_codes", "positive_end_after_default", "returned_to_positive_after_default", "chargeoffs_after_first_default", "reinstated_loans",
+)
+
+
+def audit_events(panel: DataFrame) -> DataFrame:
+    """level (all, deal, period), deal_id, period_end, EVENT_COUNTS: how defaults were observed, in one pass for all levels.
+
+    Windows over the loan mark each row, then grouping sets fold the marks, so the panel is neither read nor shuffled once
+    for each level. reinstated_loans counts a loan in the first period that it ends with a balance after its
+    default, so the levels add up. A deal's boundary is its first period. A missing balance is an error; a panel without other_principal_adjustment_cents has none.
+    """
+    loan = Window.partitionBy(*KEYS).orderBy("period_end")
+    before = loan.rowsBetween(Window.unboundedPreceding, -1)
+    amount = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") if c in panel.columns else F.lit(0).cast("bigint")
+    begin, end, paid = (F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is missing")).cast("bigint")).otherwise(F.col(c)) for c in ("begin_balance_cents", "end_balance_cents", "principal_paid_cents"))
+    loss, other, month, effective = amount("chargeoff_cents"), amount("other_principal_adjustment_cents"), F.date_format("period_end", "yyyy-MM"), F.col("zero_balance_month")
+    event = F.coalesce(F.col("first_default_event"), F.lit(0)) == 1
+    boundary = panel.groupBy("deal_id").agg(F.min("period_end").alias("__boundary"))
+    f = panel.join(boundary, "deal_id").select(
+        *KEYS, "period_end", "__boundary", begin.alias("begin"), end.alias("end"), paid.alias("paid"), loss.alias("loss"), other.alias("other"), event.alias("event"),
+        F.coalesce(F.max(event).over(before), F.lit(False)).alias("seen"), F.lag("end_balance_cents").over(loan).alias("last_end"),
+        F.when(effective.isNull(), "missing").when(effective < month, "earlier").when(effective == month, "same").otherwise("later").alias("effective"),
+        F.array_contains(F.split(F.coalesce(F.col("zero_balance_code"), F.lit("")), "[|]"), "4").alias("charged_off"),
+    )
+    again = F.col("seen") & (F.col("end") > 0)
+    f = f.withColumn("again", again).withColumn("first_again", F.col("again") & ~F.coalesce(F.max("again").over(before), F.lit(False)))
+    residual = F.col("begin") - F.col("end") - F.col("paid") - F.col("loss") - F.col("other")
+    of_event = lambda c: F.when(F.col("event"), c).otherwise(0)
+    one = lambda condition: condition.cast("bigint")
+    marks = dict(zip(EVENT_COUNTS, (
+        F.lit(1).cast("bigint"), one(residual != 0), residual, F.col("loss") + F.col("other"), F.when(F.col("effective") == "same", F.col("loss")).otherwise(0), one(F.col("event")), of_event(F.col("loss")),
+        of_event(F.col("begin")), *[one(F.col("event") & (F.col("effective") == name)) for name in ("missing", "earlier", "same", "later")], one(F.col("event") & (F.col("period_end") == F.col("__boundary"))),
+        one(F.col("event") & (F.col("end") > 0)), one((F.col("end") > 0) & F.col("charged_off")), one(F.col("again")), one(F.col("again") & (F.col("last_end") <= 0)), one(F.col("seen") & (F.col("loss") > 0)), one(F.col("first_again")),
+    )))
+    marked = f.select("deal_id", "period_end", *[value.alias(name) for name, value in marks.items()])
+    sets = [[], [F.col("deal_id")], [F.col("deal_id"), F.col("period_end")]]
+    found = marked.groupingSets(sets, "deal_id", "period_end").agg(F.grouping_id().alias("__level"), *[F.sum(name).alias(name) for name in EVENT_COUNTS])
+    level = F.when(F.col("__level") == 0, "period").when(F.col("__level") == 1, "deal").otherwise("all")
+    return found.select(level.alias("level"), "deal_id", "period_end", *[F.coalesce(name, F.lit(0)).alias(name) for name in EVENT_COUNTS])
+
+
+def form_counts(filings: DataFrame, by: list[str], first: str, cutoff: str) -> DataFrame:
+    """``by``, form, filings: how often each form was filed from a day on and accepted up to another."""
+    inside = filings.where((F.col("filing_date") >= F.lit(first).cast("date")) & (F.to_date("acceptance_time") <= F.lit(cutoff).cast("date")))
+    return inside.groupBy(*by, "form").agg(F.count("*").alias("filings"))
+
+
+def byte_totals(archives: DataFrame) -> DataFrame:
+    """sources, original_bytes and archived_bytes of checked archives."""
+    return archives.agg(F.count("*").alias("sources"), F.sum("original_bytes").alias("original_bytes"), F.sum("archived_bytes").alias("archived_bytes"))

@@ -16,6 +16,20 @@ def first_when(df: DataFrame, keys: list[str], time: str, condition: Column, out
     return df.withColumn(out, F.min(F.when(condition, F.col(time))).over(Window.partitionBy(*keys)))
 
 
+def earliest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """keys and the ``columns`` of each key's first row by ``order``, in one aggregate."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__first")).select(*keys, "__first.*")
+
+
+def returned(df: DataFrame, keys: list[str], order: str, event: Column, amount: Column, out: str) -> DataFrame:
+    """Adds whether an amount came back: an earlier row of the key had the event, the row before had no amount above 0, and this one has."""
+    along = Window.partitionBy(*keys).orderBy(order)
+    marked = df.withColumns({"__event": event, "__amount": amount})
+    seen = F.max("__event").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    back = seen & (F.lag("__amount").over(along) <= 0) & (F.col("__amount") > 0)
+    return marked.withColumn(out, F.coalesce(back, F.lit(False))).drop("__event", "__amount")
+
+
 def derive_events(panel: DataFrame) -> DataFrame:
     """First default, prepayment, maturity and repurchase flags of each loan-month.
 
@@ -97,23 +111,14 @@ def audit_defaults(panel: DataFrame) -> DataFrame:
     Default rows after which a balance came back, first defaults in the deal's first
     period, and the zero-balance month's place against the period.
     """
-    loan = Window.partitionBy("deal_id", "loan_id").orderBy("period_end")
-    earlier = loan.rowsBetween(Window.unboundedPreceding, -1)
     first = panel.groupBy("deal_id").agg(F.min("period_end").alias("__first_period"))
-    f = panel.join(F.broadcast(first), "deal_id", "left").withColumns(  # one row per deal
-        {
-            "__seen": F.coalesce(F.max("first_default_event").over(earlier), F.lit(0)),
-            "__last_end": F.lag("end_balance_cents").over(loan),
-            "__month": F.date_format("period_end", "yyyy-MM"),
-        }
-    )
     event = F.col("first_default_event") == 1
-    back = (F.col("__seen") == 1) & (F.col("__last_end") <= 0) & (F.col("end_balance_cents") > 0)
+    f = returned(panel, ["deal_id", "loan_id"], "period_end", event, F.col("end_balance_cents"), "__back").join(first, "deal_id", "left").withColumn("__month", F.date_format("period_end", "yyyy-MM"))
     month = F.col("zero_balance_month")
     timing = F.when(month.isNull(), "missing").when(month < F.col("__month"), "earlier").when(month == F.col("__month"), "same").otherwise("later")
     return f.groupBy("deal_id").agg(
         F.count_if(event).alias("first_defaults"),
         F.count_if(event & (F.col("period_end") == F.col("__first_period"))).alias("at_boundary"),
         *[F.count_if(event & (timing == name)).alias(f"effective_{name}") for name in ("missing", "earlier", "same", "later")],
-        F.count_if(back).alias("balance_returned"),
+        F.count_if("__back").alias("balance_returned"),
     )

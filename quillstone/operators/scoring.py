@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import band, delinquency_bucket
+from .runoff import _let
 
 CLASSES = (0, 1, 2)
 CLIP = 1e-9
@@ -203,13 +203,83 @@ def cluster_bootstrap(rows: DataFrame, clusters: list[str], measures: dict[str,
     return long.groupBy("measure").agg(F.percentile("value", 0.025).alias("lower"), F.percentile("value", 0.975).alias("upper"))
 
 
-def exact_cluster_bootstrap(sums: pd.DataFrame, draws: int = 200, seed: int = 20261002) -> pd.DataFrame:
-    """The multinomial bootstrap with one generator, on cluster sums (n first) that fit on the driver."""
-    values = sums.to_numpy(dtype=float)
-    random = np.random.default_rng(seed)
-    means = []
-    for _ in range(draws):
-        picked = values[random.integers(0, len(values), len(values))].sum(axis=0)
-        means.append(picked[1:] / picked[0])
-    low, high = np.quantile(np.array(means), [0.025, 0.975], axis=0)
-    return pd.DataFrame({"measure": sums.columns[1:], "lower": low, "upper": high})
+def _hash_number(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+
+
+#: Trials that are drawn by one sum of terms: the first of them, 0.5 ** TRIALS at the least, must not vanish in a double.
+TRIALS = 500
+
+
+def _successes(n: Column, p: Column, name: Column) -> Column:
+    """Successes of ``n`` trials of chance ``p``, drawn by inversion from a hash of ``name``; many trials are drawn in parts that add up."""
+
+    def drawn(part: Column) -> Column:
+        u = _hash_number(F.concat_ws("|", name, part.cast("string")), 12).cast("double") / F.lit(float(1 << 48))
+        return _let(F.least(n - part * TRIALS, F.lit(TRIALS)).cast("bigint"), lambda m: _let(u, lambda at: inverse(m, at)))
+
+    def inverse(m: Column, u: Column) -> Column:
+        """The first k whose chance not to be exceeded is above u."""
+        none = F.pow(1 - p, m)
+        start = F.struct(F.lit(0).cast("bigint").alias("k"), none.alias("term"), none.alias("sum"))
+
+        def step(state: Column, k: Column) -> Column:
+            term = state["term"] * (m - k + 1) / k * (p / (1 - p))
+            more = F.struct(k.cast("bigint").alias("k"), term.alias("term"), (state["sum"] + term).alias("sum"))
+            return F.when(state["sum"] <= u, more).otherwise(state)
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), start, step, lambda state: F.least(state["k"], m))
+
+    parts = F.sequence(F.lit(0), F.greatest(F.ceil(n / TRIALS) - 1, F.lit(0)).cast("int"))
+    some = F.aggregate(F.transform(parts, drawn), F.lit(0).cast("bigint"), lambda total, k: total + k)
+    return F.when((n <= 0) | (p <= 0), F.lit(0).cast("bigint")).when(p >= 1, n.cast("bigint")).otherwise(some)
+
+
+def multinomial_bootstrap(rows: DataFrame, clusters: list[str], measures: dict[str, Column], draws: int = 200, seed: int = 20261002, block: int = 256, buckets: int = 1024) -> DataFrame:
+    """measure, lower, upper: 95 % intervals of means over rows; each draw takes as many clusters as there are, with replacement.
+
+    Clusters are numbered by buckets of a hash, whose sizes (``buckets`` numbers) come to the driver. A draw of n clusters splits in two
+    at the middle of the numbers: how many fall to the left is binomial, drawn from a hash of seed, draw and place. Splitting goes on down to
+    blocks of ``block`` clusters, which meet their sums by one join; within a block the clusters take their shares one by one, each
+    binomial in what is left. So counts are those of a draw with replacement, add up to n, do not depend on the order of
+    rows, and no task holds all clusters, nor is a cluster a row of each draw.
+    """
+    names = list(measures)
+    sums = rows.groupBy(*clusters).agg(F.count("*").cast("double").alias("__n"), *[F.sum(c).cast("double").alias(f"__{name}") for name, c in measures.items()])
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in clusters])
+    sums = sums.withColumn("__key", key).withColumn("__bucket", _hash_number(F.col("__key"), 8) % buckets)
+    sizes = {r["__bucket"]: r["count"] for r in sums.groupBy("__bucket").count().collect()}
+    total, offsets = 0, []
+    for bucket in sorted(sizes):
+        offsets += [F.lit(bucket), F.lit(total)]
+        total += sizes[bucket]
+    if not total:
+        return rows.sparkSession.createDataFrame([], "measure string, lower double, upper double")
+    within = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key")) - 1
+    numbered = sums.withColumn("__at", (F.element_at(F.create_map(*offsets), F.col("__bucket")) + within).cast("bigint"))
+    fields = ["__n", *[f"__{name}" for name in names]]
+    blocks = numbered.groupBy(F.floor(F.col("__at") / block).cast("bigint").alias("__lo")).agg(F.sort_array(F.collect_list(F.struct("__at", *fields))).alias("__held"))
+
+    count = -(-total // block)
+    nodes = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.lit(0).cast("bigint").alias("__lo"), F.lit(count).cast("bigint").alias("__hi"), F.lit(total).cast("bigint").alias("__take"))
+    size = lambda low, high: F.least(high * block, F.lit(total)) - low * block
+    while count > 1:
+        lo, hi = F.col("__lo"), F.col("__hi")
+        middle = F.floor((lo + hi) / 2).cast("bigint")
+        name = F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), lo.cast("string"), hi.cast("string"))
+        split = nodes.withColumn("__left", F.when(hi - lo > 1, _successes(F.col("__take"), size(lo, middle) / size(lo, hi), name)).otherwise(F.col("__take")))
+        halves = F.array(F.struct(lo.alias("lo"), F.when(hi - lo > 1, middle).otherwise(hi).alias("hi"), F.col("__left").alias("take")), F.struct(middle.alias("lo"), hi.alias("hi"), (F.col("__take") - F.col("__left")).alias("take")))
+        nodes = split.select("draw", F.explode(halves).alias("h")).where("h.take > 0").select("draw", F.col("h.lo").alias("__lo"), F.col("h.hi").alias("__hi"), F.col("h.take").alias("__take"))
+        count = -(-count // 2)
+
+    start = F.struct(F.col("__take").alias("rest"), F.size("__held").alias("left"), *[F.lit(0.0).alias(c) for c in fields])
+
+    def share(state: Column, cluster: Column) -> Column:
+        name = F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.lit("cluster"), cluster["__at"].cast("string"))
+        taken = _successes(state["rest"], 1 / state["left"], name)
+        return _let(taken, lambda k: F.struct((state["rest"] - k).alias("rest"), (state["left"] - 1).alias("left"), *[(state[c] + k * cluster[c]).alias(c) for c in fields]))
+
+    drawn = nodes.join(blocks, "__lo").select("draw", F.aggregate("__held", start, share).alias("s"))
+    means = drawn.groupBy("draw").agg(*[(F.sum(f"s.__{name}") / F.sum("s.__n")).alias(name) for name in names])
+    long = means.select(F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).alias("value")) for name in names])).alias("x")).select("x.*")
+    return long.groupBy("measure").agg(F.percentile("value", 0.025).alias("lower"), F.percentile("value", 0.975).alias("upper"))
