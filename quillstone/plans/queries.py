@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_number
 from ..functions.money import double_cents
-from ..functions.rates import band, competing_monthly, present_value
-from ..operators import features, panel, reconcile, recovery, runoff, scoring, valuation, waterfall
+from ..functions.rates import band, competing_monthly
+from ..operators import features, models, panel, reconcile, recovery, runoff, scoring, valuation, waterfall
+from ..sources import certificates as certificate_sources
 from ..sources import documents as document_sources
 
 
@@ -111,7 +112,7 @@ FROM a GROUP BY 1
 
 def disclosure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features.disclosure_features(panel.derive_events(_panel(spark, sf_dir)))
-    return f.withColumns({"log_balance": F.round("log_balance", 9), "feature_available_at": F.to_date("feature_available_at")})
+    return f.withColumns({"log_balance": F.round("log_balance", 9), "feature_available_at": F.to_date("feature_available_at"), "label_available_at": F.to_date("label_available_at")})
 
 
 DISCLOSURE_ROWS = f"""
@@ -119,21 +120,21 @@ WITH {_PANEL},
 n AS (SELECT *, row_number() OVER w AS k, first_default_event = 1 OR prepayment_event = 1 OR repurchase_event = 1 OR maturity_event = 1 AS terminal FROM e WINDOW w AS (PARTITION BY deal_id, loan_id ORDER BY period_end)),
 t AS (SELECT *, coalesce(sum(CAST(terminal AS INT)) OVER (PARTITION BY deal_id, loan_id ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM n),
 j AS (
-  SELECT c.deal_id, c.loan_id, c.period_start, c.period_end, c.begin_balance_cents, c.first_default_event AS fde, c.prepayment_event AS pe, q.credit_score, q.orig_ltv_pct, q.interest_rate_pct,
+  SELECT c.deal_id, c.loan_id, c.period_start, c.period_end, c.begin_balance_cents, c.first_default_event AS fde, c.prepayment_event AS pe, c.acceptance_time AS labelled_at, q.credit_score, q.orig_ltv_pct, q.interest_rate_pct,
          q.age_months, q.remaining_months, q.delinquency_days, q.end_balance_cents AS balance, q.acceptance_time AS seen_at,
          CAST((year(c.period_end) - year(q.period_end)) * 12 + month(c.period_end) - month(q.period_end) AS INT) AS lag, row_number() OVER (PARTITION BY c.deal_id, c.loan_id, c.period_end ORDER BY q.k DESC) AS place
   FROM t c JOIN t q ON q.deal_id = c.deal_id AND q.loan_id = c.loan_id AND q.k BETWEEN c.k - 4 AND c.k - 1
   WHERE q.acceptance_time <= CAST(c.period_start AS TIMESTAMP) AND q.period_end < c.period_start AND q.end_balance_cents > 0 AND c.ended = 0 AND c.begin_balance_cents > 0 AND c.repurchase_event = 0)
 SELECT deal_id, loan_id, period_start, period_end, begin_balance_cents, credit_score, orig_ltv_pct, interest_rate_pct, CAST(age_months + lag AS INT) AS age_months,
        CASE WHEN remaining_months IS NOT NULL THEN CAST(greatest(remaining_months - lag, 0) AS INT) END AS remaining_months, delinquency_days, round(ln(1 + balance / 100e0), 9) AS log_balance,
-       lag AS disclosure_lag_months, CAST(seen_at AS DATE) AS feature_available_at, CAST(CASE WHEN fde = 1 THEN 1 WHEN pe = 1 THEN 2 ELSE 0 END AS INT) AS outcome
+       lag AS disclosure_lag_months, CAST(seen_at AS DATE) AS feature_available_at, CAST(labelled_at AS DATE) AS label_available_at, CAST(CASE WHEN fde = 1 THEN 1 WHEN pe = 1 THEN 2 ELSE 0 END AS INT) AS outcome
 FROM j WHERE place = 1
 """
 
 
 def first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    return e.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return panel.earliest(e, ["user_id"], ["ts", "event_id"], ["ts", "event_id"]).withColumnRenamed("ts", "first_ts")
 
 
 FIRST_EVENT = """
@@ -214,9 +215,8 @@ FROM f WHERE seen = 0 GROUP BY 1
 
 def balance_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which a user's purchases come back after a day without any that followed errors."""
-    w = Window.partitionBy("user_id").orderBy("day")
-    f = _user_days(spark, sf_dir).withColumns({"seen": F.max("errors").over(w.rowsBetween(Window.unboundedPreceding, -1)), "last": F.lag("purchases").over(w)})
-    return f.groupBy("user_id").agg(F.count_if((F.col("seen") > 0) & (F.col("last") == 0) & (F.col("purchases") > 0)).alias("returned"), F.min("day").alias("first_day"), F.count("*").alias("days"))
+    f = panel.returned(_user_days(spark, sf_dir), ["user_id"], "day", F.col("errors") > 0, F.col("purchases"), "back")
+    return f.groupBy("user_id").agg(F.count_if("back").alias("returned"), F.min("day").alias("first_day"), F.count("*").alias("days"))
 
 
 BALANCE_RETURNED = f"""
@@ -427,9 +427,9 @@ SELECT month, tier, due_cents, CAST(base + CAST(k <= spare AS INT) AS BIGINT) AS
 
 def recovery_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").groupBy(_month("l_shipdate").alias("month")).agg(F.sum(F.when(F.col("l_returnflag") == "R", double_cents(F.col("l_extendedprice"))).otherwise(0)).alias("default_cents"))
-    late = F.lag("default_cents", 6).over(Window.orderBy("month"))  # one row per month
-    received = F.coalesce(F.floor((late * 3 + 5) / 10).cast("bigint"), F.lit(0).cast("bigint"))
-    return m.withColumn("recovery_cents", received)
+    m = m.withColumn("number", month_number(F.to_date("month", "yyyy-MM")))
+    late = runoff.late_recoveries(m, [], "number", F.lit(0.3), F.lit(6))
+    return m.join(late, "number", "left").fillna(0, ["recovery_cents"]).drop("number")
 
 
 RECOVERY_QUEUE = """
@@ -455,8 +455,7 @@ SELECT p.start, j.day AS fixing_date, j.rate AS fixing_rate FROM p LEFT JOIN j O
 
 def accrual_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", _day("o_orderdate").alias("day"))
-    w = Window.partitionBy("o_custkey").orderBy("day", "o_orderkey")
-    return o.withColumn("accrual_start", F.coalesce(F.lag("day").over(w), F.lit("1995-01-01").cast("date"))).withColumn("days", F.date_diff("day", "accrual_start").cast("bigint"))
+    return valuation.accrual_periods(o, ["o_custkey"], "day", ["o_orderkey"], F.lit("1995-01-01").cast("date"))
 
 
 ACCRUAL_START = """
@@ -650,7 +649,8 @@ def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance-weighted and median rates by brand."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey")
     w = double_cents(F.col("l_extendedprice")).cast("double")
-    return li.groupBy("p_brand").agg(_r(F.sum(w * F.col("l_discount")) / F.sum(w), 8).alias("rate"), _r(F.sum(w * F.col("p_size")) / F.sum(w), 6).alias("term"), _r(F.median("l_tax"), 6).alias("median_tax"))
+    means = models.weighted_means(li, ["p_brand"], w, {"rate": F.col("l_discount"), "term": F.col("p_size").cast("double")})
+    return means.join(li.groupBy("p_brand").agg(_r(F.median("l_tax"), 6).alias("median_tax")), "p_brand").withColumns({"rate": _r("rate", 8), "term": _r("term", 6)})
 
 
 WEIGHTED_TERMS = """
@@ -662,32 +662,25 @@ _MONTHS = 60
 
 
 def runoff_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty months of run-off of the cohorts by part size: per month, losses of 4 and prepayments of 13 per mille, level principal."""
+    """Sixty months of run-off of the cohorts by part size: per month, losses of 4 and prepayments of 13 per mille, level principal at 6 %."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
-    cohorts = li.groupBy(F.greatest("p_size", F.lit(1)).alias("term")).agg(F.sum(double_cents(F.col("l_extendedprice"))).alias("balance"))
-    row = "array<struct<month:int,loss:bigint,prepaid:bigint,scheduled:bigint,end:bigint>>"
-
-    def step(path, month):
-        begin = F.when(F.size(path) == 0, F.col("balance")).otherwise(F.get(path, F.size(path) - 1)["end"])
-        loss = F.floor((begin * 4 + 500) / 1000).cast("bigint")
-        prepaid = F.least(begin - loss, F.floor((begin * 13 + 500) / 1000).cast("bigint"))
-        rest = begin - loss - prepaid
-        left = F.greatest(F.col("term") - month + 1, F.lit(1))
-        scheduled = F.floor(rest / left).cast("bigint")
-        return F.array_append(path, F.struct(month.alias("month"), loss.alias("loss"), prepaid.alias("prepaid"), scheduled.alias("scheduled"), (rest - scheduled).alias("end")))
-
-    paths = cohorts.select(F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(_MONTHS)), F.array().cast(row), step)).alias("m")).select("m.*")
-    return paths.groupBy("month").agg(*[F.sum(c).alias(f"{c}_cents") for c in ("loss", "prepaid", "scheduled", "end")])
+    cohorts = li.groupBy(F.greatest("p_size", F.lit(1)).alias("remaining_months")).agg(F.sum(double_cents(F.col("l_extendedprice"))).alias("balance_cents"))
+    rates = {"apr": 0.06, "default_monthly": 0.004, "prepay_monthly": 0.013, "interest_factor": 0.97}
+    paths = runoff.cohort_paths(cohorts.withColumns({name: F.lit(value) for name, value in rates.items()}), [], _MONTHS)
+    return paths.groupBy("month").agg(*[F.sum(c).alias(f"{c}_cents") for c in ("loss", "prepay", "scheduled", "interest", "end")])
 
 
 RUNOFF_FOLD = f"""
 WITH RECURSIVE c AS (SELECT greatest(p_size, 1) AS term, CAST(sum(CAST(round(l_extendedprice * 100e0) AS BIGINT)) AS BIGINT) AS balance FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
-r(term, month, loss, prepaid, scheduled, e) AS (
-  SELECT term, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), balance FROM c
+r(term, month, loss, prepay, scheduled, interest, e) AS (
+  SELECT term, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), balance FROM c
   UNION ALL
-  SELECT term, month + 1, l, p, (e - l - p) // greatest(term - month, 1), (e - l - p) - (e - l - p) // greatest(term - month, 1)
-  FROM (SELECT *, (e * 4 + 500) // 1000 AS l, least(e - (e * 4 + 500) // 1000, (e * 13 + 500) // 1000) AS p FROM r WHERE month < {_MONTHS}))
-SELECT CAST(month AS INT) AS month, CAST(sum(loss) AS BIGINT) AS loss_cents, CAST(sum(prepaid) AS BIGINT) AS prepaid_cents, CAST(sum(scheduled) AS BIGINT) AS scheduled_cents, CAST(sum(e) AS BIGINT) AS end_cents FROM r WHERE month > 0 GROUP BY 1
+  SELECT term, month, l, p, s, CAST(round((b - (l + p) / 2e0) * rate * 0.97e0) AS BIGINT), rest - s FROM (
+    SELECT *, CASE WHEN left_ <= 1 THEN rest ELSE least(rest, greatest(CAST(round(rest * rate / (1 - pow(1 + rate, -left_)) - rest * rate) AS BIGINT), 0)) END AS s FROM (
+      SELECT *, b - l - p AS rest FROM (
+        SELECT term, month + 1 AS month, e AS b, least(e, CAST(round(e * 0.004e0) AS BIGINT)) AS l, least(e - least(e, CAST(round(e * 0.004e0) AS BIGINT)), CAST(round(e * 0.013e0) AS BIGINT)) AS p, greatest(term - month, 1) AS left_, 0.06e0 / 12 AS rate
+        FROM r WHERE month < {_MONTHS} AND e > 0))))
+SELECT CAST(month AS INT) AS month, CAST(sum(loss) AS BIGINT) AS loss_cents, CAST(sum(prepay) AS BIGINT) AS prepay_cents, CAST(sum(scheduled) AS BIGINT) AS scheduled_cents, CAST(sum(interest) AS BIGINT) AS interest_cents, CAST(sum(e) AS BIGINT) AS end_cents FROM r WHERE month > 0 GROUP BY 1
 """
 
 
@@ -714,7 +707,9 @@ _FLOWS = "f AS (SELECT l_returnflag, round(l_extendedprice * 100e0) AS cents, da
 
 
 def pv_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flows(spark, sf_dir).groupBy("l_returnflag").agg(_r(F.sum(present_value(F.col("cents"), F.col("years"), F.lit(0.08))) / 100, 0).alias("pv"), _r(F.sum(F.col("cents") * F.col("years")) / F.sum("cents"), 6).alias("wal_years"))
+    f, keys = _flows(spark, sf_dir), ["l_returnflag"]
+    both = valuation.value(f, keys, F.col("cents"), F.col("years"), F.lit(0.08)).join(valuation.average_life(f, keys, F.col("cents"), F.col("years")), keys)
+    return both.withColumns({"pv": _r(F.col("pv") / 100, 0), "wal_years": _r("wal_years", 6)})
 
 
 PV_WAL = f"WITH {_FLOWS} SELECT l_returnflag, round(sum(cents / pow(1.08e0, years)) / 100, 0) AS pv, round(sum(cents * years) / sum(cents), 6) AS wal_years FROM f GROUP BY 1"
@@ -792,7 +787,18 @@ SELECT doc_id, CAST(i - 1 AS BIGINT) AS hit_no,
 
 
 def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_sources.html_rows(table(spark, sf_dir, "pages"), ["page_id"], "html")
+    """The cells of the pages' menus, which are lists, laid out as tables."""
+    html = F.col("html")
+    for tag, cell in (("<ul>", "<table>"), ("</ul>", "</table>"), ("<li>", "<tr><td>"), ("</li>", "</td></tr>")):
+        html = F.replace(html, F.lit(tag), F.lit(cell))
+    rows = certificate_sources.html_rows(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "html")
+    return rows.select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+HTML_CELLS = """
+WITH p AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS items FROM pages), r AS (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i FROM p)
+SELECT page_id, CAST(i - 1 AS INT) AS row_no, trim(regexp_replace(regexp_replace(items[i], '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS cells FROM r
+"""
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -813,7 +819,7 @@ _SQL_NAMES = (
     "first_accepted", "duplicate_keys", "tape_vs_certificate", "identity_checks", "check_summary", "gate_counts", "pool_continuity", "recovery_curve", "recovery_median_lag",
     "priority_waterfall", "pro_rata_alloc", "recovery_queue", "rate_reset", "accrual_start", "constant_probs", "transition_probs", "smoothed_cells", "cell_predictions",
     "brier_logloss", "auc_avg_rank", "average_precision", "calib_deciles", "monthly_exposure", "mae_forecast", "cohort_buckets", "weighted_terms",
-    "runoff_fold", "competing_rates", "pv_wal", "yield_sensitivity", "enhancement", "source_changes", "doc_sha256", "keyword_screen", "keyword_context", "stream_counts",
+    "runoff_fold", "competing_rates", "pv_wal", "yield_sensitivity", "enhancement", "source_changes", "doc_sha256", "keyword_screen", "keyword_context", "stream_counts", "html_cells",
 )
-QUERIES = {name: globals()[name] for name in (*_SQL_NAMES, "bootstrap", "html_cells", "html_text")}
+QUERIES = {name: globals()[name] for name in (*_SQL_NAMES, "bootstrap", "html_text")}
 SQL = {name: globals()[name.upper()] for name in _SQL_NAMES}
