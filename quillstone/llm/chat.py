@@ -29,7 +29,7 @@ class Settings:
     """stay: that a line which starts no turn has the speaker of the line before; split: that a
     marker inside a turn opens another speaker's; trust, strength: what is held of markers before any is
     counted, that they name the true speaker, as strong as that many markers seen; smooth: added to
-    each other count; block: turns of a conversation that one step decodes.
+    each other count; block: turns that one step decodes.
     """
 
     stay: float = 0.97
@@ -75,17 +75,24 @@ def _power(n: Column, steps: int, most: int) -> Column:
     return F.least(F.floor(F.log2(n + 1) * steps), F.lit(most)).cast("int")
 
 
+#: A block's number is its range's, and its place there in so many bits.
+BLOCK_BITS = 33
+
+
 def lines(texts: DataFrame, block: int, *carried: str) -> DataFrame:
     """One row per line: conv_id, block, turn, tie, copy, at, line, speech, marker (0: none) and the features; ``carried`` columns come along.
 
-    ``tie`` orders turns of one number; blank lines stay with the turn they are in. ``block`` counts
-    blocks of turns; turns without a number lie before the others, in blocks by their hash.
+    ``tie`` orders turns of one number; blank lines stay with the turn they are in; turns without a number lie before the others. The turns are dealt out
+    in ranges of this order and cut every ``block`` turns, so that a conversation of any length, and all rows of a null
+    conv_id or of one turn number, spread over tasks; ``block`` rises along the order.
     """
     raw = texts.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), *carried)
     # ``copy`` keeps the lines of rows that are alike in all apart.
     raw = raw.withColumns({"tie": F.xxhash64("text"), "copy": F.monotonically_increasing_id()})
-    of_hash = F.shiftright("tie", 52) - (1 << 62)
-    raw = raw.withColumns({"block": F.coalesce(F.floor(F.col("turn") / block), of_hash).cast("long"), "length": _power(F.length("text"), 2, LENGTH - 1), "cut": F.split("text", "\n")})
+    order = ["conv_id", "turn", "tie", "copy"]
+    raw = raw.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    of_range = F.shiftright("place", BLOCK_BITS)
+    raw = raw.withColumns({"block": F.shiftleft(of_range, BLOCK_BITS) + F.floor((F.col("place") - F.shiftleft(of_range, BLOCK_BITS)) / block), "length": _power(F.length("text"), 2, LENGTH - 1), "cut": F.split("text", "\n")})
     cut = raw.select("conv_id", "block", "turn", "tie", "copy", *carried, "length", F.least(F.size("cut"), F.lit(LINES)).alias("n"), F.posexplode("cut").alias("at", "line"))
     marker = _marker_role(F.regexp_extract("line", MARKER, 1))
     speech = F.when(F.col("marker") > 0, F.regexp_replace("line", MARKER, ""))
@@ -118,12 +125,29 @@ def fit(conversations: DataFrame, settings: Settings = Settings()) -> Model:
     return fit_lines(lines(conversations.select("conv_id", "turn", "text", given_role().alias("given")), settings.block, "given"), settings)
 
 
+def _followed(turns: DataFrame) -> DataFrame:
+    """given, before (the role of the conversation's turn before) and first (whether there is none) of each turn.
+
+    Each range of turns is a window of its own; what its first turn follows is the last one of the ranges before it, a row for each.
+    """
+    order = ["conv_id", "turn", "tie", "copy"]
+    ranged = turns.select(*order, "given", F.shiftright("block", BLOCK_BITS).alias("range"))
+    own = F.struct("conv_id", "given")
+    inside = Window.partitionBy("range").orderBy(*order)
+    lasts = ranged.groupBy("range").agg(F.max_by(own, F.struct(*order)).alias("last"))
+    carried = lasts.select("range", F.lag("last").over(Window.orderBy("range")).alias("carried"))
+    seen = ranged.select("range", "conv_id", "given", F.lag(own).over(inside).alias("previous"), (F.row_number().over(inside) == 1).alias("opens")).join(carried, "range", "left")
+    previous = F.when(F.col("opens"), F.col("carried")).otherwise(F.col("previous"))
+    seen = seen.withColumn("previous", previous)
+    first = F.col("previous").isNull() | ~F.col("previous.conv_id").eqNullSafe(F.col("conv_id"))
+    return seen.select("given", F.when(~first, F.col("previous.given")).alias("before"), first.alias("first"))
+
+
 def fit_lines(cut: DataFrame, settings: Settings) -> Model:
     """The model of a line table that carries ``given``, the roles to learn from."""
     k = len(ROLES)
     smooth = lambda *shape: np.full(shape, settings.smooth)
-    order = Window.partitionBy("conv_id").orderBy("block", "turn", "tie")
-    turns = cut.where("at = 0").select("given", F.lag("given").over(order).alias("before"), (F.row_number().over(order) == 1).alias("first"))
+    turns = _followed(cut.where("at = 0"))
     start, change = smooth(k), smooth(k, k)
     for row in turns.where("given IS NOT NULL").groupBy("given", "before", "first").count().collect():
         if row.first:
@@ -191,6 +215,16 @@ def viterbi(steps: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndar
     return states
 
 
+def _borders(each: list[np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The scores before and after each of a row of matrices, given those before and after them all."""
+    befores, afters = [before], [after]
+    for matrix in each[:-1]:
+        befores.append((befores[-1][:, None] + matrix).max(axis=0))
+    for matrix in reversed(each[1:]):
+        afters.append((matrix + afters[-1][None, :]).max(axis=1))
+    return befores, afters[::-1]
+
+
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Runs of equal keys, over the borders of batches, as arrays by column; nulls are equal."""
     held: list[dict[str, np.ndarray]] = []
@@ -255,8 +289,9 @@ def decode(cut: DataFrame, model: Model, *carried: str) -> DataFrame:
     Viterbi runs over all lines of a conversation, in blocks of turns: a block's
     best scores between its border states are a small matrix, and such matrices
     multiply, so each block is decoded alone once the scores before and after it
-    are known. No task holds a whole conversation. Where several paths are equally
-    good, the first state is taken.
+    are known. The matrices of a conversation multiply by ranges of turns first, and the ranges' then, so no
+    task holds more of a conversation than a block's lines, or a range's matrices. Where several paths
+    are equally good, the first state is taken.
     """
     key_type = dict(cut.dtypes)["conv_id"]
     several = cut.groupBy("conv_id").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block")).where("first_block < last_block")
@@ -273,19 +308,34 @@ def decode(cut: DataFrame, model: Model, *carried: str) -> DataFrame:
     long_ones = cut.select(*features).alias("l").join(several.alias("s"), same).select("l.*", (F.col("l.block") == F.col("s.first_block")).alias("is_first"))
     parts = long_ones.repartition("conv_id", "block").sortWithinPartitions(*order).mapInPandas(matrices, f"conv_id {key_type}, block long, matrix array<double>")
 
-    def borders(rows: pd.DataFrame) -> pd.DataFrame:
+    k = len(ROLES)
+    of_rows = lambda rows: [np.asarray(m).reshape(k, k) for m in rows["matrix"]]
+
+    def folded(rows: pd.DataFrame) -> pd.DataFrame:
+        """The matrix of a conversation's blocks in one range."""
+        rows = rows.sort_values("block")
+        return pd.DataFrame({"conv_id": rows["conv_id"].array[:1], "range": rows["range"].array[:1], "matrix": [_product(np.array(of_rows(rows))).ravel()]})
+
+    def of_ranges(rows: pd.DataFrame) -> pd.DataFrame:
+        """The scores before and after each range of a conversation."""
+        rows = rows.sort_values("range")
+        before, after = _borders(of_rows(rows), np.zeros(k), np.zeros(k))
+        return pd.DataFrame({"conv_id": rows["conv_id"].array, "range": rows["range"].array, "before": before, "after": after, "is_first": [True] + [False] * (len(rows) - 1)})
+
+    def of_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+        """The scores before and after each block of a conversation's range."""
         rows = rows.sort_values("block")
-        k = len(ROLES)
-        each = [np.asarray(m).reshape(k, k) for m in rows["matrix"]]
-        before, after = [np.zeros(k)], [np.zeros(k)]
-        for matrix in each[:-1]:
-            before.append((before[-1][:, None] + matrix).max(axis=0))
-        for matrix in reversed(each[1:]):
-            after.append((matrix + after[-1][None, :]).max(axis=1))
-        return pd.DataFrame({"conv_id": rows["conv_id"].array, "block": rows["block"].array, "before": before, "after": after[::-1], "is_first": [True] + [False] * (len(each) - 1)})
+        head = rows.iloc[0]
+        before, after = _borders(of_rows(rows), np.asarray(head["before"]), np.asarray(head["after"]))
+        return pd.DataFrame({"conv_id": rows["conv_id"].array, "block": rows["block"].array, "before": before, "after": after, "is_first": [bool(head["is_first"])] + [False] * (len(rows) - 1)})
 
     # A row of a few numbers for each block of turns, which travels before the block's lines.
-    bounds = materialize(parts.groupBy("conv_id").applyInPandas(borders, f"conv_id {key_type}, block long, before array<double>, after array<double>, is_first boolean"), "borders")
+    parts = materialize(parts.withColumn("range", F.shiftright("block", BLOCK_BITS)), "matrices")
+    by_range = parts.groupBy("conv_id", "range").applyInPandas(folded, f"conv_id {key_type}, range long, matrix array<double>")
+    ranges = by_range.groupBy("conv_id").applyInPandas(of_ranges, f"conv_id {key_type}, range long, before array<double>, after array<double>, is_first boolean")
+    met = (F.col("p.range") == F.col("r.range")) & F.col("p.conv_id").eqNullSafe(F.col("r.conv_id"))
+    both = parts.alias("p").join(ranges.alias("r"), met).select("p.*", "r.before", "r.after", "r.is_first")
+    bounds = materialize(both.groupBy("conv_id", "range").applyInPandas(of_blocks, f"conv_id {key_type}, block long, before array<double>, after array<double>, is_first boolean"), "borders")
     wanted = [*order, *carried, "line", "speech", "marker", "of_line", "length", "n"]
     # The null turns and ties of such a row sort first; a place of -1 tells it.
     both = cut.select(*wanted).unionByName(bounds.withColumn("at", F.lit(-1)), allowMissingColumns=True)

@@ -31,7 +31,7 @@ class Settings:
     """unit_words: longest stretch of an item that is indexed as one unit;
     least_words: shortest question that is a unit apart from its answer; block: units of
     a block of the index, which has maxima of its own; floor: share of a unit's own score that a passage must reach;
-    small: weights, as shares of the unit's own score, that the first bound takes at their largest for all blocks alike;
+    apart: share of the floor that a passage's commonest terms may take together in the first bound, at their largest for all blocks alike;
     shingle: words of a shingle; overlap: share of an item's question shingles, and
     of all its shingles, that a document must hold; whole: share of all its shingles
     that is enough whatever it holds of the question; a first line is a question by
@@ -46,7 +46,7 @@ class Settings:
     least_words: int = 12
     block: int = 2
     floor: float = 0.4
-    small: float = 0.004
+    apart: float = 0.5
     shingle: int = 5
     overlap: float = 0.5
     whole: float = 0.8
@@ -81,6 +81,10 @@ def units_of(question: list, answer: list, settings: Settings) -> Iterator[list]
             yield part[len(part) * piece // pieces : len(part) * (piece + 1) // pieces]
 
 
+#: Listed maxima that are added up at once when passages look for their blocks.
+TOUCHED = 1 << 20
+
+
 @dataclass(frozen=True)
 class Statistics:
     """Of all units of all test items, however many indexes these are cut into: units, their mean length, and the units that hold each term."""
@@ -153,12 +157,10 @@ class Index:
         by_block = np.lexsort((of_term, block_of))
         self.terms_start = np.searchsorted(block_of[by_block], np.arange(self.n_blocks + 1)).tolist()
         self.terms_of = array("i", of_term[by_block].tolist())
-        # For the first bound, small maxima are taken at their largest for all blocks alike; the rest are listed.
-        small = block_weights <= settings.small
-        self.everywhere = np.zeros(n_terms + 1)
-        np.maximum.at(self.everywhere, of_term[small], block_weights[small])
-        self.large_start = np.searchsorted(of_term[~small], np.arange(n_terms + 2))
-        self.large_block, self.large_weight = block_of[~small], block_weights[~small]
+        # For the first bound, terms with many blocks and small maxima are taken at their largest: those come first in this order.
+        self.cells = np.diff(self.block_start)
+        self.cell, self.cell_block, self.cell_weight = cell, block_of, block_weights
+        self.common = np.argsort(np.argsort(-self.cells / np.maximum(self.list_max, 1e-12), kind="stable"))
         self.least = settings.floor * (1 - 1e-9)
         self._known: dict[bytes, int] = {}
 
@@ -301,7 +303,9 @@ class Index:
         """The blocks of each passage in which the block maxima of its distinct terms add up to the floor.
 
         A passage, named by its first half window, is made of that half and the next; ``first`` marks halves that begin a
-        text and so end no passage. Only blocks that hold a term are ever touched.
+text and so end no passage. A passage's commonest terms, as many as make up less than a share of the floor by their
+        largest weights, touch no block: only blocks that hold others of its terms do, which have to make up the rest. In the blocks that
+        are left, the common terms are looked up as well.
         """
         inside, width = numbers < self.unknown, self.unknown + 1
         pairs = _distinct(half[inside] * width + numbers[inside])
@@ -309,22 +313,51 @@ class Index:
             return {}
         pairs = _distinct(np.concatenate([pairs, pairs[~first[pairs // width]] - width]))
         passage, term = pairs // width, pairs % width
+        order = np.argsort(passage * width + self.common[term], kind="stable")
+        term = term[order]  # passages stay in order, their commonest terms first
         starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
         edges = np.append(starts, len(term))
-        counts = self.large_start[term + 1] - self.large_start[term]
-        everywhere = self.everywhere[term]
+        largest = np.cumsum(self.list_max[term])
+        before = np.repeat(np.append(0, largest)[starts], np.diff(edges))
+        common = largest - before <= self.settings.apart * self.least
+        apart = np.add.reduceat(np.where(common, self.list_max[term], 0), starts)
+        counts = np.where(common, 0, self.cells[term])
+        n_common = np.add.reduceat(common.astype(np.int64), starts)  # they stand first
         out: dict[int, list[int]] = defaultdict(list)
-        step = max(1, (1 << 18) // self.n_blocks)  # passages at a time: bounds the table of sums
-        for low in range(0, len(starts), step):
-            n = min(step, len(starts) - low)
+        # Passages at a time whose terms have so many block maxima: bounds what is sorted at once.
+        upto = np.append(0, np.cumsum(np.add.reduceat(counts, starts)))
+        list_start = np.asarray(self.block_start)
+        low = 0
+        while low < len(starts):
+            n = max(1, int(np.searchsorted(upto, upto[low] + TOUCHED, side="right")) - 1 - low)
             own = slice(edges[low], edges[low + n])
             local = np.repeat(np.arange(n), np.diff(edges[low : low + n + 1]))
             of_cell = np.repeat(local, counts[own])
-            flat = np.arange(len(of_cell)) + np.repeat(self.large_start[term[own]] - np.cumsum(counts[own]) + counts[own], counts[own])
-            sums = np.bincount(of_cell * self.n_blocks + self.large_block[flat], weights=self.large_weight[flat], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
-            bound = sums + np.bincount(local, weights=everywhere[own], minlength=n)[:, None]
-            for at, block in np.argwhere(bound >= self.least).tolist():
-                out[int(passage[starts[low + at]])].append(block)
+            flat = np.arange(len(of_cell)) + np.repeat(list_start[term[own]] - np.cumsum(counts[own]) + counts[own], counts[own])
+            cells, weights = of_cell * self.n_blocks + self.cell_block[flat], self.cell_weight[flat]
+            if n * self.n_blocks <= 4 * len(cells):  # most blocks are touched: a table of all is smaller than what would be sorted
+                table = np.bincount(cells, weights=weights, minlength=n * self.n_blocks)
+                found = np.flatnonzero(table + np.repeat(apart[low : low + n], self.n_blocks) >= self.least)
+                sums = table[found]
+            else:
+                order = np.argsort(cells, kind="stable")
+                cells = cells[order]
+                heads = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else cells
+                sums = np.add.reduceat(weights[order], heads) if len(cells) else np.zeros(0)
+                kept = sums + apart[low + cells[heads] // self.n_blocks] >= self.least
+                found, sums = cells[heads][kept], sums[kept]
+            at, block = np.divmod(found, self.n_blocks)
+            asked = n_common[low + at]
+            of_found = np.repeat(np.arange(len(found)), asked)
+            places = np.arange(len(of_found)) + np.repeat(starts[low + at] - np.cumsum(asked) + asked, asked)
+            wanted = term[places] * self.n_blocks + block[of_found]
+            cell_at = np.minimum(np.searchsorted(self.cell, wanted), len(self.cell) - 1)
+            there = np.where(self.cell[cell_at] == wanted, self.cell_weight[cell_at], 0.0)
+            whole = sums + np.bincount(of_found, weights=there, minlength=len(found))
+            reached = whole >= self.least
+            for passage_at, number in zip(at[reached].tolist(), block[reached].tolist()):
+                out[int(passage[starts[low + passage_at]])].append(number)
+            low += n
         return out
 
 

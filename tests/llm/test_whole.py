@@ -111,3 +111,80 @@ def test_a_large_group_of_edited_copies(spark):
     want = {k for k, root in groups_of(texts, pairs).items() if k == root}
     got = [r.doc_id for r in nearcopies.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(want) and 10 < len(want) < 300
+
+
+@pytest.mark.parametrize("n", [500, 4000])
+def test_a_core_that_many_texts_share_meets_nothing(spark, n):
+    """Texts of 20 words, alike but for the first and the last, have 14 of 18 shingles in common, too few: what is joined grows with their number, not its square."""
+    core = " ".join(f"w{i}" for i in range(18))
+    texts = {k: f"a{k}x {core} z{k}y" for k in range(n)}
+    sets = spark.createDataFrame([(k, nearcopies.shingle_set(text, 5).view("int64").tolist()) for k, text in texts.items()], "fp long, shingles array<long>")
+    prefixes = nearcopies._prefixes(sets, sets.select("fp", F.col("fp").alias("root")), 0.8)
+    kept, indexed = nearcopies._meeting(prefixes, 0.8)
+    assert kept.count() > n and kept.join(indexed.select("token"), "token").count() <= n
+    assert nearcopies._across(prefixes, 0.8).count() == 0
+    if n == 500:
+        docs = spark.createDataFrame([*texts.items(), (n, texts[3]), (n + 1, texts[4] + " more")], "doc_id long, text string")
+        assert sorted(r.doc_id for r in nearcopies.deduplicate(docs).collect()) == list(range(n))
+
+
+def test_prefixes_of_unequal_sets_still_meet(spark):
+    """Sets of all sizes around the similarity, with a common core: the pairs are those of all pairs."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for k in range(150):
+        low, high = rng.randint(0, 9), rng.randint(48, 60)
+        words = base[low:high]
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 30)}"
+        texts[k] = " ".join(words)
+    pairs, _ = near_pairs(texts)
+    sets = spark.createDataFrame([(k, nearcopies.shingle_set(text, 5).view("int64").tolist()) for k, text in texts.items()], "fp long, shingles array<long>")
+    prefixes = nearcopies._prefixes(sets, sets.select("fp", F.col("fp").alias("root")), 0.8)
+    found = nearcopies._similar(nearcopies._across(prefixes, 0.8), sets, 0.8)
+    assert {(r.a, r.b) for r in found.collect()} == pairs and len(pairs) > 100
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables are dealt to as many tasks as large ones."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_rows_of_one_conversation_spread(spark, many_ranges):
+    """Every row under a null id, with turn numbers that repeat: bounded blocks in many ranges, and the roles of a conversation that has an id."""
+    from quillstone.llm import chat
+
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").withColumn("turn", F.col("turn") % 7)
+    nulls, named = conv.withColumn("conv_id", F.lit(None).cast("long")), conv.withColumn("conv_id", F.lit(5).cast("long"))
+    source = nulls.select("conv_id", "turn", "text", chat.given_role().alias("given"))
+    cut = chat.lines(source, 16, "given")
+    blocks = cut.where("at = 0").groupBy("conv_id", "block").count().collect()
+    assert len(blocks) > 4 and max(r["count"] for r in blocks) <= 16 and len({r.block >> chat.BLOCK_BITS for r in blocks}) > 1
+    settings = chat.Settings(block=16)
+    read = lambda c: sorted(tuple(r)[1:] for r in chat.recover(c, settings).drop("held_out").collect())
+    model = chat.fit(conv)
+    whole = lambda c, s: sorted((r.turn, r.part, r.role, r.n_lines, r.rendered) for r in chat.format_chats(c, model, s, marked=False).collect())
+    assert whole(nulls, settings) == whole(named, chat.Settings(block=100_000)) and len(whole(nulls, settings)) >= conv.count()
+    assert len(read(named)) >= conv.count()
+
+
+def test_what_a_turn_follows_crosses_ranges(spark, many_ranges):
+    """before and first of every turn, against a window over the conversation."""
+    from pyspark.sql import Window
+
+    from quillstone.llm import chat
+
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    source = conv.withColumn("conv_id", F.when(F.col("conv_id") % 3 > 0, F.col("conv_id") % 5)).select("conv_id", "turn", "text", chat.given_role().alias("given"))
+    turns = chat.materialize(chat.lines(source, 8, "given").where("at = 0"), "turns")
+    order = Window.partitionBy("conv_id").orderBy("turn", "tie", "copy")
+    want = turns.select("given", F.lag("given").over(order).alias("before"), (F.row_number().over(order) == 1).alias("first"))
+    count = lambda df: {(r.given, r.before, r.first): r["count"] for r in df.groupBy("given", "before", "first").count().collect()}
+    assert count(chat._followed(turns)) == count(want)
