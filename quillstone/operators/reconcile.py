@@ -63,6 +63,11 @@ def summarize(checks: DataFrame, keys: list[str]) -> DataFrame:
     return checks.groupBy(*keys).agg(n("PASS").alias("passed"), n("FAIL").alias("failed"), n("SKIPPED").alias("skipped"), status.alias("status"))
 
 
+def gate_counts(checks: DataFrame) -> DataFrame:
+    """check_id and how many of its results are PASS, FAIL and SKIPPED."""
+    return checks.groupBy("check_id").agg(*[F.count_if(F.col("status") == status).alias(status) for status in ("PASS", "FAIL", "SKIPPED")])
+
+
 def bad_metadata(certificates: DataFrame) -> DataFrame:
     """Certificates without an id or source, or whose dates are no full calendar month before the distribution."""
     start, end, paid = (F.try_to_date(F.col(c), F.lit("yyyy-MM-dd")) if dict(certificates.dtypes)[c] == "string" else F.col(c) for c in ("collection_period_start", "collection_period_end", "distribution_date"))

@@ -339,7 +339,7 @@ FROM ({IDENTITY_CHECKS}) GROUP BY o_orderkey
 
 
 def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity_checks(spark, sf_dir).groupBy("check_id").pivot("status", ["PASS", "FAIL", "SKIPPED"]).count().fillna(0)
+    return reconcile.gate_counts(identity_checks(spark, sf_dir))
 
 
 GATE_COUNTS = f"""
@@ -805,6 +805,14 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", document_sources.plain_text(F.col("html")).alias("text"))
 
 
+# The entities that occur in the pages; &amp; comes last, as nothing is unescaped twice.
+HTML_TEXT = r"""
+WITH b AS (SELECT page_id, regexp_replace(html, '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
+e AS (SELECT page_id, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;?', '&', 'g') AS t FROM b)
+SELECT page_id, trim(regexp_replace(t, '[\s\x{0b}\x{a0}]+', ' ', 'g'), ' ') AS text FROM e
+"""
+
+
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.ingest import event_counts
 
@@ -819,7 +827,7 @@ _SQL_NAMES = (
     "first_accepted", "duplicate_keys", "tape_vs_certificate", "identity_checks", "check_summary", "gate_counts", "pool_continuity", "recovery_curve", "recovery_median_lag",
     "priority_waterfall", "pro_rata_alloc", "recovery_queue", "rate_reset", "accrual_start", "constant_probs", "transition_probs", "smoothed_cells", "cell_predictions",
     "brier_logloss", "auc_avg_rank", "average_precision", "calib_deciles", "monthly_exposure", "mae_forecast", "cohort_buckets", "weighted_terms",
-    "runoff_fold", "competing_rates", "pv_wal", "yield_sensitivity", "enhancement", "source_changes", "doc_sha256", "keyword_screen", "keyword_context", "stream_counts", "html_cells",
+    "runoff_fold", "competing_rates", "pv_wal", "yield_sensitivity", "enhancement", "source_changes", "doc_sha256", "keyword_screen", "keyword_context", "stream_counts", "html_cells", "html_text",
 )
-QUERIES = {name: globals()[name] for name in (*_SQL_NAMES, "bootstrap", "html_text")}
+QUERIES = {name: globals()[name] for name in (*_SQL_NAMES, "bootstrap")}
 SQL = {name: globals()[name.upper()] for name in _SQL_NAMES}

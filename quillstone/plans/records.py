@@ -11,7 +11,7 @@ from ..functions.money import double_cents
 from ..operators import audit, display, features, models, panel, scoring, valuation
 from ..sources import archives, layout, rates
 from ..streaming import ingest
-from . import core
+from . import core, validation
 from . import queries as base
 
 _r, table = base._r, base.table
@@ -102,6 +102,13 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("sample", "method", "rows", *[_r(c, 6).alias(c) for c in ("log_loss", "default_brier", "prepayment_brier")])
 
 
+def fold_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model fitted anew on what was public before each of two windows, beside the baselines."""
+    rows = features.disclosure_features(core._events(spark, sf_dir))
+    s = validation.score_folds(rows, core._WINDOWS[2:], {"logistic": validation.logistic})
+    return s.select("fold", "method", "event", "rows", "events", *[_r(c, 6).alias(c) for c in ("observed_rate", "predicted_rate", "brier", "log_loss")])
+
+
 def form_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as filings: a priority is a registrant, a status a form."""
     day = F.to_date("o_orderdate")
@@ -305,17 +312,18 @@ def stream_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record of filings that a stream ingested, read from its state: a filing for each priority and month of orders."""
     o = table(spark, sf_dir, "orders")
     accession = F.concat(F.substring("o_orderpriority", 1, 1), F.lit("-"), F.date_format("o_orderdate", "yyyyMM"))
-    filings = o.select(accession.alias("accession"), F.md5(accession).alias("sha256"), "o_orderkey", "o_custkey", double_cents(F.col("o_totalprice")).alias("cents"))
+    filings = o.select(accession.alias("accession"), F.md5(accession).alias("sha256"), "o_orderkey", "o_custkey", double_cents(F.col("o_totalprice")).alias("cents"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("status"))
     top = _work_folder(spark, "filings")
     filings.write.parquet(f"{top}/in")
     ingest.ingest(spark, f"{top}/in", filings.schema, f"{top}/out", f"{top}/checkpoint", source_hash="sha256", row_keys=("o_orderkey",)).awaitTermination()
     stored = spark.read.parquet(f"{top}/out").groupBy("accession").agg(F.sum("cents").alias("cents"))
-    return ingest.ingested_sources(spark, f"{top}/checkpoint").withColumnRenamed("filing", "accession").join(stored, "accession")
+    record = ingest.ingested_sources(spark, f"{top}/checkpoint").withColumnRenamed("filing", "accession")
+    return record.join(stored, "accession").select("accession", "source_hash", "row_count", F.coalesce(F.try_element_at("missing_fields", F.lit("status")), F.lit(0)).alias("missing_status"), "cents")
 
 
 STREAM_RECORD = """
-WITH o AS (SELECT substr(o_orderpriority, 1, 1) || '-' || strftime(o_orderdate, '%Y%m') AS accession, CAST(round(o_totalprice * 100e0) AS BIGINT) AS cents FROM orders)
-SELECT accession, md5(accession) AS source_hash, count(*) AS row_count, CAST(sum(cents) AS BIGINT) AS cents FROM o GROUP BY 1
+WITH o AS (SELECT substr(o_orderpriority, 1, 1) || '-' || strftime(o_orderdate, '%Y%m') AS accession, o_orderkey, CAST(round(o_totalprice * 100e0) AS BIGINT) AS cents FROM orders)
+SELECT accession, md5(accession) AS source_hash, count(*) AS row_count, count(*) FILTER (o_orderkey % 7 = 0) AS missing_status, CAST(sum(cents) AS BIGINT) AS cents FROM o GROUP BY 1
 """
 
 
@@ -328,5 +336,5 @@ _SQL_NAMES = (
     "event_audit", "split_description", "model_optimality", "form_histogram", "official_rates", "rebuilt_coupons", "precise_value", "loss_series", "shown_comparisons", "latest_controls", "shown_order", "keyed_totals",
     "clustered_events", "stream_record", "bootstrap_multinomial",
 )
-QUERIES = {name: globals()[name] for name in (*_SQL_NAMES, "model_scores", "archive_totals")}
+QUERIES = {name: globals()[name] for name in (*_SQL_NAMES, "model_scores", "fold_models", "archive_totals")}
 SQL = {name: globals()[name.upper()] for name in _SQL_NAMES}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import scaled_hazard
-from ..operators import models, panel, runoff, valuation, waterfall
+from ..operators import panel, runoff, valuation, waterfall
 
 # Scenario, multiples of default and prepayment hazards and recovery, extra lag, multiple of interest; the severities of the reverse stress.
 SCENARIOS = (("Central", 1.0, 1.0, 1.0, 0, 1.0), ("Downside", 2.0, 0.75, 0.75, 3, 0.95), ("Severe", 5.0, 0.5, 0.5, 6, 0.85))
@@ -59,45 +59,8 @@ def known_fleet(loans: DataFrame, origin: Column) -> DataFrame:
     return f.where("end_balance_cents > 0")
 
 
-def shifted_features(fleet: DataFrame, gap: Column) -> DataFrame:
-    """Features of the snapshot moved to the first month to be forecast."""
-    return fleet.withColumns({
-        "age_months": F.col("age_months") + gap,
-        "remaining_months": F.when(F.col("remaining_months").isNotNull(), F.greatest(F.col("remaining_months") - gap, F.lit(0))),
-        "disclosure_lag_months": gap, "log_balance": F.log1p(F.col("end_balance_cents") / 100),
-    })
-
-
 def interest_factor(fleet: DataFrame, reported_cents: Column) -> Column:
     """min(1, reported interest / (beginning balances * rates / 12)), as an aggregate over the fleet; an unknown rate is the median of the known ones."""
     rate, balance = F.col("interest_rate_pct"), F.greatest(F.col("begin_balance_cents"), F.lit(0))
     unknown = F.coalesce(F.median(rate) * F.sum(F.when(rate.isNull(), balance)), F.lit(0.0))
     return F.least(F.lit(1.0), reported_cents / ((F.coalesce(F.sum(balance * rate), F.lit(0.0)) + unknown) / 100 / 12))
-
-
-def forecast(loans: DataFrame, origin: str, model: models.CompetingRisk, *, recovery_rate: float, recovery_lag: int, interest_share: float, previous_distribution: str, gap: int) -> DataFrame:
-    """Pool flows of ``gap`` months after the snapshot known at an origin; the last row is the forecast month.
-
-    Only what was accepted by the origin is read. The horizon need not exhaust the pool.
-    """
-    spark = loans.sparkSession
-    fleet = shifted_features(known_fleet(loans, F.lit(origin).cast("timestamp")), F.lit(gap))
-    rates = models.weighted_rates(model.predict(fleet)).first()  # two rates
-    table = assumptions(spark, annual_default=rates.annual_default, annual_prepay=rates.annual_prepay, recovery_rate=recovery_rate, recovery_lag=recovery_lag, interest_factor=interest_share, previous_distribution=previous_distribution, scenarios=(("forecast", 1, 1, 1, 0, 1),))
-    return runoff.project(runoff.make_cohorts(fleet), table, horizon=gap, require_closed=False)
-
-
-def forecast_errors(forecasts: DataFrame, observed: DataFrame, keys: list[str], quantities: list[str]) -> DataFrame:
-    """keys, method, quantity, forecast, observed, error in cents; a forecast whose pool had closed counts as zero."""
-    pairs = F.array(*[F.struct(F.lit(q).alias("quantity"), F.coalesce(F.col(f"f.{q}"), F.lit(0)).alias("forecast"), F.col(f"o.{q}").alias("observed")) for q in quantities])
-    methods = forecasts.select("method").distinct()
-    grid = observed.alias("o0").join(F.broadcast(methods)).alias("o")  # two methods
-    joined = grid.join(forecasts.alias("f"), _equal([*keys, "method"]), "left")
-    return joined.select(*[F.col(f"o.{k}").alias(k) for k in keys], F.col("o.method").alias("method"), F.explode(pairs).alias("q")).select(*keys, "method", "q.*").withColumn("error", F.col("forecast") - F.col("observed"))
-
-
-def _equal(names: list[str]) -> Column:
-    out = F.lit(True)
-    for name in names:
-        out = out & (F.col(f"o.{name}") == F.col(f"f.{name}"))
-    return out

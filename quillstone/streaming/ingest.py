@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,38 +19,40 @@ _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "dateFormat": "yy
 
 
 class Filings(StatefulProcessor):
-    """What is known of each filing: the hash of its source, its rows so far, and of each row its name and a hash of its content.
+    """What is known of each filing: the hash of its source, its rows so far, how often each column was missing, and of each row its name and a hash of its content.
 
     A row that was not seen before goes on; one that was, with the same content, does not. Another source hash for a filing, or
     another content for one of its rows, is an error, and the batch leaves no trace. A filing's rows may come in any number of batches.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._source = handle.getValueState("source", "source_hash string, row_count long")
+        self._source = handle.getValueState("source", "source_hash string, row_count long, missing_fields string")
         self._rows = handle.getListState("rows", "name string, content long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self._source.get() if self._source.exists() else None
         known = dict(self._rows.get()) if held else {}
         source, new = held[0] if held else None, []
+        missing = Counter(json.loads(held[2]) if held else {})
         for frame in rows:
             hashes = set(frame["source_hash"])
             source = source if held or new else next(iter(hashes))
             if hashes != {source}:
                 raise ValueError(f"source changed: {key[0]}")
             fresh = []
-            for at, (name, content) in enumerate(zip(frame["name"], frame["content"].tolist())):
+            for at, (name, content, absent) in enumerate(zip(frame["name"], frame["content"].tolist(), frame["absent"])):
                 if name not in known:
                     known[name] = content
                     new.append((name, content))
                     fresh.append(at)
+                    missing.update(absent.split("\n") if absent else ())
                 elif known[name] != content:
                     raise ValueError(f"row changed: {key[0]} {name}")
             if fresh:
                 yield frame.iloc[fresh][["payload"]]
         if new:
             self._rows.appendList(new) if held else self._rows.put(new)
-            self._source.update((source, (held[1] if held else 0) + len(new)))
+            self._source.update((source, (held[1] if held else 0) + len(new), json.dumps(missing, sort_keys=True)))
 
     def close(self) -> None:
         pass
@@ -58,9 +62,10 @@ def _stateful(rows: DataFrame, key: str, source_hash: str | None, row_keys: tupl
     """The rows of ``rows`` (a stream) that their filing did not hold yet."""
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in row_keys]) if row_keys else F.sha2(F.to_json(whole, _JSON), 256)
+    absent = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in rows.columns])), "\n")
     packed = rows.select(
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("filing"), F.coalesce(F.col(source_hash) if source_hash else F.lit(""), F.lit("")).alias("source_hash"),
-        name.alias("name"), F.xxhash64(F.to_json(whole, _JSON)).alias("content"), F.to_json(whole, _JSON).alias("payload"),
+        name.alias("name"), F.xxhash64(F.to_json(whole, _JSON)).alias("content"), F.to_json(whole, _JSON).alias("payload"), absent.alias("absent"),
     )
     new = packed.groupBy("filing").transformWithStateInPandas(statefulProcessor=Filings(), outputStructType="payload string", outputMode="Append", timeMode="None")
     return new.select(F.from_json("payload", rows.schema, _JSON).alias("r")).select("r.*")
@@ -83,9 +88,9 @@ def ingest(spark: SparkSession, source: str, schema: StructType, target: str, ch
 
 
 def ingested_sources(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """filing, source_hash, row_count: the record of what was ingested, read from the stream's state as of its last batch."""
+    """filing, source_hash, row_count, missing_fields (a map of columns to their nulls): the record of what was ingested, read from the stream's state as of its last batch."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "source").load()
-    return state.select(F.col("key.filing").alias("filing"), "value.source_hash", "value.row_count")
+    return state.select(F.col("key.filing").alias("filing"), "value.source_hash", "value.row_count", F.from_json("value.missing_fields", "map<string,bigint>").alias("missing_fields"))
 
 
 def known_at(panel: DataFrame, origin) -> DataFrame:
