@@ -213,7 +213,11 @@ def find(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def redacted(docs: DataFrame, policy: Policy = Policy(), least: float = 0.5) -> DataFrame:
-    """``docs`` with its spans of at least that score masked in ``text``; all columns stay, null text stays null."""
+    """``docs`` with its spans of at least that score masked in ``text``; all columns stay, null text stays null.
+
+    Spans that overlap are masked once. Each row is read by itself, so repeated rows and null ids all stay; empty texts stay empty, very long ones are read
+    whole, and an empty table gives no rows.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if text is None else redact(text, spans(text, policy), least) for text in texts.to_pylist()], pa.string())

@@ -179,7 +179,9 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that stay, with failing lines taken out of ``text``.
 
     All columns of ``docs`` come back in their order; ``n_chars``, where there is
-    one, becomes the length of the cleaned text.
+    one, becomes the length of the cleaned text. A null text, one without words, and one of fewer than 20 words go, as they fail the base. Each row is
+    judged by itself: repeated rows all stay or all go, and ids, null or tied, play no part. Very long texts are read whole, line by line. An empty
+    table gives no rows.
     """
     held = "__quality"
     while held in docs.columns:

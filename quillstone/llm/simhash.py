@@ -140,6 +140,8 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     Each fingerprint goes home to one anchor and visits all anchors within the covering
     radius plus threshold; at each anchor, those at home meet the visitors. The
     exchange is a join that Spark may split where many fingerprints share an anchor.
+    ``fps`` has a row for each distinct fingerprint (fp), so copies and ties make no pairs; a null one meets none, and an empty
+    table gives no rows. Other columns are not read.
     """
     at_home = _at_anchors(fps, threshold, True).select("anchor", F.col("fp").alias("a"))
     visiting = _at_anchors(fps, threshold, False).select("anchor", F.col("fp").alias("b"))

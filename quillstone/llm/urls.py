@@ -114,7 +114,8 @@ def cascades(keys: DataFrame, *, rate: float = 1 / 16) -> dict[int, Cascade]:
 
     The first level is sized by the listed keys and by their share of the universe, later ones by the keys that are
     left, of which a share ``rate`` slips through: filters grow with the list, and with the logarithm of the universe. A level is one
-    aggregation of set bits, one write of the keys that are left, and one count of them.
+    aggregation of set bits, one write of the keys that are left, and one count of them. A cascade without listed keys has no level and
+    holds nothing; a null key is one like any other; very long keys are hashed whole; an empty table gives no cascade.
     """
 
     def count(left: DataFrame) -> dict[int, tuple[int, int]]:
