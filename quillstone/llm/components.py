@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Each round is a few shuffles of the edges that are left, written to the shared
     folder; rounds grow with the logarithm of a component's diameter. Edges never
-    leave the executors, and no node's neighbours are gathered in a list. Self-loops and
+    leave the executors, not even for a broadcast, and no node's neighbours are gathered in a list. Self-loops and
     edges with a null end are dropped.
     """
     a, b = F.col(left), F.col(right)
@@ -27,10 +27,10 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         # Large star: each node ties its larger neighbours to the smallest of its neighbourhood.
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: each node ties its smaller neighbours, and itself, to the smallest of them.
         smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        tied = large.join(smallest, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        tied = large.join(smallest.hint("merge"), "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         stars = materialize(tied.unionByName(smallest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         state, before = _state(stars), state
         if state == before:

@@ -139,14 +139,15 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
 
     Each fingerprint goes home to one anchor and visits all anchors within the covering
     radius plus threshold; at each anchor, those at home meet the visitors. The
-    exchange is a join that Spark may split where many fingerprints share an anchor.
+    exchange is a merge join that Spark may split where many fingerprints share an anchor: a visitor
+    has about 61 anchors, of which Spark's estimate by the size of ``fps`` knows nothing, so it would send them all to the driver for a broadcast.
     ``fps`` has a row for each distinct fingerprint (fp), so copies and ties make no pairs; a null one meets none, and an empty
     table gives no rows. Other columns are not read.
     """
     at_home = _at_anchors(fps, threshold, True).select("anchor", F.col("fp").alias("a"))
     visiting = _at_anchors(fps, threshold, False).select("anchor", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return at_home.join(visiting, (at_home.anchor == visiting.anchor) & near).select("a", "b")
+    return at_home.join(visiting.hint("merge"), (at_home.anchor == visiting.anchor) & near).select("a", "b")
 
 
 def _rooted(prints: DataFrame, threshold: int) -> DataFrame:

@@ -188,3 +188,22 @@ def test_what_a_turn_follows_crosses_ranges(spark, many_ranges):
     want = turns.select("given", F.lag("given").over(order).alias("before"), (F.row_number().over(order) == 1).alias("first"))
     count = lambda df: {(r.given, r.before, r.first): r["count"] for r in df.groupBy("given", "before", "first").count().collect()}
     assert count(chat._followed(turns)) == count(want)
+
+
+def test_links_broadcast_no_anchors(spark):
+    """A small table of fingerprints has many anchors, and the rounds of components many edges: neither is sent to the driver."""
+    from pyspark.sql import DataFrame
+
+    from quillstone.llm import components, simhash
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    fps = spark.createDataFrame([(i,) for i in (0, 1, 3, 255)], "fp long")
+    found = simhash.links(fps)
+    assert "BroadcastHashJoin" not in plan(found) and sorted(map(tuple, found.collect())) == [(0, 1), (0, 3), (1, 3)]
+    plans, held = [], components.materialize
+    components.materialize = lambda df, name: plans.append(plan(df)) or held(df, name)
+    try:
+        assert isinstance(components.connected_components(found, "a", "b"), DataFrame)
+    finally:
+        components.materialize = held
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
