@@ -217,6 +217,20 @@ def test_calibration_bins_are_by_rank(spark):
     assert bins == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 2}
 
 
+def test_calibration_ranks_of_many_rows(spark):
+    """So many rows that a range exchange samples them: ranks must be those of one order, wherever a plan reads the rows again."""
+    n = 300_000
+    p = F.pmod(F.xxhash64("id"), F.lit(5000)) / 5000.0
+    rows = spark.range(0, n, 1, 8).select("id", p.alias("p"), (F.col("id") % 3 == 0).alias("y"))
+    got = {r.bin: (r.n, r.predicted, r.observed) for r in scoring.calibration(rows, F.col("y"), F.col("p"), ["id"]).collect()}
+    ranked = sorted((r.p, r.id, r.y) for r in rows.collect())
+    bins = {}
+    for k, row in enumerate(ranked):
+        bins.setdefault(max(1, -(-10 * k // (n - 1))), []).append(row)
+    assert got == {b: (len(x), pytest.approx(sum(r[0] for r in x) / len(x)), pytest.approx(sum(r[2] for r in x) / len(x))) for b, x in bins.items()}
+
+
+
 def test_bootstrap_holds_the_mean(spark):
     rows = spark.range(2000).select((F.col("id") % 100).alias("k"), (F.col("id") % 5 == 0).cast("double").alias("y"))
     r = one(scoring.cluster_bootstrap(rows, ["k"], {"y": F.col("y")}))
