@@ -12,8 +12,12 @@ def has_code(codes: Column, code: str) -> Column:
 
 
 def first_when(df: DataFrame, keys: list[str], time: str, condition: Column, out: str) -> DataFrame:
-    """Adds the earliest ``time`` at which the condition held within ``keys``; null if it never did."""
-    return df.withColumn(out, F.min(F.when(condition, F.col(time))).over(Window.partitionBy(*keys)))
+    """Adds the earliest ``time`` at which the condition held within ``keys``; null if it never did.
+
+    Rows are sorted by ``time``, which the result does not need: windows along it that follow then sort nothing again.
+    """
+    whole = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn(out, F.min(F.when(condition, F.col(time))).over(whole))
 
 
 def earliest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -31,9 +31,28 @@ def _month(column: str):
 # ---- panel -----------------------------------------------------------------
 
 
+#: Orders that a task takes to make its loans' months of.
+_TASK_ORDERS = 200_000
+
+
+def _by_customer(orders: DataFrame) -> DataFrame:
+    """The orders that the panel reads, a customer's in one task, in so many tasks that none has more than its share of rows.
+
+    This is the panel's one exchange: months and the windows over a loan need no other. The number is given, since Spark would
+    merge parts by their bytes as compressed, and a loan-month, whose columns all follow from a few, is many times as wide in memory as on disk.
+    """
+    parts = max(orders.sparkSession.sparkContext.defaultParallelism, -(-orders.count() // _TASK_ORDERS))
+    return orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice").repartition(parts, "o_custkey")
+
+
 def _panel(spark: SparkSession, sf_dir: str, loan=None) -> DataFrame:
-    """Orders as a loan-month panel: a customer is a loan, a month of orders a period; codes and dates follow from the order keys."""
-    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") if loan is None else loan).alias("o_custkey"), F.trunc("o_orderdate", "month").alias("period_start")).agg(F.sum(double_cents(F.col("o_totalprice"))).alias("cents"), F.sum("o_orderkey").alias("s"))
+    """Orders as a loan-month panel: a customer is a loan, a month of orders a period; codes and dates follow from the order keys.
+
+    ``loan`` gives a few loans instead, of many customers each, whose orders are summed before they are exchanged.
+    """
+    orders = table(spark, sf_dir, "orders")
+    orders = _by_customer(orders) if loan is None else orders
+    o = orders.groupBy((F.col("o_custkey") if loan is None else loan).alias("o_custkey"), F.trunc("o_orderdate", "month").alias("period_start")).agg(F.sum(double_cents(F.col("o_totalprice"))).alias("cents"), F.sum("o_orderkey").alias("s"))
     every = lambda n: F.col("s") % n == 0
     part = lambda n: F.floor(F.col("cents") / n).cast("bigint")
     closed = every(7)

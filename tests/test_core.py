@@ -84,3 +84,17 @@ def test_packs(spark, tmp_path):
     packs.write_csv(tmp_path / "t.csv", [{"a": 1, "b": "x,y"}], ["a", "b"])
     assert (tmp_path / "t.csv").read_text() == 'a,b\n1,"x,y"\n'
     assert [packs.gate(*x)["status"] for x in ((0, 2), (1, 2), (0, 0))] == ["PASS", "FAIL", "INCOMPLETE"]
+
+
+def test_panel_is_dealt_by_rows(spark, monkeypatch):
+    """A task's share of the panel is bounded by rows, exchanged and sorted once: Spark would merge such small parts by their bytes."""
+    from quillstone.operators import features
+    from quillstone.plans import queries
+
+    monkeypatch.setattr(queries, "_TASK_ORDERS", 100, raising=False)
+    rows = features.disclosure_features(core._events(spark, SF))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+    shares = rows.groupBy(F.spark_partition_id()).count().collect()
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert orders // 100 // 2 < len(shares) <= -(-orders // 100)
