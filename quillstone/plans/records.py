@@ -49,8 +49,16 @@ FROM h GROUP BY GROUPING SETS ((), (deal_id), (deal_id, period_end))
 _TIMES = {"train": ("0001-01-01", "1998-06-30", "1998-09-01"), "calibration": ("1998-09-01", "1999-05-31", "1999-08-01"), "test": ("1999-08-01", "9999-12-31", None)}
 
 
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modeling rows, written once: samples, folds and every step of a fit read them, and none makes the panel again."""
+    path = _work_folder(spark, "model_rows")
+    rows = features.disclosure_features(core._events(spark, sf_dir))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return models.samples(features.disclosure_features(core._events(spark, sf_dir)), "D0", "D1", _TIMES)
+    return models.samples(_model_rows(spark, sf_dir), "D0", "D1", _TIMES)
 
 
 def split_description(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +112,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model fitted anew on what was public before each of two windows, beside the baselines."""
-    rows = features.disclosure_features(core._events(spark, sf_dir))
-    s = validation.score_folds(rows, core._WINDOWS[2:], {"logistic": validation.logistic})
+    s = validation.score_folds(_model_rows(spark, sf_dir), core._WINDOWS[2:], {"logistic": validation.logistic})
     return s.select("fold", "method", "event", "rows", "events", *[_r(c, 6).alias(c) for c in ("observed_rate", "predicted_rate", "brier", "log_loss")])
 
 

@@ -98,3 +98,15 @@ def test_panel_is_dealt_by_rows(spark, monkeypatch):
     shares = rows.groupBy(F.spark_partition_id()).count().collect()
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert orders // 100 // 2 < len(shares) <= -(-orders // 100)
+
+
+def test_models_read_the_panel_once(spark, monkeypatch):
+    """Samples, folds and fits read the modeling rows as written, whatever number of passes they take."""
+    from quillstone.plans import records
+
+    made, held = [], core._events
+    monkeypatch.setattr(core, "_events", lambda *of: made.append(of) or held(*of))
+    for rows in (*records._samples(spark, SF).values(),):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange" not in plan
+    assert len(made) == 1
