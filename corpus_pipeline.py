@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more. The smallest doc_id stays, null ids last."""
+    """Keeps one document of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more, met by SimHash and by bands of minima, each verified. The smallest doc_id stays, null ids last."""
     return nearcopies.deduplicate(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near-copy dedup: candidates by bands of shingle minima, each verified by the exact Jaccard similarity."""
+"""Near-copy dedup: candidates by SimHash and by bands of shingle minima, each verified by the exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .simhash import SEED, one_of_each, row_key
+from .simhash import SEED, components_of, of_hashes, one_of_each, row_key
 
 #: Texts of Jaccard similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: 0.998 at 0.8, 0.014 at 0.3.
 BANDS, ROWS = 20, 6
@@ -46,20 +46,28 @@ def _signed(values) -> np.ndarray:
 
 
 def _sketches(words: int):
-    """fp, the hash of a text's shingle set, and its band keys."""
+    """fp, the hash of a text's shingle set, its SimHash and its band keys."""
 
     def run(texts: pa.Array) -> pa.Array:
-        fps, keys, ends = [], [], [0]
+        fps, prints, keys, ends = [], [], [], [0]
         for text in texts:
             shingles = shingle_set(text.as_py(), words)
             fps.append(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+            prints.append(of_hashes(shingles))
             keys += band_keys(shingles)
             ends.append(len(keys))
         bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(keys)))
-        return pa.StructArray.from_arrays([pa.array(_signed(fps)), bands], names=["fp", "bands"])
+        return pa.StructArray.from_arrays([pa.array(_signed(fps)), pa.array(_signed(prints)), bands], names=["fp", "print", "bands"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "fp long, bands array<long>").asNondeterministic()
+    return F.arrow_udf(run, "fp long, print long, bands array<long>").asNondeterministic()
+
+
+def _print_keys(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, key): a key for each component of SimHashes that links of at most ``bits`` bits join, through the anchors of op4_simhash."""
+    sets = prints.select("fp", "print").distinct()
+    groups = components_of(sets.select(F.col("print").alias("fp"), F.col("fp").alias("doc_id")), bits).select(F.col("fp").alias("print"), "root")
+    return sets.join(groups, "print").select("fp", F.xxhash64(F.lit("print"), "root").alias("key"))
 
 
 def _sets(words: int):
@@ -121,7 +129,7 @@ def _across(prefixes: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("fp", "fp_b").alias("a"), F.greatest("fp", "fp_b").alias("b")).distinct()
 
 
-def deduplicate(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near copies, all columns.
 
     Two texts are near copies if their sets of ``words``-word shingles have a Jaccard
@@ -130,16 +138,17 @@ def deduplicate(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     rows that share it, the first by a hash of the text; of rows equal in both, any one. Very long texts are read whole. An empty
     table gives no rows. Columns of any other name are carried along.
 
-    Equal sets fold into one first. Texts that share a band are candidates: each is compared with
+    Equal sets fold into one first. Their SimHashes are linked at ``bits`` or fewer differing bits, through anchors, and a component of these is a band. As two
+    texts at the least similarity differ in more bits, bands of shingle minima stand beside it. Texts that share a band are candidates: each is compared with
     three leaders of its band, first of them the one that shares most bands with others. The members of a band that these
     comparisons have left in different groups are then joined by the rarest of their shingles (prefix and position
     filters), which leaves out no pair. A large group of copies, or of texts about one core that are not similar, thus costs about its size, not
     its square: copies are in one group by then, and of the others' common shingles none is among those that are indexed.
     """
-    prints = materialize(docs.select(F.struct(*row_key()).alias("row"), _sketches(words)(F.col("text").cast("string")).alias("s")).select("row", "s.fp", "s.bands"), "sketches")
+    prints = materialize(docs.select(F.struct(*row_key()).alias("row"), _sketches(words)(F.col("text").cast("string")).alias("s")).select("row", "s.fp", "s.print", "s.bands"), "sketches")
     distinct = materialize(prints.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
 
-    banded = prints.select("fp", F.explode("bands").alias("key")).distinct()
+    banded = prints.select("fp", F.explode("bands").alias("key")).distinct().unionByName(materialize(_print_keys(prints, bits), "print_keys"))
     bands = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(banded.join(bands, "key"), "shared")
     degree = shared.groupBy("fp").agg(F.sum("n").alias("degree"))

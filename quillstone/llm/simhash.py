@@ -48,7 +48,13 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def _bits(hashes: list[int]) -> np.ndarray:
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingles that are hashed already."""
+    total = sum((_bits(hashes[start : start + CHUNK]) for start in range(0, len(hashes), CHUNK)), np.zeros(64, dtype=np.int64))
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _bits(hashes) -> np.ndarray:
     """How often each bit is set, least significant first."""
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(len(hashes), 8)
     counts = np.empty((8, 8), dtype=np.int64)
@@ -150,8 +156,8 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return at_home.join(visiting.hint("merge"), (at_home.anchor == visiting.anchor) & near).select("a", "b")
 
 
-def _rooted(prints: DataFrame, threshold: int) -> DataFrame:
-    """(fp, first_id, root) of each distinct fingerprint; root names its component."""
+def components_of(prints: DataFrame, threshold: int) -> DataFrame:
+    """(fp, first_id, root) of each distinct fingerprint of ``prints`` (fp, doc_id); root names its component under links of at most ``threshold`` bits."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     joined = connected_components(links(distinct, threshold), "a", "b")
     return distinct.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -172,7 +178,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, threshold: int = 2) -> D
     distinct ones by chance, each of which costs one comparison of two longs.
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    rooted = _rooted(prints, threshold)
+    rooted = components_of(prints, threshold)
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # Written, so that the join below has exchanges that Spark can split at a hot fingerprint.
     named = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "components")
@@ -202,7 +208,7 @@ def deduplicate(docs: DataFrame, *, words: int = 3, threshold: int = 2) -> DataF
     texts without words are copies of each other. An empty table gives no rows. Columns of any other name are carried along.
     """
     prints = materialize(fingerprints(docs.select(F.struct(*row_key()).alias("doc_id"), "text"), words).select(F.col("doc_id").alias("row"), "fp"), "fingerprints")
-    rooted = materialize(_rooted(prints.select("fp", F.col("row.__id").alias("doc_id")), threshold).select("fp", "root"), "components")
+    rooted = materialize(components_of(prints.select("fp", F.col("row.__id").alias("doc_id")), threshold).select("fp", "root"), "components")
     keep = prints.join(rooted, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     return one_of_each(docs, keep)
 

@@ -207,3 +207,16 @@ def test_links_broadcast_no_anchors(spark):
     finally:
         components.materialize = held
     assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_near_copies_meet_by_simhash(spark):
+    """Two similar texts whose minima share no band, but whose SimHashes differ in at most two bits."""
+    one = lambda text: int(nearcopies.shingle_set(text, 5)[0])
+    first = min((f"a{i} b c d e" for i in range(20_000)), key=lambda text: one(text).bit_count())
+    bands = lambda text: set(nearcopies.band_keys(nearcopies.shingle_set(text, 5)))
+    apart = lambda word: (one(first) & ~one(f"b c d e {word}")).bit_count()
+    second = next(f"{first} f{i}" for i in range(100_000) if apart(f"f{i}") <= 2 and not bands(first) & bands(f"{first} f{i}"))
+    df = spark.createDataFrame([(1, first), (2, second), (3, "something else that is no copy"), (4, None), (5, "")], "doc_id long, text string")
+    got = lambda **k: sorted(r.doc_id for r in nearcopies.deduplicate(df, **k).collect())
+    assert got(similarity=0.5) == [1, 3, 4]
+    assert got(similarity=0.8) == [1, 2, 3, 4]  # linked, but verified
