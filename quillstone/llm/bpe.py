@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ CHUNK, OVERLAP = 1 << 15, 1 << 9
 LONGEST = 1 << 17
 #: A pre-token that ends this near to the end of its chunk might be another in the whole text.
 MARGIN = 4
+#: Code points of texts whose ids leave a task together, whatever Spark hands to it at once.
+SLICE = 1 << 20
 
 
 class ByteBpe:
@@ -47,11 +50,11 @@ class ByteBpe:
         pieces = (self._library._encode_single_piece(match[0]) for match in self._pattern.finditer(text))
         return np.fromiter(chain.from_iterable(pieces), dtype=np.int32)
 
-    def decode(self, ids: pa.Array) -> bytes:
-        """The tokens' bytes, gathered one behind the other; an unknown id is an error."""
+    def decode(self, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The tokens' bytes, gathered one behind the other, in rows that end after so many ids; an unknown id is an error."""
         taken = self._bytes.take(ids)
-        size = int(np.frombuffer(taken.buffers()[1], dtype=np.int32)[len(taken)]) if len(taken) else 0
-        return taken.buffers()[2][:size].to_pybytes() if size else b""
+        places = np.frombuffer(taken.buffers()[1], dtype=np.int32, count=len(taken) + 1) if len(taken) else np.zeros(1, dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(places[ends]), taken.buffers()[2] if len(taken) else pa.py_buffer(b"")])
 
     def borders(self, chunk: str, last: bool) -> list[int]:
         """Ends of the chunk's pre-tokens where a text may be stitched: what stands on either side makes each a border of the
@@ -82,14 +85,32 @@ def byte_bpe(ranks: str) -> ByteBpe:
     return ByteBpe(ranks)
 
 
-def _encoded(ranks: str):
-    def run(texts: pa.Array) -> pa.Array:
-        each = [byte_bpe(ranks).encode(text.as_py()) for text in texts]
-        ends = np.concatenate([[0], np.cumsum([len(ids) for ids in each])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*each, np.zeros(0, dtype=np.int32)])))
+def _slices(batches: Iterator[pa.RecordBatch], ranks: str, decode: bool) -> Iterator[pa.RecordBatch]:
+    """The rows' columns with ids, and with the bytes these stand for, in place of the text; no more rows at a time than hold ``SLICE`` code points."""
+    for batch in batches:
+        texts, others = batch["text"], batch.drop_columns("text")
+        begin, size, each = 0, 0, []
+        for n, text in enumerate(texts, 1):
+            text = text.as_py()
+            each.append(byte_bpe(ranks).encode(text))
+            size += len(text)
+            if size < SLICE and n < len(texts):
+                continue
+            ends, ids = np.concatenate([[0], np.cumsum([len(ids) for ids in each])]).astype(np.int32), pa.array(np.concatenate(each))
+            columns = {"ids": pa.ListArray.from_arrays(pa.array(ends), ids)} | ({"decoded": byte_bpe(ranks).decode(ids, ends)} if decode else {})
+            rows = others.slice(begin, n - begin)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns.values()], names=[*rows.schema.names, *columns])
+            begin, size, each = n, 0, []
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<int>").asNondeterministic()
+
+def _encoded(texts: DataFrame, ranks: str, decode: bool = False) -> DataFrame:
+    """The columns of ``texts``, which are longs but for the text, with ids in place of the text; with ``decode``, also their bytes, from the same worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _slices(batches, ranks, decode)
+
+    keys = [name for name in texts.columns if name != "text"]
+    return texts.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{name} long" for name in keys), "ids array<int>", *["decoded binary"] * decode]))
 
 
 def _chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -109,14 +130,17 @@ def _chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 
 def _ends(ranks: str, chunk: int, overlap: int):
-    """head and tail: the borders of a chunk in what it shares with the one before and the one after, as places in the chunk and in the next."""
+    """head and tail: the borders of a chunk in what it shares with the one before and the one after, as places in the chunk and in the next.
+
+    Only what is shared is pre-tokenised: a border is one wherever the pattern began.
+    """
 
     def run(texts: pa.Array, last: pa.Array) -> pa.Array:
-        heads, tails = [], []
+        heads, tails, borders = [], [], byte_bpe(ranks).borders
         for text, ends in zip(texts, last):
-            at = byte_bpe(ranks).borders(text.as_py(), ends.as_py())
-            heads.append([p for p in at if p < overlap])
-            tails.append([] if ends.as_py() else [p - chunk for p in at if p >= chunk])
+            text, ends = text.as_py(), ends.as_py()
+            heads.append([p for p in borders(text[: overlap + MARGIN], ends and len(text) <= overlap + MARGIN) if p < overlap])
+            tails.append([] if ends else [p - MARGIN for p in borders(text[chunk - MARGIN :], False) if p >= MARGIN])
         return pa.StructArray.from_arrays([pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["head", "tail"])
 
     run.__annotations__ = {"texts": pa.Array, "last": pa.Array, "return": pa.Array}
@@ -137,39 +161,43 @@ def _stitched(chunks: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFr
     return own.groupBy("row", "doc_id", "segment").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))
 
 
-def encode(docs: DataFrame, *, ranks: str = "byte_bpe_multi_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, *, ranks: str = "byte_bpe_multi_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:
     """doc_id, ids: the byte-level BPE of each text of ``docs``, by the ranks of a public vocabulary; special tokens are ordinary text.
+    With ``decode`` also decoded, the bytes that a row's ids stand for.
 
     A text of up to ``chunk`` code points is pre-tokenised and encoded as it comes, without a shuffle. A longer one is
     cut into chunks that overlap, so that many tasks share it: each is pre-tokenised by itself; two neighbours are
     stitched at the first border that both have in their overlap; what lies between two stitches is encoded, and the
     ids are put together in order. Neighbours without a common border, such as those of one endless word, are encoded as one. The
-    chunks are written to the shared folder, so that the number of a row holds when a task runs again.
+    chunks are written to the shared folder, so that the number of a row holds when a task runs again. A worker holds the ids of
+    about ``SLICE`` code points; short texts are decoded where they were encoded, so a task needs one worker, not two.
 
     Null text counts as empty and has no ids. Repeated rows and rows with a null doc_id each give a row; an empty table gives none. Other columns are not read.
     """
     if not MARGIN < overlap < chunk:
         raise ValueError("the overlap must be longer than the margin and shorter than the chunk")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
-    short = texts.where(F.length("text") <= chunk).select("doc_id", _encoded(ranks)(F.col("text")).alias("ids"))
+    short = _encoded(texts.where(F.length("text") <= chunk), ranks, decode)
     chunks = materialize(_chunks(texts.where(F.length("text") > chunk), chunk, overlap), "chunks")
-    pieces = _stitched(chunks, ranks, chunk, overlap).select("row", "doc_id", "segment", _encoded(ranks)(F.col("text")).alias("ids"))
+    pieces = _encoded(_stitched(chunks, ranks, chunk, overlap), ranks)
     ordered = F.array_sort(F.collect_list(F.struct("segment", "ids")))
     whole = pieces.groupBy("row", "doc_id").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(whole.select("doc_id", "ids"))
+    return short.unionByName(whole.select("doc_id", "ids", *[decoded("ids", ranks).alias("decoded")] * decode))
 
 
 def decoded(ids: Column | str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> Column:
     """The bytes that ids stand for, those of each joined to the next's; they need not be whole UTF-8. Null gives null; an unknown id fails."""
 
     def run(lists: pa.Array) -> pa.Array:
-        return pa.array([None if each.as_py() is None else byte_bpe(ranks).decode(each.values) for each in lists], pa.binary())
+        sizes = lists.value_lengths().fill_null(0)
+        out = byte_bpe(ranks).decode(lists.flatten(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pc.if_else(lists.is_valid(), out, None) if lists.null_count else out
 
     run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "binary")(ids)
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents"))
-    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded("ids"), 256).alias("decoded_sha256"))
+    encoded = encode(table(spark, sf_dir, "documents"), decode=True)
+    listed = F.btrim(F.to_json("ids"), F.lit("[]"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,32 @@ def test_endless_white_space_is_encoded(spark):
 def test_an_overlap_that_cannot_stitch_is_refused(spark):
     with pytest.raises(ValueError):
         bpe.encode(spark.createDataFrame([(1, "x")], "doc_id long, text string"), chunk=100, overlap=100)
+
+
+def test_ids_leave_a_worker_in_slices(library):
+    """However many texts come in one batch, the ids and bytes of few of them are held at once."""
+    texts = ["one of many texts " * 1500 + str(n) for n in range(100)] + ["", "漢字", "x"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*range(102), None], pa.int64()), "text": texts})
+    slices = list(bpe._slices(iter([batch, batch.slice(0, 0)]), "byte_bpe_multi_50k.tiktoken", True))
+    assert len(slices) == 3 and max(sum(map(len, each["decoded"].to_pylist())) for each in slices) < bpe.SLICE + 30_000
+    got = pa.Table.from_batches(slices)
+    assert got["doc_id"].to_pylist() == batch["doc_id"].to_pylist()
+    assert got["ids"].to_pylist() == [library.encode_ordinary(text) for text in texts]
+    assert [each.decode() for each in got["decoded"].to_pylist()] == texts
+
+
+def test_no_task_of_the_query_needs_two_workers(spark):
+    def most(node, above=0):
+        """Python workers on one way through a stage."""
+        name, children = node.nodeName(), node.children()
+        here = 0 if "Exchange" in name else above + ("Python" in name or "InArrow" in name)
+        return max([here, *(most(children.apply(n), here) for n in range(children.size()))])
+
+    assert most(QUERIES["op13_byte_bpe"](spark, SF)._jdf.queryExecution().executedPlan().executedPlan()) == 1
+
+
+def test_ids_of_null_have_no_bytes(spark):
+    rows = spark.createDataFrame([(1, [72, 105]), (2, None), (3, []), (4, [33])], "n int, ids array<int>").coalesce(1)
+    tokens = bpe.byte_bpe("byte_bpe_multi_50k.tiktoken")._bytes.to_pylist()
+    got = {r.n: r.bytes if r.bytes is None else bytes(r.bytes) for r in rows.select("n", bpe.decoded("ids").alias("bytes")).collect()}
+    assert got == {1: tokens[72] + tokens[105], 2: None, 3: b"", 4: tokens[33]}
